@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space, as the splitting pattern's \s has it.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Chunks at whose ends every match of the splitting pattern also ends.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Entries of one generation of a task's dictionaries.
