@@ -125,3 +125,53 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = mix((out ^ hashes[k : k + m]) * _STEP + np.uint64(k + 1))
     return out
+
+
+def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), but a token is a run of letters, digits and bytes over 127, or a run of other visible characters."""
+    kind = _KIND[raw]
+    new = np.ones(len(kind), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new[offsets[(offsets > 0) & (offsets < len(raw))]] = True
+    cuts = np.append(np.flatnonzero(new), len(raw)) if len(raw) else np.zeros(1, np.int64)
+    solid = kind[cuts[:-1]] > 0 if len(raw) else np.zeros(0, bool)
+    starts, ends = cuts[:-1][solid], cuts[1:][solid]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+_KIND = np.full(256, 2, np.uint8)
+_KIND[_SPACE] = 0
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+
+
+def spans(column: pa.Array, split=words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of a text column: first and last row, bytes, token starts and ends, and each row's first token."""
+    raw, offsets = utf8(column)
+    for i, j in blocks(offsets):
+        part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, j, part, *split(part, at)
+
+
+def summed(parts: DataFrame, key: str, value: str, merge_rows: int = 16) -> DataFrame:
+    """Sums binary float32 vectors by an integer key in two steps of streaming tasks; holds one vector for each key of a
+    partition, however many rows there are. Rows come back once for each key and first-step task, at most merge_rows a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = np.frombuffer(x.as_buffer(), np.float32)
+                total[k] = total[k] + v if k in total else v.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["k", "v"])
+
+    slim = parts.select(F.col(key).cast("int").alias("k"), F.col(value).alias("v"))
+    return slim.repartition(merge_rows).mapInArrow(run, "k int, v binary")
+
+
+def gathered(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of summed() on the driver: merge_rows vectors for each key, a bound set by parameters."""
+    total: dict[int, np.ndarray] = {}
+    for k, v in parts.toLocalIterator():
+        x = np.frombuffer(bytes(v), np.float32).astype(np.float64)
+        total[k] = total[k] + x if k in total else x
+    return total

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspan.llm import bpe, quality_rules
+from foldspan.llm import bpe, quality_classifier, quality_rules
+from foldspan.llm.common import crc_bucket
 from foldspan.llm.minhash import near_duplicates
 
 
@@ -29,8 +30,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket("doc_id", 3) == 1
+    scores = quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op9_bpe": op9_bpe}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
