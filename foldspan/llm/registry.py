@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspan.llm import bpe, quality_classifier, quality_rules, toxicity
+from foldspan.llm import bpe, language_model, quality_classifier, quality_rules, toxicity
 from foldspan.llm.common import crc_bucket
 from foldspan.llm.minhash import near_duplicates
 
@@ -31,6 +31,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = language_model.scored(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) != 2)
+    return scores.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -43,7 +48,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_toxicity": op3_toxicity, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_toxicity": op3_toxicity, "op8_language_model": op8_language_model, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
