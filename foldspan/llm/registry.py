@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspan.llm import bpe, html_content, language_model, quality_classifier, quality_rules, toxicity
+from foldspan.llm import bpe, decontamination, html_content, language_model, quality_classifier, quality_rules, toxicity
 from foldspan.llm.common import crc_bucket
 from foldspan.llm.minhash import near_duplicates
 
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extracted(table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_toxicity": op3_toxicity, "op7_html_content": op7_html_content, "op8_language_model": op8_language_model, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_toxicity": op3_toxicity, "op5_decontamination": op5_decontamination, "op7_html_content": op7_html_content, "op8_language_model": op8_language_model, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
