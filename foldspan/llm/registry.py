@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspan.llm import bpe, decontamination, html_content, language_model, quality_classifier, quality_rules, toxicity
+from foldspan.llm import bpe, decontamination, html_content, language_model, licenses, quality_classifier, quality_rules, sharding, toxicity
 from foldspan.llm.common import crc_bucket
 from foldspan.llm.minhash import near_duplicates
 
@@ -35,6 +35,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assigned(table(spark, sf_dir, "documents"), shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extracted(table(spark, sf_dir, "pages"))
 
@@ -56,7 +65,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_toxicity": op3_toxicity, "op5_decontamination": op5_decontamination, "op7_html_content": op7_html_content, "op8_language_model": op8_language_model, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_toxicity": op3_toxicity, "op4_license_scan": op4_license_scan, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_html_content": op7_html_content, "op8_language_model": op8_language_model, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
