@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): ids as little-endian unsigned 32-bit integers, text as decoded from them."""
     coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", "n_tokens", "ids", F.decode("decoded", F.lit("UTF-8")).alias("text"))
+    return coded.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
 STAGES = [
