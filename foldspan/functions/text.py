@@ -41,7 +41,7 @@ def safe_join(items: Column | str, sep: str = " ") -> Column:
 
 def as_list(c: Column | str) -> Column:
     """Comma-separated text as trimmed, non-blank items; null gives an empty array."""
-    return F.filter(F.transform(F.split(blank(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(blank(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def default_text(c: Column | str, default: str = "None provided") -> Column:

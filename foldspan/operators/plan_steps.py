@@ -24,7 +24,7 @@ def plan_steps(plans: DataFrame, key: str = "plan_id", text: str = "text") -> Da
     """One row a step: index, name, tools joined by ', ', description, rationale and a preview of its code."""
     steps = plans.select(key, F.explode(extract_json_array(F.col(text))).alias("item")).withColumn("s", F.from_json("item", PLAN_STEP))
     tools = F.from_json("s.tools_from_registry", "array<string>")
-    listed = F.array_join(F.filter(F.transform(tools, F.trim), lambda x: x != ""), ", ")
+    listed = F.array_join(F.filter(F.transform(tools, lambda x: F.trim(x)), lambda x: x != ""), ", ")
     code = F.translate(F.trim(blank("s.python_code_to_execute")), "\n", " ")
     return steps.select(
         key, F.col("s.step_index").alias("step_index"), F.trim(blank("s.step_name")).alias("step_name"),

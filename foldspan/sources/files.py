@@ -22,7 +22,7 @@ def parse_fasta(files: DataFrame) -> DataFrame:
     """(file, rec_no, seq_id, sequence): lines trimmed and joined, blank ones skipped, headers without a body dropped; lines
     before the first header form a record without an id."""
     records = files.select("file", F.posexplode(F.split("text", "(?m)^[ \\t]*>")).alias("rec_no", "record"))
-    lines = records.select("file", "rec_no", F.transform(F.split("record", "\\r?\\n"), F.trim).alias("lines"))
+    lines = records.select("file", "rec_no", F.transform(F.split("record", "\\r?\\n"), lambda x: F.trim(x)).alias("lines"))
     headed = F.col("rec_no") > 0
     body = F.when(headed, F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).otherwise(F.col("lines"))
     found = lines.select("file", "rec_no", F.when(headed, F.split_part(F.get("lines", 0), F.lit(" "), F.lit(1))).otherwise("").alias("seq_id"), F.array_join(body, "").alias("sequence"))

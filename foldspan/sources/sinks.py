@@ -49,9 +49,9 @@ def with_updates(threads: DataFrame, messages: DataFrame) -> DataFrame:
     return threads.join(last, "thread_id", "left").withColumn("updated_at", F.greatest("updated_at", "__ts")).drop("__ts")
 
 
-def reuse(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stage's earlier output, None if there is none."""
+def reuse(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A stage's earlier output, None if there is none. A schema keeps the type of the partition column."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException:
         return None
