@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foldspan.functions.text import blank, safe_join
+from foldspan.functions.text import blank, clean_text, safe_join
 
 #: Score of a source, and domains that are trusted.
 SOURCE_SCORES = {"PubMed": 0.95, "EuropePMC": 0.90, "OpenAlex": 0.80, "WebSearch": 0.45, "LocalPDF": 0.90}
@@ -149,13 +149,13 @@ def source_debug(log: DataFrame, hits: DataFrame) -> DataFrame:
 def text_budget(docs: DataFrame, max_files: int = 20, per_file: int = 8000, total: int = 50_000) -> DataFrame:
     """Local documents (project_id, name, text) within a running budget of characters, in name order.
 
-    The first max_files documents of a project count; blank ones are errors and use nothing; each is cut to per_file and
+    White space is collapsed first. The first max_files documents of a project count; blank ones are errors and use nothing; each is cut to per_file and
     the running sum to total; an excerpt that the budget cuts on white space frees one character for the next document.
     Returns (project_id, name, excerpt, abstract, status) with status used, error or skipped.
     """
     place = Window.partitionBy("project_id").orderBy("name")
     rows = docs.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= max_files)
-    rows = rows.withColumn("piece", F.rtrim(F.left(F.trim(blank("text")), F.lit(per_file))))
+    rows = rows.withColumn("piece", F.rtrim(clean_text("text", per_file)))
     full = rows.filter(F.col("piece") != "")
     before = F.coalesce(F.sum(F.length("piece")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     full = full.withColumn("room", F.greatest(F.lit(0), F.lit(total) - before)).withColumn("cut", F.rtrim(F.left("piece", F.col("room").cast("int"))))

@@ -28,7 +28,7 @@ _SCORE = (
     f" - CASE WHEN {_CHOSEN} = '' THEN 0.1::DOUBLE ELSE 0::DOUBLE END))"
 )
 _TIERED = f"scored AS (SELECT *, CASE WHEN quality_score >= 0.75::DOUBLE THEN 'high' WHEN quality_score >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS quality_tier FROM (SELECT *, {_SCORE} AS quality_score FROM ({_FLAGS})))"
-_BUDGET = f"""budget AS (SELECT project_id, name, row_number() OVER (PARTITION BY project_id ORDER BY name) AS n, rtrim(left(trim(text), 8000)) AS piece FROM localdocs),
+_BUDGET = f"""budget AS (SELECT project_id, name, row_number() OVER (PARTITION BY project_id ORDER BY name) AS n, rtrim(left(trim(regexp_replace(text, '{WHITE}', ' ', 'g')), 8000)) AS piece FROM localdocs),
 first AS (SELECT project_id, name, piece, row_number() OVER (PARTITION BY project_id ORDER BY name) AS k FROM budget WHERE n <= 20 AND piece <> ''),
 loop AS (SELECT project_id, 0 AS k, 0 AS used, '' AS name, '' AS excerpt FROM (SELECT DISTINCT project_id FROM first)
     UNION ALL SELECT f.project_id, f.k, l.used + length(rtrim(left(f.piece, 50000 - l.used))), f.name, rtrim(left(f.piece, 50000 - l.used)) FROM loop l JOIN first f ON f.project_id = l.project_id AND f.k = l.k + 1),
