@@ -5,6 +5,9 @@ is shuffled and one long document costs n log n of its own words.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ BOILERPLATE = (
     "uses cookies", "enable javascript", "click here", "read more", "sign up", "log in", "subscribe to our",
     "share this", "back to top", "skip to content", "lorem ipsum",
 )
+END_MARK = "[.!?…:;,\"'”’)][\\x20\\x09-\\x0D]*$"
 MIN_WORDS = 50
 #: A document is rejected if fewer than so many percent of its lines' characters are left.
 KEEP_PERCENT = 50
@@ -32,30 +36,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
-def _count(text: Column, letters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, letters, ""))
+def occurrences(text: Column, parts: Iterable[str]) -> Column:
+    """How often parts stand in text, without overlap; counted by the bytes that taking them out saves."""
+    counts = [(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(p), F.lit("")))) / len(p.encode()) for p in parts]
+    return reduce(lambda a, b: a + b, counts).cast("int")
 
 
-def repeat_words(tokens: Column) -> Column:
-    """Words that lie in a window of three words found twice or more. Windows are sorted by hash with their places, so that
-    equal ones are neighbours; the places of repeated windows, in order, cover three words each, less what they overlap."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(tokens) - 2), lambda i: F.struct(F.xxhash64(F.element_at(tokens, i), F.element_at(tokens, i + 1), F.element_at(tokens, i + 2)).alias("h"), i.alias("i")))
+def repeat_words(windows: Column) -> Column:
+    """Words that lie in a window of three words found twice or more; windows are hashes in text order. Windows are sorted
+    with their places, so that equal ones are neighbours; the places of repeated windows, in order, cover three words
+    each, less what they overlap. A text without equal windows is not sorted."""
+    placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     twice = lambda s: F.filter(F.transform(s, lambda x, k: F.when(same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)), x["i"])), lambda i: i.isNotNull())
     covered = lambda p: F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    counted = let(F.sort_array(windows), lambda s: let(F.sort_array(twice(s)), covered))
-    return F.when(F.size(tokens) >= 3, counted).otherwise(0).cast("long")
+    counted = let(F.sort_array(placed), lambda s: let(F.sort_array(twice(s)), covered))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), counted).otherwise(0).cast("long")
 
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails a rule: navigation (separators between few words), punctuation (symbols, doubled
-    marks or capitals throughout, or a fragment without an end mark), boilerplate (a known phrase)."""
+    marks or capitals throughout, or a fragment without an end mark), boilerplate (a known phrase). Cheap conditions stand
+    before the counts that they must hold for: three capitals in a row among the letters before the share of capitals, a
+    doubled mark before their number, white space twice before the number of words."""
     spaced = F.regexp_count(F.trim(line), F.lit(WHITE)) + 1
-    symbols, bars = _count(line, SYMBOLS + "{}=~^@"), _count(line, "|»•")
+    symbols, bars = occurrences(line, SYMBOLS + "{}=~^@"), occurrences(line, "|»•")
     upper, letters = F.regexp_count(line, F.lit("\\p{Lu}")), F.regexp_count(line, F.lit("\\p{L}"))
     navigation = (bars >= 3) & (bars * 5 >= spaced)
-    punctuation = ((symbols >= 3) & (symbols * 4 > spaced)) | (F.regexp_count(line, F.lit("[!?]{2,}")) * 5 > spaced) | ((letters >= 20) & (upper * 10 > letters * 7)) | ((spaced < 3) & ~line.rlike("[.!?…:;,\"'”’)][\\x20\\x09-\\x0D]*$"))
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
+    doubled = reduce(lambda a, b: a | b, [line.contains(x) for x in ("!!", "??", "!?", "?!")]) & (F.regexp_count(line, F.lit("[!?]{2,}")) * 5 > spaced)
+    capitals = line.rlike("\\p{Lu}\\P{L}*\\p{Lu}\\P{L}*\\p{Lu}") & (letters >= 20) & (upper * 10 > letters * 7)
+    fragment = ~F.trim(line).rlike(f"{WHITE}{SOLID}+{WHITE}") & ~line.rlike(END_MARK)
+    punctuation = ((symbols >= 3) & (symbols * 4 > spaced)) | doubled | capitals | fragment
+    boilerplate = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in BOILERPLATE]))
     return navigation | punctuation | boilerplate
 
 
@@ -68,27 +80,35 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words(text).alias("w"), F.split(text, "\n").alias("lines"))
-    solid = F.filter("lines", lambda x: x.rlike(SOLID))
+    window = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))
     rows = base.select(
         "doc_id",
+        "lines",
+        F.filter("lines", lambda x: x.rlike(SOLID)).alias("solid"),
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        let(solid, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("w")).alias("n_repeat_words"),
-        F.transform("lines", lambda x: F.struct(x.alias("line"), (x.rlike(SOLID) & line_fails(x)).alias("fails"))).alias("lines"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        occurrences(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.when(F.size("w") >= 3, window).otherwise(F.array().cast("array<bigint>")).alias("windows"),
+    )
+    rows = rows.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        (F.size("solid") - F.size(F.array_distinct("solid"))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col("windows")).alias("n_repeat_words"),
+        F.size("solid").cast("long").alias("n_lines"),
+        F.length(F.array_join("solid", "")).cast("long").alias("line_chars"),
+        F.filter("lines", lambda x: ~(x.rlike(SOLID) & line_fails(x))).alias("left"),
     )
-    size = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + F.when(x["line"].rlike(SOLID), F.length(x["line"])).otherwise(0))
-    left = F.filter("lines", lambda x: ~x["fails"])
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    rows = rows.withColumn("still", F.filter("left", lambda x: x.rlike(SOLID)))
     rows = rows.select(
-        *[c for c in rows.columns if c != "lines"],
+        *[c for c in rows.columns if c not in ("left", "still")],
         failed.alias("base_failed"),
-        F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["line"].rlike(SOLID).cast("long")).alias("n_lines"),
-        F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["fails"].cast("long")).alias("n_failed_lines"),
-        size(F.col("lines")).alias("line_chars"),
-        size(left).alias("kept_chars"),
-        F.array_join(F.transform(left, lambda x: x["line"]), "\n").alias("cleaned"),
+        (F.col("n_lines") - F.size("still")).alias("n_failed_lines"),
+        F.length(F.array_join("still", "")).cast("long").alias("kept_chars"),
+        F.array_join("left", "\n").alias("cleaned"),
     )
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") * 100 >= F.col("line_chars") * KEEP_PERCENT))
 
