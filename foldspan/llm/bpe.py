@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
 A task splits its texts at white space, looks known chunks up, and hands the pieces it has not met to DuckDB: rows
-(word, position, token id) join the merge table, each word's leftmost pair of minimum rank is contracted, and the
-recursion ends when no word changes. Decoding cuts ids before tokens that begin with a space and turns new runs into
+(word and position in one key, token id) join the merge table, each word's leftmost pair of minimum rank is contracted, and
+the recursion ends when no word changes. Decoding cuts ids before tokens that begin with a space and turns new runs into
 bytes by an ordered aggregation. What a task remembers is bounded: two generations of dictionaries, the older of which
 is dropped. No row is shuffled; a lost executor costs the rerun of its partitions only.
 """
@@ -31,20 +31,21 @@ DUCKDB_MEMORY = "128MB"
 WORDS_A_QUERY = 20_000
 
 ENCODE = """
-WITH RECURSIVE step(w, p, id, round) AS (
-    SELECT w, p, id, 0 FROM tokens
+WITH RECURSIVE step(k, id, done) AS (
+    SELECT (w::BIGINT << 32) | p, id, false FROM tokens
     UNION ALL
-    (WITH pair AS (
-        SELECT w, p, id, lead(id) OVER word AS next_id, lead(p) OVER word AS next_p
-        FROM step WINDOW word AS (PARTITION BY w ORDER BY p)
+    (WITH live AS (
+        SELECT k, id FROM step WHERE NOT done
+    ), pair AS (
+        SELECT k, id, lead(id) OVER place AS next_id, lead(k) OVER place AS next_k FROM live WINDOW place AS (ORDER BY k)
     ), best AS (
-        SELECT w, min({'rank': m.merged, 'p': p, 'gone': next_p}) AS b
-        FROM pair JOIN merges m ON pair.id = m.l AND pair.next_id = m.r GROUP BY w
+        SELECT k >> 32 AS w, min((merged::BIGINT << 32) | (k & 4294967295)) AS pick, arg_min(next_k, (merged::BIGINT << 32) | (k & 4294967295)) AS gone
+        FROM pair JOIN merges ON pair.id = merges.l AND pair.next_id = merges.r WHERE k >> 32 = next_k >> 32 GROUP BY 1
     )
-    SELECT s.w, s.p, CASE WHEN s.p = best.b.p THEN best.b.rank ELSE s.id END, s.round + 1
-    FROM step s JOIN best ON s.w = best.w WHERE s.p <> best.b.gone)
-), final AS (SELECT w, max(round) AS round FROM step GROUP BY w)
-SELECT s.w, list(s.id ORDER BY s.p) AS ids FROM step s JOIN final USING (w, round) GROUP BY s.w ORDER BY s.w
+    SELECT s.k, CASE WHEN s.k & 4294967295 = pick & 4294967295 THEN (pick >> 32)::INTEGER ELSE s.id END, best.w IS NULL
+    FROM live s LEFT JOIN best ON s.k >> 32 = best.w WHERE best.w IS NULL OR s.k <> gone)
+)
+SELECT k >> 32 AS w, list(id ORDER BY k) AS ids FROM step WHERE done GROUP BY 1 ORDER BY 1
 """
 DECODE = """
 SELECT w, string_agg(hex, '' ORDER BY p) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspan.llm.common import written
+
 #: White space between words: space and the control characters 9 to 13.
 WHITE = "[\\x20\\x09-\\x0D]+"
 SOLID = "[^\\x20\\x09-\\x0D]"
@@ -114,10 +116,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs that are kept, with the failing lines taken out of their texts. All columns stay; n_chars, if there, follows the new text."""
+    """docs that are kept, with the failing lines taken out of their texts. All columns stay; n_chars, if there, follows the
+    new text. Verdicts are written before rows are dropped: a filter on the verdict would be pushed below the rules, and
+    the planner would unfold all of them into one condition."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     packed = docs.select(F.struct(id_col, *rest).alias("__row"), F.col(text_col).alias("__text"))
-    kept = judged(packed, "__row", "__text").filter("kept").select("doc_id.*", F.col("cleaned").alias(text_col))
+    verdicts = written(judged(packed, "__row", "__text").select("doc_id", "kept", "cleaned"), "cleaned")
+    kept = verdicts.filter("kept").select("doc_id.*", F.col("cleaned").alias(text_col))
     if "n_chars" in rest:
         kept = kept.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
