@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,18 @@ BROADCAST_ROWS = 2_000_000
 BLOCK_BYTES = 1 << 20
 
 
+@lru_cache(maxsize=1)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="spark-scratch-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where none is set (tests on one machine), a new temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The shared folder of spark.checkpoint.dir. Where none is set: a temporary one on a single machine (tests), else a
+    folder in the warehouse, which executors share too."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    return _temporary() if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
