@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from foldspan.schemas import require_columns
 
@@ -130,5 +129,5 @@ def pocket_assays(long: DataFrame, assays: DataFrame) -> DataFrame:
 
 
 def row_order(df: DataFrame, *keys: str) -> DataFrame:
-    """Adds ord, the place of each row by keys, for tables that come without an order."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*keys)))
+    """Adds ord, the keys that order rows of a table that comes without an order; no rank, so no row moves."""
+    return df.withColumn("ord", F.struct(*keys))

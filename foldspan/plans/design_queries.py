@@ -130,7 +130,7 @@ def _georgiev_matrix(s, d):
 
 
 def _metric_names(s, d):
-    wide = P.row_order(view(s, d, "pocket"), "struct_name").withColumns({"note": F.lit("x"), "mixed": F.when(F.col("ord") == 1, "1.5").otherwise("n/a")})
+    wide = P.row_order(view(s, d, "pocket"), "struct_name").withColumns({"note": F.lit("x"), "mixed": F.when(F.col("tax") >= 0, "1.5").otherwise("n/a")})
     names = P.detect_metrics(wide)
     return wide.limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("metric"))
 

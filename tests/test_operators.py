@@ -263,3 +263,11 @@ def test_scores_on_a_stream(spark, tmp_path):
     query = stream_rows.run(stream_rows.stream(spark, str(tmp_path / "in"), data._jdf.schema().toDDL(), 1), stream_rows.score_hits, str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_pocket_descriptors(spark):
+    data = [("s", "GLY", 3.0), ("s", "TRP", 4.0), ("s", "LYS", 9.0), ("s", "UNK", 1.0)]
+    got = {r["shell"]: r for r in structures.pocket_descriptors(spark.createDataFrame(data, "structure_id string, resn string, min_dist double")).collect()}
+    near, far = got["proximal"], got["distal"]
+    assert (near["n"], near["mean_volume"], near["small_residue_frac"], near["bulky_residue_frac"], near["charged_fraction"]) == (2, 105.5, 0.5, 0.5, 0.0)
+    assert math.isclose(near["weighted_mean_volume"], (48 / 3 + 163 / 4) / (1 / 3 + 1 / 4)) and far["charged_fraction"] == 1.0 and far["volume_variance"] is None
