@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
-A task splits its texts at white space, looks known chunks up, and hands the pieces it has not met to DuckDB: rows
-(word and position in one key, token id) join the merge table, each word's leftmost pair of minimum rank is contracted, and
-the recursion ends when no word changes. Decoding cuts ids before tokens that begin with a space and turns new runs into
-bytes by an ordered aggregation. What a task remembers is bounded: two generations of dictionaries, the older of which
-is dropped. No row is shuffled; a lost executor costs the rerun of its partitions only.
+A task splits its texts at white space, looks known chunks up, and hands the pieces it has not met to DuckDB: rows (word and
+position in one key, token id) join the merge table, each word's leftmost pair of minimum rank is contracted, and the
+recursion ends when no word changes. Decoding joins ids to the vocabulary and aggregates their bytes in order. What a task
+remembers is bounded: two generations of dictionaries, the older of which is dropped. No row is shuffled; a lost executor
+costs the rerun of its partitions only.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ _WS = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + "".join(map(chr, (0x2
 #: Chunks at whose ends every match of the splitting pattern also ends.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Entries of one generation of a task's dictionaries.
-CHUNKS, PIECES, RUNS = 150_000, 300_000, 150_000
+CHUNKS, PIECES = 100_000, 300_000
 #: DuckDB's memory in a task.
 DUCKDB_MEMORY = "128MB"
 #: Words handed to one recursive query.
@@ -48,26 +48,29 @@ WITH RECURSIVE step(k, id, done) AS (
 SELECT k >> 32 AS w, list(id ORDER BY k) AS ids FROM step WHERE done GROUP BY 1 ORDER BY 1
 """
 DECODE = """
-SELECT w, string_agg(hex, '' ORDER BY p) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w
+SELECT w, from_hex(string_agg(hex, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w
 """
 
 
 class Remembered:
-    """A dictionary of bounded size: a full generation becomes the old one, and what is still used moves on."""
+    """A dictionary of bounded size. Between batches a full generation becomes the old one, from which what is still used
+    moves on."""
 
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
+    def missing(self, keys: set) -> list:
+        """Keys to be added to new; the others are in it."""
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        lost = []
+        for key in keys.difference(self.new):
+            found = self.old.get(key)
+            if found is None:
+                lost.append(key)
+            else:
+                self.new[key] = found
+        return lost
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -94,9 +97,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM source")
         self.db.unregister("source")
         self.byte_id = np.array([known.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.spaced = np.zeros(max(known.values(), default=0) + 1, bool)
-        self.spaced[[r for t, r in ranks if t[:1] == b" "]] = True
-        self.chunks, self.pieces, self.runs = Remembered(CHUNKS), Remembered(PIECES), Remembered(RUNS)
+        self.chunks, self.pieces = Remembered(CHUNKS), Remembered(PIECES)
 
     def _rows(self, ids: np.ndarray, lengths: np.ndarray, sql: str) -> pa.Table:
         starts = np.cumsum(lengths) - lengths
@@ -121,36 +122,23 @@ class Codec:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         split = [_CHUNK.findall(t) for t in texts]
-        known = {c: self.chunks.get(c) for c in {c for x in split for c in x}}
-        pieces = {c: self.pattern.findall(c) for c, ids in known.items() if ids is None}
-        ids = {p: self.pieces.get(p) for p in {p for x in pieces.values() for p in x}}
-        for p, found in self._merged([p for p, x in ids.items() if x is None]).items():
-            ids[p] = found
-            self.pieces.put(p, found)
-        for c, x in pieces.items():
-            known[c] = b"".join([ids[p] for p in x])
-            self.chunks.put(c, known[c])
-        return [b"".join([known[c] for c in x]) for x in split]
+        new = {c: self.pattern.findall(c) for c in self.chunks.missing(set().union(*split))}
+        pieces = self.pieces.missing(set().union(*new.values()))
+        known = self.pieces.new
+        known.update(self._merged(pieces))
+        found = self.chunks.new
+        for c, x in new.items():
+            found[c] = b"".join([known[p] for p in x])
+        return [b"".join([found[c] for c in x]) for x in split]
 
     def decode(self, encoded: Iterable[bytes]) -> list[bytes]:
-        split = []
-        for x in encoded:
-            ids = np.frombuffer(x, "<u4")
-            cuts = (np.flatnonzero(self.spaced[ids]) * 4).tolist() if len(ids) else []
-            if cuts[:1] != [0]:
-                cuts.insert(0, 0)
-            cuts.append(len(x))
-            split.append([x[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        known = {r: self.runs.get(r) for r in {r for x in split for r in x}}
-        new = [r for r, x in known.items() if x is None]
-        for k in range(0, len(new), WORDS_A_QUERY):
-            part = new[k : k + WORDS_A_QUERY]
-            out = self._rows(np.frombuffer(b"".join(part), "<u4"), np.array([len(r) // 4 for r in part]), DECODE)
-            found = dict.fromkeys(part, b"") | {part[w]: bytes.fromhex(h) for w, h in zip(out.column("w").to_pylist(), out.column("hex").to_pylist(), strict=True)}
-            for r, x in found.items():
-                known[r] = x
-                self.runs.put(r, x)
-        return [b"".join([known[r] for r in x]) for x in split]
+        encoded = list(encoded)
+        lengths = np.array([len(x) // 4 for x in encoded], np.int64)
+        out = self._rows(np.frombuffer(b"".join(encoded), "<u4"), lengths, DECODE)
+        decoded = [b""] * len(encoded)
+        for w, x in zip(out.column("w").to_pylist(), out.column("bytes").to_pylist(), strict=True):
+            decoded[w] = x
+        return decoded
 
 
 _OPEN: dict[tuple, Codec] = {}
@@ -209,5 +197,14 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes each text: (doc_id, ids, n_tokens, decoded)."""
-    return decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path, pattern)
+    """Encodes each text and decodes its ids, in one pass and one Python worker a task: (doc_id, ids, n_tokens, decoded)."""
+    shared = _shared(docs, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared, ranks_path, pattern)
+        for batch in batches:
+            for part in _parts(batch):
+                ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary")

@@ -52,6 +52,8 @@ def test_tokens_equal_the_library(spark):
         text = ([*texts, texts[0]][r["doc_id"] - 1]) or ""
         ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
         assert ids == library.encode_ordinary(text) and r["n_tokens"] == len(ids) and bytes(r["decoded"]).decode() == text
+    apart = bpe.decode(bpe.encode(frame(spark, texts), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in apart.collect()} == {k: t or "" for k, t in enumerate(texts, 1)}
     assert bpe.encode(frame(spark, ["x"]).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
