@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, and Smith-Waterman alignment scores
+"""Benchmark decontamination: n-gram seeds join training passages to test items, and Smith-Waterman alignment scores
 edited copies.
 
 Benchmarks are handled in blocks of at most SEEDS_A_BLOCK seeds, so what is broadcast has a set bound and a larger
-benchmark means more passes, not larger ones. One pass over the documents finds each place where a seed of the block
-stands; each seed's places are counted over all documents; seeds much more frequent than their item's median are
-dropped, so that a phrase like "of the" does not join everything and an item that leaked often keeps its seeds. Places of
-rare seeds, joined to items, give windows; documents with windows are read again and aligned.
+benchmark means more passes, not larger ones. A block takes one pass over the documents. Each place where a seed stands
+gives a window, however frequent the seed is; a window is aligned if it holds so many of the item's words that it can
+reach the least score, so a phrase like "of the" costs no alignment and whether a copy is found depends on itself only.
 """
 
 from __future__ import annotations
@@ -22,13 +21,9 @@ from foldspan.llm.common import blocks, broadcast_if_small, ngram_hashes, runs,
 
 SEED = 3
 SEEDS_A_BLOCK = 1_000_000
-#: A seed is rare if it stands at most so many times as often as its item's median seed.
-RARE = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the score of an unchanged copy, and least matched words, of a contaminated passage.
 LEAST, LEAST_WORDS = 0.5, 5
-#: Windows with documents' ids are broadcast up to so many rows.
-WINDOW_ROWS = 500_000
 _CELLS = 4_000_000
 
 
@@ -69,25 +64,72 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item_id long, words binary, seeds array<long>")
 
 
-def _places(docs: DataFrame, seeds: np.ndarray, short: list[int]) -> DataFrame:
-    """(doc_id, seed, place) wherever one of seeds (sorted) stands in docs (id, text). short: word counts of seeds of short items."""
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            row, seed, place = [], [], []
-            for k, _, hashes, _, _ in _tokens(batch.column(1)):
-                for n in (SEED, *short):
-                    grams = ngram_hashes(hashes, n)
-                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams)
-                    row.append(np.full(len(at), k))
-                    seed.append(grams[at].view(np.int64))
-                    place.append(at)
-            if row:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(seed)), pa.array(np.concatenate(place).astype(np.int32))], ["doc_id", "seed", "place"])
-
-    return docs.mapInArrow(run, "doc_id long, seed long, place int")
+def _parts(sizes: np.ndarray, most: int = _CELLS // 4) -> Iterator[slice]:
+    """Runs of entries whose sizes sum to about most, at least one entry each."""
+    sums, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + most, "right")))
+        yield slice(i, j)
+        i = j
+
+
+def _expanded(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entry number of each element of ranges of sizes that begin at starts, and the elements."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
+
+
+class _Index:
+    """Items of a block by seed: for each of the sorted seeds the places (item, q) where it stands, and all items' words."""
+
+    def __init__(self, ids: list[int], words: list[bytes], seeds: list[np.ndarray]):
+        self.ids = ids
+        self.words = np.frombuffer(b"".join(words), np.uint64)
+        self.lengths = np.array([len(w) // 8 for w in words], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.widths = sorted({SEED, *(int(n) for n in self.lengths if n < SEED)})
+        flat = np.concatenate(seeds).view(np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.seeds, self.firsts, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
+        item, q = _expanded(np.zeros(len(seeds), np.int64), np.array([len(x) for x in seeds], np.int64))
+        self.items, self.q = item[order], q[order]
+
+    def windows(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, lo, hi): parts of a document's words around places with a seed of the item, without those that hold too
+        few of the item's words for an alignment that counts."""
+        hits, places = [], []
+        for n in self.widths:
+            grams = ngram_hashes(hashes, n)
+            at = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
+            places.append(np.flatnonzero(self.seeds[at] == grams))
+            hits.append(at[places[-1]])
+        hit, place = np.concatenate(hits), np.concatenate(places)
+        if not len(hit):
+            return
+        known, number = np.unique(hashes, return_inverse=True)
+        span = len(hashes) + 1
+        stands = np.sort(number * span + np.arange(len(hashes)))
+        for part in _parts(self.counts[hit]):
+            owner, entry = _expanded(self.firsts[hit[part]], self.counts[hit[part]])
+            item, begins = self.items[entry], place[part][owner] - self.q[entry]
+            slack = np.maximum(8, self.lengths[item] // 2)
+            cell = begins // (self.lengths[item] + slack)
+            order = np.lexsort((begins, cell, item))
+            item, begins, cell, slack = item[order], begins[order], cell[order], slack[order]
+            first = np.append(True, (item[1:] != item[:-1]) | (cell[1:] != cell[:-1]))
+            last = np.append(first[1:], True)
+            lo, item = np.maximum(0, begins[first] - slack[first]), item[first]
+            hi = np.minimum(len(hashes), begins[last] + self.lengths[item] + slack[last])
+            for some in _parts(self.lengths[item]):
+                size = self.lengths[item[some]]
+                owner, entry = _expanded(self.offsets[item[some]], size)
+                at = np.minimum(np.searchsorted(known, self.words[entry]), len(known) - 1)
+                after = np.searchsorted(stands, at * span + lo[some][owner])
+                held = (known[at] == self.words[entry]) & (after < len(stands))
+                held &= stands[np.minimum(after, len(stands) - 1)] < at * span + hi[some][owner]
+                least = np.maximum(np.ceil(LEAST * size), np.minimum(LEAST_WORDS, size))
+                for k in np.flatnonzero(np.bincount(owner, held, len(size)) >= least) + some.start:
+                    yield int(item[k]), int(lo[k]), int(hi[k])
 
 
 def smith_waterman(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,23 +166,21 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int
     return best / (MATCH * len(item)), (best + MATCH - 1) // MATCH, start, column
 
 
-def _aligned_docs(docs: DataFrame, words: dict[int, bytes]) -> DataFrame:
-    """Alignments of the windows (item_id, lo, hi) of each document (id, text, windows)."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def _aligned_docs(docs: DataFrame, index: _Index) -> DataFrame:
+    """Alignments of the items of index with each document (id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        known = shared.value
         for batch in batches:
-            wanted, out = batch.column(2).to_pylist(), []
-            ids = batch.column(0).to_pylist()
+            out, ids = [], batch.column(0).to_pylist()
             for k, raw, hashes, starts, ends in _tokens(batch.column(1)):
                 best: dict[int, tuple] = {}
-                for w in wanted[k]:
-                    item = np.frombuffer(items[w["item_id"]], np.uint64)
-                    lo, hi = max(0, w["lo"]), min(len(hashes), w["hi"])
-                    share, same, a, b = aligned(item, hashes[lo:hi]) if hi > lo else (0.0, 0, 0, 0)
-                    if share >= LEAST and same >= min(LEAST_WORDS, len(item)):
-                        best[w["item_id"]] = max(best.get(w["item_id"], (0.0,)), (share, -(lo + a), lo + b))
+                for number, lo, hi in known.windows(hashes):
+                    item_id, offset, size = known.ids[number], known.offsets[number], known.lengths[number]
+                    share, same, a, b = aligned(known.words[offset : offset + size], hashes[lo:hi])
+                    if share >= LEAST and same >= min(LEAST_WORDS, size):
+                        best[item_id] = max(best.get(item_id, (0.0,)), (share, -(lo + a), lo + b))
                 for item_id, (share, a, b) in best.items():
                     chars = [len(raw[:at].tobytes().decode()) for at in (int(starts[-a]), int(ends[b - 1]))]
                     out.append((ids[k], item_id, share, -a, b, *chars))
@@ -169,29 +209,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _block(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.toPandas()
-    sizes = rows["seeds"].map(len).to_numpy()
-    seeds = np.concatenate(list(rows["seeds"])) if len(rows) else np.zeros(0, np.int64)
-    words = {int(i): bytes(w) for i, w in zip(rows["item_id"], rows["words"], strict=True)}
-    lengths = np.array([len(w) // 8 for w in rows["words"]], np.int64)
-    short = sorted({int(n) for n in lengths if n < SEED})
-    if not len(seeds):
+    if not len(rows):
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long, start long, end long")
-    places = written(_places(docs, np.unique(seeds.view(np.uint64)), short), "places")
-    counted = places.groupBy("seed").agg(F.count("*").alias("n")).toPandas()
-    table = rows.drop(columns=["words", "seeds"]).loc[np.repeat(np.arange(len(rows)), sizes)].reset_index(drop=True)
-    table = table.assign(seed=seeds, q=np.concatenate([np.arange(n) for n in sizes]), size=np.repeat(lengths, sizes))
-    table = table.merge(counted, on="seed")
-    table = table[table["n"] <= RARE * table.groupby("item_id")["n"].transform("median")]
-    spark = docs.sparkSession
-    rare = F.broadcast(spark.createDataFrame(table[["seed", "item_id", "q", "size"]].astype("int64"), "seed long, item_id long, q long, size long"))
-    slack = F.greatest(F.lit(8), F.floor(F.col("size") / 2))
-    begins = F.col("place") - F.col("q")
-    hits = places.join(rare, "seed").select("doc_id", "item_id", "size", slack.alias("slack"), begins.alias("begins"), F.floor(begins / (F.col("size") + slack)).alias("cell"))
-    cells = hits.groupBy("doc_id", "item_id", "cell").agg((F.min("begins") - F.first("slack")).alias("lo"), (F.max("begins") + F.first("size") + F.first("slack")).alias("hi"))
-    windows = cells.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("windows"))
-    windows = broadcast_if_small(written(windows, "windows"), WINDOW_ROWS)
-    read = docs.join(windows.withColumnRenamed("doc_id", "__doc"), F.col("id") == F.col("__doc")).select("id", "text", "windows")
-    return _aligned_docs(read, words).distinct()
+    index = _Index([int(i) for i in rows["item_id"]], [bytes(w) for w in rows["words"]], [np.asarray(x, np.int64) for x in rows["seeds"]])
+    return _aligned_docs(docs, index).distinct()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

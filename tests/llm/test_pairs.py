@@ -132,6 +132,37 @@ def test_copies_of_items_are_found(spark):
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_a_copy_is_found_whatever_stands_in_other_documents(spark):
+    rng = random.Random(8)
+    item = [f"item{k}" for k in range(20)]
+    edit = ["changed" if k % 5 == 4 else w for k, w in enumerate(item)]
+    texts = [(1, " ".join(prose(rng, 20) + item))] + [(k, " ".join(prose(rng, 20) + edit + prose(rng, 5))) for k in range(2, 14)]
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(prose(rng, 25)))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontamination.contaminated(frame(spark, texts), benchmark).filter("item_id = 7").collect()}
+    assert set(got) == set(range(1, 14)) and got[1] == 1.0 and all(got[k] < 1 for k in range(2, 14))
+
+
+def test_windows_lose_no_alignment(spark):
+    """Every window around every shared seed, aligned one by one, over so few words that most seeds are frequent; nothing
+    beyond the alignments of whole documents is found."""
+    rng = random.Random(9)
+    items = {k: [f"w{rng.randint(0, 5)}" for _ in range(rng.randint(1, 14))] for k in range(12)}
+    texts = {k: [f"w{rng.randint(0, 5)}" for _ in range(rng.randint(1, 30))] for k in range(60)}
+    least, most = set(), set()
+    for d, text in texts.items():
+        for i, item in items.items():
+            size, n = len(item), min(3, len(item))
+            counts = lambda best: best >= size and (best + 1) // 2 >= min(5, size)  # noqa: B023, E731
+            begins = {p - q for p in range(len(text) - n + 1) for q in range(size - n + 1) if text[p : p + n] == item[q : q + n]}
+            if any(counts(plain_alignment(item, text[max(0, b - 8) : b + size + 8])) for b in begins):
+                least.add((d, i))
+            if counts(plain_alignment(item, text)):
+                most.add((d, i))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame(spark, [(k, " ".join(w)) for k, w in texts.items()]), benchmark).collect()}
+    assert len(least) > 50 and least <= got <= most
+
+
 def brute_shards(rows, shards, nodes):
     """One row at a time: own shard while it has room, then clockwise; arcs in ring order, first their own, then what is left."""
     marks = sharding.ring(shards, nodes)
