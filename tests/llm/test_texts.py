@@ -207,3 +207,19 @@ def test_licences(spark):
     got = {(r["doc_id"], r["line_no"]): r["family"] for r in licenses.scanned(frame(spark, texts)).collect()}
     assert got[1, 2] == "MIT" and got[2, 1] == "unknown" and got[3, 1] == "GPL" and got[6, 1] == "CC-BY-NC" and (4, 1) not in got
     assert len(got) == 5 and licenses.scanned(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_licences_inside_paragraphs(spark):
+    prose = " ".join(["the river ran past old stone walls and small gardens"] * 3)
+    texts = [
+        f"{prose} Licensed under the Apache License, Version 2.0. {prose}",
+        "Some words of a header\nThis program is free software: you can\nredistribute it and modify it under the terms of\nthe GNU General Public License as published by\nthe Free Software Foundation.",
+        f"{prose}\nThis is free and unencumbered software released into the public\ndomain.\n{prose}",
+        f"{prose} he lost his driving license in the snow of that winter {prose}",
+        "Permission\n\nto enter was given.",
+    ]
+    rows = licenses.scanned(frame(spark, [*texts, *texts[:1]])).collect()
+    got = {(r["doc_id"], r["line_no"]): r for r in rows}
+    assert got[1, 1]["family"] == got[6, 1]["family"] == "Apache-2.0" and got[1, 1]["line"] == texts[0]
+    assert {got[2, k]["family"] for k in (2, 3)} == {"GPL"} and got[3, 2]["family"] == "Public-Domain"
+    assert got[4, 1]["family"] == got[5, 1]["family"] == "unknown" and len(got) == len(rows)
