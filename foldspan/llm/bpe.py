@@ -5,6 +5,12 @@ position in one key, token id) join the merge table, each word's leftmost pair o
 recursion ends when no word changes. Decoding joins ids to the vocabulary and aggregates their bytes in order. What a task
 remembers is bounded: two generations of dictionaries, the older of which is dropped. No row is shuffled; a lost executor
 costs the rerun of its partitions only.
+
+A long word would take a round of all its rows for each merge. Its rounds therefore contract every pair that is sure to be
+contracted as it stands: one whose rank is the minimum, and leftmost, within twice the length of the longest token that
+the word's bytes can make, since nothing farther away can reach it before; and all pairs of the word's minimum rank, left
+to right, unless a token so made would at once make a pair of a lower rank. Rounds then depend on that length and not on
+the word's.
 """
 
 from __future__ import annotations
@@ -12,9 +18,11 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +33,16 @@ _WS = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + "".join(map(chr, (0x2
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Entries of one generation of a task's dictionaries.
 CHUNKS, PIECES = 100_000, 300_000
-#: DuckDB's memory in a task.
+#: DuckDB's memory in a task; it never writes to a local disk.
 DUCKDB_MEMORY = "128MB"
-#: Words handed to one recursive query.
-WORDS_A_QUERY = 20_000
+#: Bytes of words handed to one recursive query, and ids to one decoding query; a word alone may have more bytes.
+BYTES_A_QUERY, IDS_A_QUERY = 1 << 18, 1 << 19
+#: Words of more bytes are encoded by LONG.
+LONG_WORD = 64
+#: Rows that the rounds of one query of long words may pile up.
+ROWS_A_QUERY = 2_000_000
+#: Chunks of a text that are looked up at a time.
+CHUNKS_AT_A_TIME = 1 << 16
 
 ENCODE = """
 WITH RECURSIVE step(k, id, done) AS (
@@ -47,6 +61,38 @@ WITH RECURSIVE step(k, id, done) AS (
 )
 SELECT k >> 32 AS w, list(id ORDER BY k) AS ids FROM step WHERE done GROUP BY 1 ORDER BY 1
 """
+LONG = """
+WITH RECURSIVE step(k, id, round) AS (
+    SELECT (w::BIGINT << 32) | p, id, 0 FROM tokens
+    UNION ALL
+    (WITH pair AS (
+        SELECT k, k >> 32 AS w, id, round, lag(id) OVER place AS before_id, lead(id) OVER place AS next_id, lead(k) OVER place AS next_k,
+            lead(id, 2) OVER place AS after_id, lead(k, 2) OVER place AS after_k, row_number() OVER place AS n
+        FROM step WHERE round >= 0 AND round < {rounds} WINDOW place AS (ORDER BY k)
+    ), ranked AS (
+        SELECT pair.*, merged AS rank, min(merged) OVER (PARTITION BY w) AS least
+        FROM pair LEFT JOIN merges ON id = merges.l AND next_id = merges.r AND w = next_k >> 32
+    ), made AS (
+        SELECT w, least, least AS l, after_id AS r FROM ranked WHERE rank = least AND w = after_k >> 32
+        UNION SELECT w, least, before_id, least FROM ranked WHERE rank = least
+        UNION SELECT w, least, least, least FROM ranked WHERE rank = least
+    ), risky AS (
+        SELECT DISTINCT w FROM made JOIN inverted USING (l, r) WHERE merged < least
+    ), tied AS (
+        SELECT ranked.*, rank = least AND risky.w IS NULL AS tie FROM ranked LEFT JOIN risky ON ranked.w = risky.w
+    ), judged AS (
+        SELECT k, id, round, least, rank,
+            coalesce(rank < coalesce(min(rank) OVER (PARTITION BY w ORDER BY k ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING), 2147483647)
+                AND rank <= coalesce(min(rank) OVER (PARTITION BY w ORDER BY k ROWS BETWEEN 1 FOLLOWING AND {reach} FOLLOWING), 2147483647), false)
+            OR coalesce(tie AND (n - coalesce(max(CASE WHEN coalesce(tie, false) THEN 0 ELSE n END) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1, false) AS chosen
+        FROM tied
+    ), after AS (
+        SELECT *, lag(chosen, 1, false) OVER (ORDER BY k) AS taken FROM judged
+    )
+    SELECT k, CASE WHEN chosen THEN rank ELSE id END, CASE WHEN least IS NULL THEN -1 ELSE round + 1 END FROM after WHERE NOT taken)
+)
+SELECT (k >> 32)::INTEGER AS w, (k & 4294967295)::INTEGER AS p, id, round < 0 AS done FROM step WHERE round < 0 OR round = {rounds} ORDER BY k
+"""
 DECODE = """
 SELECT w, from_hex(string_agg(hex, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w
 """
@@ -88,40 +134,60 @@ class Codec:
         self.pattern = regex.compile(pattern)
         known = dict(ranks)
         pairs = [(known[t[:k]], known[t[k:]], r) for t, r in ranks for k in range(1, len(t)) if t[:k] in known and t[k:] in known]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else (pa.array([], pa.int32()),) * 3
-        self.db.register("source", pa.table({"l": left, "r": right, "merged": merged}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM source")
-        self.db.unregister("source")
-        self.db.register("source", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "hex": [t.hex() for t, _ in ranks]}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM source")
-        self.db.unregister("source")
+        self._table("merges", pa.table({"l": left, "r": right, "merged": merged}))
+        self.db.execute("CREATE TABLE inverted AS SELECT * FROM merges WHERE merged < greatest(l, r)")
+        self._table("vocabulary", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "hex": [t.hex() for t, _ in ranks]}))
         self.byte_id = np.array([known.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.longest = sorted(known, key=len, reverse=True)
         self.chunks, self.pieces = Remembered(CHUNKS), Remembered(PIECES)
 
-    def _rows(self, ids: np.ndarray, lengths: np.ndarray, sql: str) -> pa.Table:
-        starts = np.cumsum(lengths) - lengths
-        rows = pa.table({"w": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), "p": (np.arange(len(ids)) - np.repeat(starts, lengths)).astype(np.int32), "id": ids.astype(np.int32)})
-        self.db.register("tokens", rows)
+    def _table(self, name: str, rows: pa.Table) -> None:
+        self.db.register("source", rows)
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM source")
+        self.db.unregister("source")
+
+    def _query(self, w: np.ndarray, p: np.ndarray, ids: np.ndarray, sql: str) -> pa.Table:
+        self.db.register("tokens", pa.table({"w": w.astype(np.int32), "p": p.astype(np.int32), "id": ids.astype(np.int32)}))
         try:
             return self.db.sql(sql).to_arrow_table()
         finally:
             self.db.unregister("tokens")
 
+    def _long(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of each of a few long words; queries run until each word is done."""
+        present = set().union(*raw)
+        reach = 2 * next((len(t) for t in self.longest if present.issuperset(t)), 1)
+        w, p = _places(np.array([len(x) for x in raw]))
+        ids, out = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)], [b""] * len(raw)
+        while len(w):
+            rounds = max(1, min(32, ROWS_A_QUERY // len(w)))
+            found = self._query(w, p, ids, LONG.format(rounds=rounds, reach=reach))
+            w, p, ids, done = (found.column(c).to_numpy() for c in ("w", "p", "id", "done"))
+            ready, whole = w[done], ids[done].astype("<u4")
+            for k, a, b in zip(*np.unique(ready, return_index=True), np.append(np.flatnonzero(np.diff(ready)) + 1, len(ready)), strict=True) if len(ready) else ():
+                out[k] = whole[a:b].tobytes()
+            w, p, ids = w[~done], p[~done], ids[~done]
+        return out
+
+    def _short(self, raw: list[bytes]) -> list[bytes]:
+        found = self._query(*_places(np.array([len(x) for x in raw])), self.byte_id[np.frombuffer(b"".join(raw), np.uint8)], ENCODE)
+        lists = found.column("ids").combine_chunks()
+        flat, at = np.asarray(lists.flatten(), np.uint32).astype("<u4").tobytes(), np.asarray(lists.offsets) * 4
+        at = at - at[0]
+        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def _merged(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
-        found = {}
-        for k in range(0, len(words), WORDS_A_QUERY):
-            part = words[k : k + WORDS_A_QUERY]
-            raw = [w.encode() for w in part]
-            out = self._rows(self.byte_id[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(x) for x in raw]), ENCODE)
-            lists = out.column("ids").combine_chunks()
-            flat, at = np.asarray(lists.flatten(), np.uint32).astype("<u4").tobytes(), np.asarray(lists.offsets) * 4
-            found.update((part[w], flat[a:b]) for w, a, b in zip(out.column("w").to_pylist(), (at - at[0])[:-1].tolist(), (at - at[0])[1:].tolist(), strict=True))
+        found, raw = {}, [w.encode() for w in words]
+        for long, contract in ((False, self._short), (True, self._long)):
+            some = [k for k, x in enumerate(raw) if (len(x) > LONG_WORD) == long]
+            for part in _runs([len(raw[k]) for k in some], BYTES_A_QUERY):
+                found.update(zip((words[k] for k in some[part]), contract([raw[k] for k in some[part]]), strict=True))
         return found
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        split = [_CHUNK.findall(t) for t in texts]
+    def _encoded(self, split: list[list[str]]) -> list[bytes]:
         new = {c: self.pattern.findall(c) for c in self.chunks.missing(set().union(*split))}
         pieces = self.pieces.missing(set().union(*new.values()))
         known = self.pieces.new
@@ -131,14 +197,49 @@ class Codec:
             found[c] = b"".join([known[p] for p in x])
         return [b"".join([found[c] for c in x]) for x in split]
 
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of each text. A long text is looked up a part at a time."""
+        out, split = [], []
+        for text in texts:
+            if len(text) < CHUNKS_AT_A_TIME:
+                split.append(_CHUNK.findall(text))
+                continue
+            out += self._encoded(split)
+            split, chunks, parts = [], (m[0] for m in _CHUNK.finditer(text)), []
+            while part := list(islice(chunks, CHUNKS_AT_A_TIME)):
+                parts += self._encoded([part])
+            out.append(b"".join(parts))
+        return out + self._encoded(split)
+
     def decode(self, encoded: Iterable[bytes]) -> list[bytes]:
-        encoded = list(encoded)
-        lengths = np.array([len(x) // 4 for x in encoded], np.int64)
-        out = self._rows(np.frombuffer(b"".join(encoded), "<u4"), lengths, DECODE)
-        decoded = [b""] * len(encoded)
-        for w, x in zip(out.column("w").to_pylist(), out.column("bytes").to_pylist(), strict=True):
-            decoded[w] = x
-        return decoded
+        """Bytes of each row of ids. Rows of many ids are decoded a part at a time."""
+        encoded, out = list(encoded), []
+        parts = [(k, x[a : a + 4 * IDS_A_QUERY]) for k, x in enumerate(encoded) for a in range(0, max(1, len(x)), 4 * IDS_A_QUERY)]
+        decoded: list[list[bytes]] = [[] for _ in encoded]
+        for run in _runs([len(x) // 4 for _, x in parts], IDS_A_QUERY):
+            some = parts[run]
+            out = self._query(*_places(np.array([len(x) // 4 for _, x in some])), np.frombuffer(b"".join(x for _, x in some), "<u4"), DECODE)
+            for w, x in zip(out.column("w").to_pylist(), out.column("bytes").to_pylist(), strict=True):
+                decoded[some[w][0]].append(x)
+        return [b"".join(x) for x in decoded]
+
+
+def _places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the word and place in it of each row of words of these lengths."""
+    ends = np.cumsum(lengths)
+    return np.repeat(np.arange(len(lengths)), lengths), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def _runs(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of entries of about `most` in sum, one entry at least."""
+    a, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > a and total + n > most:
+            yield slice(a, k)
+            a, total = k, 0
+        total += n
+    if a < len(sizes):
+        yield slice(a, len(sizes))
 
 
 _OPEN: dict[tuple, Codec] = {}
@@ -159,7 +260,7 @@ def _shared(docs: DataFrame, path: str):
 
 def _parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most` bytes of its second column, one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
     group = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
