@@ -12,10 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only while it has at most so many rows; beyond that a shuffled join is used.
-BROADCAST_ROWS = 2_000_000
-#: Bytes of text that are tokenised at a time.
-BLOCK_BYTES = 1 << 20
+#: A side is broadcast only while its rows take at most so many bytes; beyond that a shuffled join is used.
+BROADCAST_BYTES = 32 << 20
+#: What a row takes in a broadcast table besides its columns, and the bytes of a column by type.
+_ROW, _WIDTHS = 16, {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "date": 4, "long": 8, "float": 4, "double": 8, "timestamp": 8}
+#: A key is hot if it has more than this share of all rows, so that there are at most 1 / HOT_SHARE hot keys, and more than
+#: so many rows.
+HOT_SHARE, HOT_ROWS = 1e-4, 100_000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+#: Bytes of text that are tokenised, and hashed, at a time.
+BLOCK_BYTES, HASH_BYTES = 1 << 18, 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -32,6 +39,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return _temporary() if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES between the JVM and Python, instead of a number of rows whatever their length. A
+    limit that the session has set itself stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # the default
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, stored as a table in the shared folder and read again: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -40,14 +55,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most limit rows; counts no further than that."""
-    return df.limit(limit + 1).count() <= limit
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table of fixed-width columns, with a broadcast hint if its rows take at most limit bytes. The rows are
+    counted here, from the footers of the table's files. Columns without a fixed width raise a KeyError."""
+    width = _ROW + sum(_WIDTHS[f.dataType.typeName()] for f in df.schema)
+    return F.broadcast(df) if df.count() * width <= limit else df
+
+
+def joined_hot(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """rows joined with a written table of unique keys that has the number n of rows of each key; total is that of all rows.
+    Rows of hot keys meet their few table rows by broadcast, at most 1 / HOT_SHARE of them; only the others are shuffled,
+    so that no task gets more than that share by a key. Both ways give the same rows."""
+    hot = F.col(n) > max(HOT_ROWS, int(total * HOT_SHARE))
+    few = F.broadcast(table.filter(hot))
+    cold = rows.join(few.select(key), key, "left_anti").join(table.filter(~hot), key)
+    return rows.join(few, key).unionByName(cold)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its row count, checked here, is within limit."""
-    return F.broadcast(df) if few_rows(df, limit) else df
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """rows, a written table, if there are at most `most`; else about so many, each taken by chance on its own."""
+    count = rows.count()
+    return rows if count <= most else rows.filter(F.rand(7) < most / count)
+
+
+def agreed_labels(labels: DataFrame, label: str, learns: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, y) of each id that labels mark 0 or 1 and always alike, written. Rows without an id or label, with another value,
+    or for which learns does not hold teach nothing; nor do ids with both labels."""
+    known = labels.filter(F.col(label).cast("int").isin(0, 1) & F.col(id_col).isNotNull())
+    known = known.filter(learns) if learns is not None else known
+    one = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("z"))
+    return written(one.filter("y = z").select("id", "y"), "labels")
 
 
 def crc_bucket(column: str, buckets: int) -> Column:
@@ -55,8 +92,20 @@ def crc_bucket(column: str, buckets: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(buckets))
 
 
+#: What a Python worker keeps from task to task of one kind, such as an open encoder; tasks of other kinds drop it.
+KEPT: dict = {}
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows, so that what is made of them stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings of an Arrow column, and the offsets where each begins. Nulls count as empty."""
+    KEPT.clear()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -76,8 +125,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _RNG = np.random.default_rng(20240917)
 #: A random value for each byte and a random odd multiplier: the polynomial hash of a word.
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = np.where(_SPACE, np.uint64(0), _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+_LOWERED = _BYTE[_LOWER]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(HASH_BYTES, _STEP, np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,16 +161,27 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, of its lower-cased (A-Z) bytes by default."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    total = int(lengths.sum())
-    inner = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    source = np.repeat(starts, lengths) + inner
-    powers = np.cumprod(np.full(int(lengths.max()), _STEP, np.uint64))
-    values = _BYTE[_LOWER[raw[source]] if lower else raw[source]] * powers[inner]
-    return mix(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    """A 64-bit hash of each word, of its lower-cased (A-Z) bytes by default. Words are in text order and do not overlap;
+    white space between them weighs nothing, so that bytes are hashed where they lie, HASH_BYTES at a time."""
+    table, out, i = _LOWERED if lower else _BYTE, np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = starts[i]
+        j = int(np.searchsorted(starts, base + HASH_BYTES // 2))
+        if ends[j - 1] - base > HASH_BYTES and j - i > 1:
+            j -= 1
+        part, at = raw[base : ends[j - 1]], starts[i:j] - base
+        if len(part) <= HASH_BYTES:
+            place = np.arange(len(part)) - np.repeat(at, np.diff(at, append=len(part)))
+            sums = np.add.reduceat(table[part] * _POWERS[place], at)
+        else:  # one long word
+            sums, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for k in range(0, len(part), HASH_BYTES):
+                some = table[part[k : k + HASH_BYTES]]
+                sums += scale * (some * _POWERS[: len(some)]).sum(dtype=np.uint64)
+                scale *= _POWERS[HASH_BYTES - 1 :]
+        out[i:j] = mix(sums + (ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return out
 
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

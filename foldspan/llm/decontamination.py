@@ -10,6 +10,7 @@ reach the least score, so a phrase like "of the" costs no alignment and whether
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.llm.common import blocks, broadcast_if_small, ngram_hashes, runs, utf8, word_hashes, written
+from foldspan.llm.common import blocks, ngram_hashes, runs, sliced, small_batches, utf8, word_hashes, written
 
 SEED = 3
 SEEDS_A_BLOCK = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the score of an unchanged copy, and least matched words, of a contaminated passage.
 LEAST, LEAST_WORDS = 0.5, 5
-_CELLS = 4_000_000
+#: Words of items and of passages that are compared at a time.
+_CELLS = 1_000_000
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -64,7 +66,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item_id long, words binary, seeds array<long>")
 
 
-def _parts(sizes: np.ndarray, most: int = _CELLS // 4) -> Iterator[slice]:
+def _parts(sizes: np.ndarray, most: int = _CELLS) -> Iterator[slice]:
     """Runs of entries whose sizes sum to about most, at least one entry each."""
     sums, i = np.cumsum(sizes), 0
     while i < len(sizes):
@@ -156,66 +158,90 @@ def smith_waterman(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.nda
     return best, row, column
 
 
-def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int]:
-    """Share of the score of an unchanged copy, matched words at least, and start and end of the aligned part of the passage."""
-    best, row, column = (int(x[0]) for x in smith_waterman(item, [passage]))
-    if not best:
-        return 0.0, 0, 0, 0
-    back = smith_waterman(item[:row][::-1], [passage[:column][::-1]])
-    start = column - int(back[2][0])
-    return best / (MATCH * len(item)), (best + MATCH - 1) // MATCH, start, column
+def aligned(item: np.ndarray, passages: list[np.ndarray]) -> Iterator[tuple[int, float, int, int]]:
+    """(passage number, share of the score of an unchanged copy, start, end) of each passage whose alignment counts. Matched
+    words are at least half the score."""
+    for part in _parts(np.array([len(p) for p in passages])):
+        some = passages[part]
+        best, row, column = smith_waterman(item, some)
+        enough = (best >= LEAST * MATCH * len(item)) & ((best + MATCH - 1) // MATCH >= min(LEAST_WORDS, len(item)))
+        for k in np.flatnonzero(enough):
+            back = smith_waterman(item[: row[k]][::-1], [some[k][: column[k]][::-1]])
+            yield part.start + int(k), float(best[k]) / (MATCH * len(item)), int(column[k] - back[2][0]), int(column[k])
+
+
+def _found(index: _Index, hashes: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+    """(item_id, share, start, end), in words, of the alignments of a document's words with the items of index."""
+    for number, group in groupby(index.windows(hashes), lambda w: w[0]):
+        spans = [(lo, hi) for _, lo, hi in group]
+        offset, size = index.offsets[number], index.lengths[number]
+        for k, share, a, b in aligned(index.words[offset : offset + size], [hashes[lo:hi] for lo, hi in spans]):
+            yield index.ids[number], share, spans[k][0] + a, spans[k][0] + b
+
+
+_SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long, start long, end long"
 
 
 def _aligned_docs(docs: DataFrame, index: _Index) -> DataFrame:
-    """Alignments of the items of index with each document (id, text)."""
+    """The best alignment of each item of index with each document (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             out, ids = [], batch.column(0).to_pylist()
             for k, raw, hashes, starts, ends in _tokens(batch.column(1)):
                 best: dict[int, tuple] = {}
-                for number, lo, hi in known.windows(hashes):
-                    item_id, offset, size = known.ids[number], known.offsets[number], known.lengths[number]
-                    share, same, a, b = aligned(known.words[offset : offset + size], hashes[lo:hi])
-                    if share >= LEAST and same >= min(LEAST_WORDS, size):
-                        best[item_id] = max(best.get(item_id, (0.0,)), (share, -(lo + a), lo + b))
+                for item_id, share, a, b in _found(shared.value, hashes):
+                    best[item_id] = max(best.get(item_id, (0.0,)), (share, -a, b))
                 for item_id, (share, a, b) in best.items():
                     chars = [len(raw[:at].tobytes().decode()) for at in (int(starts[-a]), int(ends[b - 1]))]
                     out.append((ids[k], item_id, share, -a, b, *chars))
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word", "start", "end"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long, start long, end long")
+    return docs.mapInArrow(run, _SCHEMA)
+
+
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[_Index]:
+    """The items of benchmark in blocks of about SEEDS_A_BLOCK seeds, one at a time on the driver."""
+    small_batches(benchmark.sparkSession)
+    items = written(_items(benchmark.filter(F.col(id_col).isNotNull()), id_col, text_col), "items")
+    total = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    blocks_ = -(-total // SEEDS_A_BLOCK)
+    for k in range(blocks_):
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks_)) == k).toArrow()
+        if rows.num_rows:
+            words, seeds = rows.column("words").combine_chunks(), rows.column("seeds").combine_chunks()
+            yield _Index(rows.column("item_id").to_pylist(), [w.as_buffer().to_pybytes() for w in words], [np.asarray(x.values) for x in seeds])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The best alignment of each document with each test item that reaches LEAST: (doc_id, item_id, score, first_word,
     end_word, start, end); start and end are characters of the text. Null and empty texts, texts without words and null
-    ids align with nothing; equal rows give one result; a document may copy many items, and an item may stand in any
-    number of documents. An item of one or two words must stand in full."""
+    ids align with nothing; equal rows give one result; rows that repeat an id with other texts give one each; a document
+    may copy many items, and an item may stand in any number of documents. An item of one or two words must stand in
+    full; items without an id or words are left out. Texts of any length are searched whole. Without documents or items
+    there are no rows. Other columns are ignored."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    items = written(_items(benchmark.filter(F.col(item_col).isNotNull()), item_col, item_text_col), "items")
-    total = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
-    found = [_block(slim, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)) for n in [-(-total // SEEDS_A_BLOCK)] for k in range(n)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long, start long, end long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = docs.sparkSession.createDataFrame([], _SCHEMA)
+    for index in _indexes(benchmark, item_col, item_text_col):
+        out = out.unionByName(_aligned_docs(slim, index).distinct())
     return out
 
 
-def _block(docs: DataFrame, items: DataFrame) -> DataFrame:
-    rows = items.toPandas()
-    if not len(rows):
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long, start long, end long")
-    index = _Index([int(i) for i in rows["item_id"]], [bytes(w) for w in rows["words"]], [np.asarray(x, np.int64) for x in rows["seeds"]])
-    return _aligned_docs(docs, index).distinct()
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, but without rows that hold a passage of benchmark. Each row is judged by its own text,
+    whether its id is null or repeated, in the pass that carries it through: nothing is joined back."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    for index in _indexes(benchmark, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                clean = np.ones(batch.num_rows, bool)
+                for k, _, hashes, _, _ in _tokens(batch.column(batch.num_columns - 1)):
+                    clean[k] = next(_found(shared.value, hashes), None) is None
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(clean))
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a passage of benchmark."""
-    gone = written(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+        docs = docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, docs.schema)
+    return docs

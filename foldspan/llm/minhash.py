@@ -10,6 +10,9 @@ member, a star rather than all pairs; (4) the links found make components; (5) k
 are finished by comparing, in blocks of bounded size, the members outside the key's largest component with the whole
 key; (6) components of all links. Step 5 makes the result whole: no pair that shares a key and could still join two
 components goes without an exact comparison.
+
+A key or a smallest member may stand for a third of all rows: keys that many share are joined by broadcast (their number
+is bounded by their share), and the set of a smallest member is dealt out in copies, one for HEAD_ROWS of its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.llm.common import blocks, broadcast_if_small, mix, ngram_hashes, utf8, word_hashes, words, written
+from foldspan.llm.common import blocks, broadcast_if_small, joined_hot, mix, ngram_hashes, small_batches, utf8, word_hashes, words, written
 from foldspan.llm.components import connected_components
 
 UNIVERSE = 1 << 20
@@ -31,6 +34,8 @@ UNIVERSE = 1 << 20
 BANDS, ROWS = 40, 6
 #: Sizes of the blocks of step 5: members outside the largest component, and members of the key.
 MINOR_BLOCK, MEMBER_BLOCK = 256, 1024
+#: Pairs of one smallest member that are compared with one copy of its set.
+HEAD_ROWS = 4096
 
 
 @lru_cache(maxsize=2)
@@ -110,7 +115,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+    """The pairs (a, b) whose whole sets reach the similarity. An a may have very many pairs, a b has one for each band at
+    most: each a's set is copied for every HEAD_ROWS of its pairs, which are dealt over the copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,14 +127,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    heads = written(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HEAD_ROWS).cast("int").alias("copies")), "heads")
+    dealt = joined_hot(pairs, heads, "a", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+    left = heads.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "x")
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return dealt.join(left, ["a", "copy"]).join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def block_links(minors: tuple, members: tuple, percent: int) -> list[tuple[int, int]]:
-    """Links between two blocks of (ids, components, sets), where the components differ. For each member one link to each
-    component is enough; the intersections with all minors come from one inverted index of the minors' shingles."""
+    """Links between two blocks of (ids, components, sets), where the components differ: for each member one link to each
+    component with a similar minor, which is enough to join them. The intersections with all minors come from one inverted
+    index of the minors' shingles."""
     ids, comps, sets = minors
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -141,6 +150,7 @@ def block_links(minors: tuple, members: tuple, percent: int) -> list[tuple[int,
         hits = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
         common = np.bincount(hits, minlength=len(sets))
         found = np.flatnonzero((100 * common >= percent * (sizes + len(s) - common)) & (comps != c))
+        found = found[np.unique(comps[found], return_index=True)[1]]
         out += [(min(i, ids[k]), max(i, ids[k])) for k in found]
     return out
 
@@ -150,7 +160,8 @@ def _finished(members: DataFrame, component: DataFrame, sets: DataFrame, percent
     labelled = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("total")).filter("parts > 1")
-    rows = written(labelled.join(mixed.select("key", F.col("top.component").alias("major"), "total", (F.col("total") - F.col("top.n")).alias("minor")), "key"), "mixed")
+    mixed = written(mixed.select("key", F.col("top.component").alias("major"), "total", (F.col("total") - F.col("top.n")).alias("minor")), "mixed-keys")
+    rows = written(joined_hot(labelled, mixed, "key", members.count(), "total"), "mixed")
     spread = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     block = lambda n, size: F.pmod(F.xxhash64("id", F.lit(n)), spread(n, size)).cast("int")
     every = lambda n, size: F.explode(F.sequence(F.lit(0), spread(n, size) - 1))
@@ -176,32 +187,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns (doc_id, n_shingles, component_id, kept): component_id is the smallest id reachable over links. Null and
     empty texts, and texts without words, have an empty set and are linked with nothing. Rows without an id come back
-    unlinked, with a null component, kept. Rows that repeat an id share its component. Any other columns are ignored.
+    unlinked, with a null component, kept. Rows that repeat an id are one document, linked where any of their texts is;
+    each has its own n_shingles. Texts of any length count whole. An empty table gives an empty one. Any other columns
+    are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = written(_signed(slim, width, bands, rows), "signed")
-    classes = signed.filter("id is not null and n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("id", "keys")).alias("s"))
-    classes = written(classes.select("set_id", "s.id", "s.keys"), "classes")
+    linkable = signed.filter("id is not null and n_shingles > 0")
+    classes = linkable.groupBy("set_id").agg(F.min(F.struct("id", "keys")).alias("s"), F.count("*").alias("n"))
+    classes = written(classes.select("set_id", "s.id", "s.keys", "n"), "classes")
     spread = classes.select("id", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1").drop("n")
-    members = written(spread.join(shared, "key"), "members")
-    sets = written(_sets(slim.filter("id is not null").join(broadcast_if_small(members.select("id").distinct()), "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
-    star = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_verified(star, sets, percent), "links")
+    shared = written(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1"), "shared")
+    members = written(joined_hot(spread, shared, "key", bands * classes.count()).select("key", "id", "head"), "members")
+    asked = written(members.select("id").distinct(), "asked")
+    sets = written(_sets(slim.join(broadcast_if_small(asked), "id", "left_semi"), width).distinct(), "sets")
+    star = written(members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    links = written(_verified(star, sets, percent).distinct(), "links")
     component = connected_components(links)
     more = written(_finished(members.select("key", "id"), component, sets, percent).distinct(), "more")
     if not more.isEmpty():
         component = connected_components(links.unionByName(more))
-    labelled = classes.join(component, "id", "left").select("set_id", F.coalesce("component", "id").alias("label"))
-    out = signed.join(labelled, "set_id", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("label", "id")).otherwise(F.col("id"))
-    component_id = F.when(F.col("id").isNotNull(), own)
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept"))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that are not the first of their near-duplicate class. The ids to drop are broadcast if their
-    checked number is small; otherwise a shuffled anti-join drops them."""
-    verdict = written(near_duplicates(docs, id_col, text_col, **options), "verdict")
-    gone = verdict.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(broadcast_if_small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    labelled = written(classes.join(component, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"), "n"), "labelled")
+    out = joined_hot(linkable.drop("keys"), labelled, "set_id", signed.count()).select("id", "n_shingles", "component_id")
+    alone = signed.filter("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    return out.unionByName(alone).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs, with all their columns, but only the first row of each near-duplicate class, in the order of a copy of the table
+    that is written here with a key for each row. So rows are judged by themselves whether their id is null, repeated or
+    unlike; rows without words stay. The keys to drop are broadcast if they are few by a checked count of bytes;
+    otherwise a shuffled anti-join drops them."""
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    verdict = near_duplicates(keyed, "__row", text_col, **options)
+    gone = written(verdict.filter("not kept").select(F.col("doc_id").alias("__row")), "gone")
+    return keyed.join(broadcast_if_small(gone), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,20 +5,22 @@ Every token (a run of letters and digits, or of symbols) hashes to one of BUCKET
 vector made from its hash. A row's word vector sums the index vectors of the tokens two places before and after it, over
 all documents: each task sums its texts into one matrix of fixed size, and matrices are added in streaming tasks. The
 table broadcast for pooling therefore has a size set by parameters, whatever the corpus. A document's features are the
-mean of its word vectors and the mean product of neighbouring ones. The network is fitted on at most TRAIN_ROWS labelled
-documents, taken by a hash of their id when there are more.
+mean of its word vectors and the mean product of neighbouring ones. The network is fitted in one task on at most about
+TRAIN_ROWS labelled documents, drawn by chance when there are more; the driver sees its parameters only. Documents are
+pooled and scored in the same pass, which carries their rows through, so that no verdict is joined back by id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.llm.common import broadcast_if_small, gathered, mix, runs, spans, summed, word_hashes, written
+from foldspan.llm.common import agreed_labels, gathered, mix, runs, sample, sliced, small_batches, spans, summed, word_hashes, written
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 15, 32, 4
 #: Bound of the labelled rows that the network is fitted on.
@@ -83,32 +85,23 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(id, features): mean word vector and mean product of neighbouring word vectors of each document; zeros without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            out = np.zeros((batch.num_rows, 2 * DIMENSIONS), np.float32)
-            for i, j, raw, starts, ends, first in spans(batch.column(1), runs):
-                rows = _ids(word_hashes(raw, starts, ends))
-                for c in range(0, len(rows), _CHUNK):
-                    end = min(c + _CHUNK, len(rows))
-                    seen = table[rows[c : end + 1]]
-                    at = np.arange(c, end)
-                    owner = np.searchsorted(first, at, "right") - 1
-                    edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                    out[i + owner[edge], :DIMENSIONS] += np.add.reduceat(seen[: end - c], edge)
-                    last = at + 1 >= first[owner + 1]
-                    following = np.concatenate([seen[1 : end - c + 1], np.zeros((max(0, end - c + 1 - len(seen)), DIMENSIONS), np.float32)])
-                    out[i + owner[edge], DIMENSIONS:] += np.add.reduceat(seen[: end - c] * following * ~last[:, None], edge)
-                count = np.diff(first)[:, None]
-                out[i:j] /= np.maximum(count, 1)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), 2 * DIMENSIONS).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "features"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, features array<float>")
+def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Mean word vector and mean product of neighbouring word vectors of each text; zeros without words."""
+    out = np.zeros((len(texts), 2 * DIMENSIONS), np.float32)
+    for i, j, raw, starts, ends, first in spans(texts, runs):
+        rows = _ids(word_hashes(raw, starts, ends))
+        for c in range(0, len(rows), _CHUNK):
+            end = min(c + _CHUNK, len(rows))
+            seen = vectors[rows[c : end + 1]]
+            at = np.arange(c, end)
+            owner = np.searchsorted(first, at, "right") - 1
+            edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            out[i + owner[edge], :DIMENSIONS] += np.add.reduceat(seen[: end - c], edge)
+            last = at + 1 >= first[owner + 1]
+            following = np.concatenate([seen[1 : end - c + 1], np.zeros((max(0, end - c + 1 - len(seen)), DIMENSIONS), np.float32)])
+            out[i + owner[edge], DIMENSIONS:] += np.add.reduceat(seen[: end - c] * following * ~last[:, None], edge)
+        out[i:j] /= np.maximum(np.diff(first)[:, None], 1)
+    return out
 
 
 def _forward(model: dict, x: np.ndarray) -> np.ndarray:
@@ -116,13 +109,17 @@ def _forward(model: dict, x: np.ndarray) -> np.ndarray:
     return np.tanh(((x - model["mean"]) / model["scale"]) @ model["w1"] + model["b1"]) @ model["w2"] + model["b2"]
 
 
+def probability(model: dict, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_forward(model, x).astype(np.float64) / model["temperature"], -60, 60)))
+
+
 def fitted(x: np.ndarray, y: np.ndarray, seed: int = 11) -> dict:
     """Network by Adam on nine tenths of the rows, temperature by least log loss on the rest."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
     held, rest = order[: len(x) // 10], order[len(x) // 10 :]
-    size = x.shape[1]
-    model = {"mean": x[rest].mean(0), "scale": x[rest].std(0) + 1e-6, "w1": rng.normal(0, size**-0.5, (size, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": np.zeros(HIDDEN), "b2": np.log((y[rest].mean() + 1e-3) / (1 - y[rest].mean() + 1e-3))}
+    size, mean = x.shape[1], y[rest].mean()
+    model = {"mean": x[rest].mean(0), "scale": x[rest].std(0) + 1e-6, "w1": rng.normal(0, size**-0.5, (size, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": np.zeros(HIDDEN), "b2": np.log((mean + 1e-3) / (1 - mean + 1e-3))}
     z = (x - model["mean"]) / model["scale"]
     names = ("w1", "b1", "w2", "b2")
     first, second, t = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
@@ -142,35 +139,78 @@ def fitted(x: np.ndarray, y: np.ndarray, seed: int = 11) -> dict:
     return model
 
 
-def sample(rows: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """rows if there are at most `most`; else about so many, by a hash of the id."""
-    count = rows.count()
-    return rows if count <= most else rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / count))
+def _fitted_in_task(rows: DataFrame) -> tuple[dict | None, float]:
+    """The model of rows (y, features), none without both labels, and the mean label or 0.5. One task reads the rows, whose
+    number is bounded; only parameters come back."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, parts = [np.zeros(0, np.int32)], [np.zeros((0, 2 * DIMENSIONS), np.float32)]
+        for batch in batches:
+            marks.append(np.asarray(batch.column(0)))
+            parts.append(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
+        y, x = np.concatenate(marks).astype(np.float32), np.concatenate(parts)
+        model = fitted(x, y) if 0 < y.sum() < len(y) else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model, float(y.mean()) if len(y) else 0.5))], pa.binary())], ["model"])
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) for each document. Labels are joined on doc_id and used only where learns holds (a
-    condition on doc_id; all by default). Null and empty texts have zero features and a score like any other. Without a
-    row of each label the score is the mean label, or 0.5. Null ids are scored and never learnt from."""
+    found = rows.select("y", "features").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(found["model"])) if found else (None, 0.5)
+
+
+def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, dict | None, float]:
+    """Word vectors of all docs, the network, and the mean label. See scored."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    features = written(pooled(slim, word_vectors(slim)), "pooled")
-    known = labels.filter(F.col(label).isNotNull())
-    known = known.filter(learns) if learns is not None else known
-    marked = known.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("double").alias("y")).dropDuplicates(["id"])
-    rows = sample(features.join(broadcast_if_small(marked), "id")).toPandas()
-    y = rows["y"].to_numpy()
-    spark, model = docs.sparkSession, None
-    if len(set(y)) > 1:
-        model = fitted(np.stack(rows["features"]).astype(np.float64), y)
-    shared = spark.sparkContext.broadcast((model, float(y.mean()) if len(y) else 0.5))
+    vectors = word_vectors(slim)
+    marked = sample(agreed_labels(labels, label, learns), TRAIN_ROWS)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, mean = shared.value
         for batch in batches:
-            score = np.full(batch.num_rows, mean)
-            if model and batch.num_rows:
-                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                score = 1 / (1 + np.exp(-np.clip(_forward(model, x) / model["temperature"], -60, 60)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(pooled(batch.column(1), shared.value).ravel()), 2 * DIMENSIONS).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["y", "features"])
+
+    # at most about TRAIN_ROWS rows of two numbers are broadcast; ids that repeat in docs may make more rows, drawn from again
+    rows = slim.join(F.broadcast(marked), "id").select("y", "text").mapInArrow(run, "y int, features array<float>")
+    model, mean = _fitted_in_task(sample(written(rows, "pooled"), TRAIN_ROWS))
+    shared.destroy()
+    return vectors, model, mean
+
+
+def _mapped(docs: DataFrame, model: tuple, columns: list, schema: str, out: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """out(batch, scores) of docs' columns, the last of which is the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    return features.mapInArrow(run, "doc_id long, score double, predicted int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, network, mean = shared.value
+        for batch in sliced(batches):
+            score = probability(network, pooled(batch.column(batch.num_columns - 1), vectors)) if network else np.full(batch.num_rows, mean)
+            yield out(batch, score)
+
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score, predicted) for each document, by itself.
+
+    Labels are joined on doc_id and used only where learns holds (a condition on doc_id; all by default). Null and empty
+    texts have zero features and a score like any other; a text of any length is pooled whole, in pieces. Equal texts have
+    equal scores. Null ids are scored and never learnt from; ids that repeat are scored row by row, and each row is learnt
+    from; ids with both labels are not. Without rows of both labels the score is the mean label, or 0.5. An empty table
+    gives an empty one. Other columns of docs are ignored, whatever their names.
+    """
+
+    def out(batch: pa.RecordBatch, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
+    return _mapped(docs, trained(docs, labels, label, learns, id_col, text_col), columns, "doc_id long, score double, predicted int", out)
+
+
+def kept(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, but without rows that the classifier, taught by all labels, takes for bad. Each row is
+    judged by its own text, whether its id is null, repeated or labelled. Without rows of both labels every row stays."""
+    vectors, network, _ = trained(docs, labels, label, None, id_col, text_col)
+    if not network:
+        return docs
+    out = lambda batch, score: batch.select(range(batch.num_columns - 1)).filter(pa.array(score >= 0.5))
+    return _mapped(docs, (vectors, network, 1.0), [*(F.col(f"`{c}`") for c in docs.columns), F.col(text_col).cast("string").alias("__text")], docs.schema, out)

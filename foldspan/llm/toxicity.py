@@ -3,7 +3,8 @@
 The lexicon is learnt: document frequencies of words in labelled rows, counted in tasks and summed by a shuffle, give
 each word a log-likelihood ratio and log-odds; a strong and a weak list, each of bounded length, are broadcast. Features
 are densities of both lists, hits near second-person words, capitals, punctuation, words broken up or spelt with digits,
-and hits among these after undoing it. Trees are fitted on rows of three folds and calibrated on another one.
+and hits among these after undoing it. Lexicon and trees are fitted on rows of three folds by id, and calibrated on the
+fourth, whose labels neither has seen.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.llm.common import broadcast_if_small, crc_bucket, runs, spans, word_hashes, written
-from foldspan.llm.quality_classifier import sample
+from foldspan.llm.common import agreed_labels, broadcast_if_small, crc_bucket, runs, sample, small_batches, spans, word_hashes, written
 
 #: Least log-likelihood ratios of the strong and the weak list, and the words each may have (those of highest ratio).
 STRONG, WEAK, WORDS = 30.0, 16.0, 20_000
@@ -68,10 +68,12 @@ def lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     part = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
     odds = F.log((a + 0.5) / (t - a + 0.5)) - F.log((b + 0.5) / (c - b + 0.5))
     judged = counts.select("word", (2 * (part(a, share) + part(b, 1 - share))).alias("ratio"), odds.alias("odds")).filter((F.col("odds") > 0) & (F.col("ratio") >= WEAK))
-    rows = judged.orderBy(F.desc("ratio"), "word").limit(2 * WORDS).toPandas()
-    word = rows["word"].to_numpy(np.int64).view(np.uint64)
+    judged = written(judged, "lexicon")
+    lists = [judged.filter(part).orderBy(F.desc("ratio"), "word").limit(WORDS).toArrow() for part in (F.col("ratio") >= STRONG, F.col("ratio") < STRONG)]
+    word, odds = (np.concatenate([x.column(c).to_numpy() for x in lists]) for c in ("word", "odds"))
+    strong, word = np.repeat([1, 0], [x.num_rows for x in lists]), word.view(np.uint64)
     order = np.argsort(word)
-    return word[order], np.clip(rows["odds"].to_numpy(float), 0.5, 10)[order], (rows["ratio"].to_numpy(float) >= STRONG).astype(np.int64)[order]
+    return word[order], np.clip(odds, 0.5, 10)[order], strong[order]
 
 
 def features(docs: DataFrame, words: tuple) -> DataFrame:
@@ -110,7 +112,7 @@ def features(docs: DataFrame, words: tuple) -> DataFrame:
                     inner[1:-1] &= (ends[:-2] == starts[1:-1]) & (ends[1:-1] == starts[2:]) & (owner[:-2] == owner[2:])
                 digit = (raw >= 0x30) & (raw < 0x3A)
                 digits = np.add.reduceat(digit, starts) if len(starts) else np.zeros(0)
-                mixed = ~symbol & (digits > 0) & (digits < ends - starts) & (ends - starts < 20)
+                mixed = ~symbol & (digits > 0) & (digits < ends - starts)
                 undone = np.zeros(n)
                 if len(known):
                     odd = np.flatnonzero(mixed | inner)
@@ -144,17 +146,23 @@ def features(docs: DataFrame, words: tuple) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) for each document. Labels are joined on doc_id and used only where learns holds (a
-    condition on doc_id; all by default). Null and empty texts have zero features and a score like any other. Without
-    rows of both labels in the fitting and the calibration fold, the score is the mean label, or 0. Null ids are scored
-    and never learnt from."""
+    """(doc_id, score, predicted) for each document, by itself.
+
+    Labels are joined on doc_id and used only where learns holds (a condition on doc_id; all by default). Null and empty
+    texts have zero features and a score like any other; texts of any length are read whole; equal texts have equal
+    scores. Null ids are scored and never learnt from; ids that repeat are scored row by row, and each row is learnt from;
+    ids with both labels are not. Without rows of both labels in the fitting and the calibration folds, the score is the
+    mean label, or 0. An empty table gives an empty one. Other columns of docs are ignored, whatever their names.
+    """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.filter(F.col(label).isNotNull())
-    known = known.filter(learns) if learns is not None else known
-    marked = broadcast_if_small(known.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"]))
-    table = written(features(slim, lexicon(slim.join(marked, "id").select("text", "y"))), "features")
+    calibrates = crc_bucket("id", 1000) % 4 == 3
+    marked = broadcast_if_small(agreed_labels(labels, label, learns))
+    known = lexicon(slim.join(marked.filter(~calibrates), "id").select("text", "y"))
+    table = written(features(slim, known), "features")
     joined = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    rows = sample(joined.join(marked, "id"), TRAIN_ROWS).select("features", "y", (crc_bucket("id", 1000) % 4 == 3).alias("calibrates"))
+    rows = written(table.join(marked, "id").select("y", calibrates.alias("calibrates"), *FEATURES), "labelled")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample(rows, TRAIN_ROWS)).select("features", "y", "calibrates")
     rows = rows.coalesce(4).persist()
     seen = {(r["calibrates"], r["y"]): r["count"] for r in rows.groupBy("calibrates", "y").count().collect()}
     if any((c, y) not in seen for c in (False, True) for y in (0, 1)):
