@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspan.llm.common import KEPT, small_batches
+
 #: Unicode white space, as the splitting pattern's \s has it.
 _WS = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Chunks at whose ends every match of the splitting pattern also ends.
@@ -94,7 +96,7 @@ WITH RECURSIVE step(k, id, round) AS (
 SELECT (k >> 32)::INTEGER AS w, (k & 4294967295)::INTEGER AS p, id, round < 0 AS done FROM step WHERE round < 0 OR round = {rounds} ORDER BY k
 """
 DECODE = """
-SELECT w, from_hex(string_agg(hex, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w
+SELECT w, from_hex(string_agg(hex(token), '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w
 """
 
 
@@ -125,22 +127,30 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, filter(bytes.strip, file))]
 
 
+def tables(ranks: list[tuple[bytes, int]]) -> tuple[pa.Table, pa.Table]:
+    """The merge table (l, r, merged), every split of a token into two, and the vocabulary (id, token) by falling length."""
+    known = dict(ranks)
+    pairs = [(known[t[:k]], known[t[k:]], r) for t, r in ranks for k in range(1, len(t)) if t[:k] in known and t[k:] in known]
+    merges = pa.table([pa.array(x, pa.int32()) for x in (zip(*pairs, strict=True) if pairs else ((), (), ()))], ["l", "r", "merged"])
+    ordered = sorted(ranks, key=lambda x: (-len(x[0]), x[1]))
+    return merges, pa.table([pa.array([r for _, r in ordered], pa.int32()), pa.array([t for t, _ in ordered], pa.binary())], ["id", "token"])
+
+
 class Codec:
     """The merge table and vocabulary in a DuckDB connection, and what a task remembers."""
 
-    def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
+    def __init__(self, merges: pa.Table, vocabulary: pa.Table, pattern: str):
         import duckdb
 
         self.pattern = regex.compile(pattern)
-        known = dict(ranks)
-        pairs = [(known[t[:k]], known[t[k:]], r) for t, r in ranks for k in range(1, len(t)) if t[:k] in known and t[k:] in known]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
-        left, right, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else (pa.array([], pa.int32()),) * 3
-        self._table("merges", pa.table({"l": left, "r": right, "merged": merged}))
+        self._table("merges", merges)
         self.db.execute("CREATE TABLE inverted AS SELECT * FROM merges WHERE merged < greatest(l, r)")
-        self._table("vocabulary", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "hex": [t.hex() for t, _ in ranks]}))
-        self.byte_id = np.array([known.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.longest = sorted(known, key=len, reverse=True)
+        self._table("vocabulary", vocabulary)
+        self.vocabulary, self.byte_id = vocabulary.column("token"), np.full(256, -1, np.int32)
+        for token, r in zip(vocabulary.column("token")[-256:].to_pylist(), vocabulary.column("id")[-256:].to_pylist(), strict=True):
+            if len(token) == 1:
+                self.byte_id[token[0]] = r
         self.chunks, self.pieces = Remembered(CHUNKS), Remembered(PIECES)
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -158,7 +168,7 @@ class Codec:
     def _long(self, raw: list[bytes]) -> list[bytes]:
         """Ids of each of a few long words; queries run until each word is done."""
         present = set().union(*raw)
-        reach = 2 * next((len(t) for t in self.longest if present.issuperset(t)), 1)
+        reach = 2 * next((len(t) for t in (x.as_py() for x in self.vocabulary) if present.issuperset(t)), 1)
         w, p = _places(np.array([len(x) for x in raw]))
         ids, out = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)], [b""] * len(raw)
         while len(w):
@@ -242,23 +252,21 @@ def _runs(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(a, len(sizes))
 
 
-_OPEN: dict[tuple, Codec] = {}
-
-
 def _codec(shared, *key: str) -> Codec:
     """One codec for a vocabulary path and pattern in a Python worker, which serves many tasks."""
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = Codec(shared.value, key[-1])
-    return _OPEN[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Codec(*shared.value, key[-1])
+    return KEPT[key]
 
 
 def _shared(docs: DataFrame, path: str):
-    """The ranks, read on the driver; a vocabulary file is of fixed size."""
-    return docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    """The tables of the ranks, made on the driver; a vocabulary file is of fixed size."""
+    small_batches(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(tables(read_ranks(path)))
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most` bytes of its second column, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
     group = (np.cumsum(sizes) - sizes) // most

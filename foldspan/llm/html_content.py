@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspan.llm.common import small_batches
+
 #: Bound of the input pages that the model is fitted on, drawn by chance, and the weight of a built page beside them.
 TRAIN_PAGES, WEIGHT = 400, 10.0
 #: Words of class, id and role, by what they tell of an element.
@@ -351,6 +353,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars) of each page, by itself. Null and empty pages, and pages without content, give an empty
     text. Ids and urls may be null or repeat; equal pages give equal texts; pages of any length are read whole. An empty
     table gives an empty one. Other columns are ignored, whatever their names."""
+    small_batches(pages.sparkSession)
     model = model or trained(pages, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
