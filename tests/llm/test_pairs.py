@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foldspan.llm import decontamination, minhash, sharding
+from foldspan.llm import common, decontamination, minhash, sharding
 from foldspan.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string"
@@ -58,12 +59,46 @@ def test_components_equal_brute_force(spark, width):
     assert got == brute_components(texts, width, 80)
 
 
+def test_hot_keys_heads_and_blocks_change_nothing(spark, monkeypatch):
+    """One class of near copies holds most rows, with bounds so small that every key is hot and every block is cut."""
+    for module, name, value in ((common, "HOT_ROWS", 2), (minhash, "HEAD_ROWS", 3), (minhash, "MINOR_BLOCK", 2), (minhash, "MEMBER_BLOCK", 3)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(12)
+    base = prose(rng, 60)
+    texts = [" ".join(edited(rng, base, rng.choice([0, 0.02, 0.05, 0.08]))) for _ in range(50)] + [" ".join(base)] * 9 + [" ".join(prose(rng, 30)) for _ in range(8)] + [None, ""]
+    texts = list(enumerate(texts, 1))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, texts)).collect()}
+    assert got == brute_components(texts, 5, 80)
+
+
+def test_a_member_has_one_link_to_a_component():
+    same = np.arange(20, dtype=np.uint64)
+    minors = (np.array([10, 11, 12, 13]), np.array([10, 10, 10, 13]), [same] * 4)
+    members = (np.array([1, 2, 13]), np.array([1, 1, 13]), [same] * 3)
+    assert minhash.block_links(minors, members, 80) == [(1, 10), (1, 13), (2, 10), (2, 13), (10, 13)]
+
+
 def test_repeats_nulls_and_other_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x", 1), (1, "a b c d e f", "x", 2), (None, "a b c d e f", "x", 3), (4, "a b c d e f", "x", 4)], "doc_id long, text string, id string, shingles int")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df).collect())
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (4, 1, False)]
-    assert sorted(r["shingles"] for r in minhash.deduplicated(df).collect()) == [1, 2, 3]
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+    kept = minhash.deduplicated(df)
+    assert kept.columns == df.columns and kept.count() == 1 and minhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_an_id_with_two_texts_is_linked_through_both(spark):
+    one, two = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, [(5, one), (5, two), (7, one), (3, two + " b20"), (9, "c d e")])).collect()}
+    assert got == {(5, 3), (7, 3), (3, 3), (9, 9)}
+
+
+def test_deduplication_judges_rows(spark):
+    """Null ids, repeated ids with unlike texts, rows without words, and clashing names of columns."""
+    one, two = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    rows = [(None, one, "x"), (None, one, "x"), (1, one, "x"), (1, two, "x"), (2, two, "x"), (None, None, None), (3, "", "x"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    assert sorted(str(r["text"]) for r in minhash.deduplicated(df).collect()) == ["", "None", "None", one, two]
 
 
 def test_signature_is_one_window_of_each_shingle():
@@ -129,6 +164,10 @@ def test_copies_of_items_are_found(spark):
     assert texts[10][got[10, 0]["start"] : got[10, 0]["end"]] == " ".join(items[0])
     assert texts[11][got[11, 1]["start"] : got[11, 1]["end"]] == " ".join(edit).upper()
     assert sorted(r["doc_id"] for r in decontamination.decontaminated(docs, benchmark).collect()) == [12, 13, 15, 16]
+    odd = spark.createDataFrame([(None, texts[10], 1), (None, texts[12], 2), (10, texts[12], 3), (10, texts[10], 4), (None, None, 5)], "doc_id long, text string, item_id int")
+    clean = decontamination.decontaminated(odd, benchmark)
+    assert clean.columns == odd.columns and sorted(r["item_id"] for r in clean.collect()) == [2, 3, 5]
+    assert decontamination.contaminated(odd, benchmark).filter("doc_id = 10").count() == 1
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
@@ -163,6 +202,30 @@ def test_windows_lose_no_alignment(spark):
     assert len(least) > 50 and least <= got <= most
 
 
+def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
+    rng = random.Random(15)
+    items = {k: prose(rng, 15) for k in range(12)}
+    texts = [(k, " ".join(prose(rng, 20) + items[k % 12] + prose(rng, 9))) for k in range(30)]
+    benchmark, docs = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"), frame(spark, texts)
+    whole = sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect()))
+    monkeypatch.setattr(decontamination, "SEEDS_A_BLOCK", 40)
+    assert sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect())) == whole and len(whole) >= 30
+    assert decontamination.decontaminated(docs, benchmark).count() == 0
+
+
+def test_edited_copies_are_found(spark):
+    """Of the copies with up to three words in ten changed that an alignment of whole texts takes for copies, nearly all are
+    found; no text without a copy is."""
+    rng = random.Random(16)
+    items = {k: prose(rng, rng.randint(12, 40)) for k in range(25)}
+    texts = {k: prose(rng, 30) + edited(rng, items[k % 25], rng.choice([0.1, 0.2, 0.3])) + prose(rng, 30) for k in range(150)}
+    texts |= {k: prose(rng, 80) for k in range(150, 200)}
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame(spark, [(k, " ".join(w)) for k, w in texts.items()]), benchmark).collect()}
+    want = {(d, i) for d, w in texts.items() for i, x in items.items() if plain_alignment(x, w) >= len(x)}
+    assert len(want) > 100 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def brute_shards(rows, shards, nodes):
     """One row at a time: own shard while it has room, then clockwise; arcs in ring order, first their own, then what is left."""
     marks = sharding.ring(shards, nodes)
@@ -198,10 +261,31 @@ def test_shards_are_balanced_and_gapless(spark):
     for r in rows:
         homes[r["text_crc32"]].add(r["shard"])
     assert sum(len(x) > 1 for x in homes.values()) < 20
+    clash = frame(spark, texts).withColumn("place", F.lit("x")).withColumn("arc", F.lit("x"))
+    assert sorted((r["shard"], r["slot"]) for r in sharding.assigned(clash, 8).collect()) == sorted((r["shard"], r["slot"]) for r in rows)
     assert [r["size"] for r in rows if r["doc_id"] is None] == [1]
     assert sharding.assigned(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_rows_stand_where_the_ring_puts_them(spark):
+    """Each row against the ring, one at a time: on its arc's shard, or clockwise past shards that are full; texts of several
+    rows stay together but for one text at most an arc that overflows, whatever their number."""
+    texts = [(k, f"text {k % 200}") for k in range(2000)] + [(k, "hot") for k in range(2000, 3000)]
+    rows = [r.asDict() for r in sharding.assigned(frame(spark, texts), 8).collect()]
+    marks = sharding.ring(8)
+    places = {r["id"]: r["place"] for r in frame(spark, texts).select(F.col("doc_id").alias("id"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("place")).collect()}
+    arc = {k: sum(m < p for m, _ in marks) % len(marks) for k, p in places.items()}
+    own = Counter(marks[a][1] for a in arc.values())
+    full = {s for s in range(8) if own[s] >= 3000 // 8}
+    for r in rows:
+        home = marks[arc[r["doc_id"]]][1]
+        assert r["shard"] == home or home in full
+    for s in range(8):
+        assert Counter(r["shard"] for r in rows)[s] == 375
+    split = {places[r["doc_id"]] for r in rows} - {p for p in set(places.values()) if len({r["shard"] for r in rows if places[r["doc_id"]] == p}) == 1}
+    assert len(split) <= 2 * len(full) + 6
+
+
 def test_flows_equal_one_row_at_a_time():
     rng = random.Random(1)
     for _ in range(20):

@@ -1,6 +1,7 @@
 import base64
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -57,6 +58,27 @@ def test_tokens_equal_the_library(spark):
     assert bpe.encode(frame(spark, ["x"]).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_words_equal_the_library(spark):
+    """Words that go through the rounds for long ones, of few and of many letters, runs, and rows of several; parts of long
+    texts; time in proportion to a word's length."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    letters = ("ab", "aab", "the", "-=", "abcdefghijklmnopqrstuvwxyz", "ÃÂ", "é漢aА", "0123456789", "ing", "aA")
+    words = ["".join(rng.choice(x) for _ in range(rng.randint(65, 300))) for x in letters for _ in range(4)]
+    words += ["a" * 20_000, "-" * 1001, "ha" * 150, "".join(rng.choice(letters[4]) for _ in range(4000)), "of the end " * 30_000]
+    codec = bpe.Codec(*bpe.tables(bpe.read_ranks(RANKS)), public_tokenizers.PATTERN)
+    for word, ids in zip(words, codec.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(word)
+    assert [x.decode() for x in codec.decode(codec.encode(words))] == words
+
+
+def test_rows_of_any_kind_are_encoded(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (1, None, 2), (1, "a b", 3), (1, "a b", 4)], "doc_id long, text string, ids int")
+    got = [(r["doc_id"], r["n_tokens"], bytes(r["decoded"])) for r in bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2, b"a b"), (1, 0, b""), (1, 2, b"a b"), (1, 2, b"a b")], key=str)
+
+
 def test_remembering_is_bounded():
     kept = bpe.Remembered(3)
     for k in range(20):
@@ -129,28 +151,51 @@ def test_spelt_words_count_as_hits(spark):
     assert [r["undone"] > 0 for r in found.orderBy("id").collect()] == [True, True, False, False]
 
 
-def test_language_model_is_normalised(spark):
-    rng = np.random.default_rng(0)
-    p = {"r": rng.normal(size=(language_model.OUTPUTS + 1, language_model.SIZE)).astype(np.float32), "c": rng.normal(size=(language_model.CONTEXT, language_model.SIZE)).astype(np.float32), "o": rng.normal(size=(language_model.OUTPUTS, language_model.SIZE)).astype(np.float32), "b": rng.normal(size=language_model.OUTPUTS).astype(np.float32)}
-    before = [5, 9]
-    data = [(k, np.array([*before, k], "<i2").tobytes()) for k in range(language_model.OUTPUTS)] + [(-1, np.array(before, "<i2").tobytes())]
-    got = {r["id"]: r["model"] for r in language_model._scores(spark.createDataFrame(data, "id long, outputs binary"), p).collect()}
-    assert abs(sum(10 ** (got[k] - got[-1]) for k in range(language_model.OUTPUTS)) - 1) < 1e-4
-
-
-def test_language_model_base_and_gain(spark):
+def plain_counts(texts, learns):
+    counts, ends = Counter(), 0
+    for k, t in enumerate(texts, 1):
+        if learns(k):
+            ends += 1
+            counts.update((t or "").lower().split())
+    return counts, ends
+
+
+def test_language_model_is_normalised(spark, monkeypatch):
+    """Over all words of the training texts, the end, and one unknown word a tail class, probabilities add up to one; with so
+    few words of their own and broadcast that every kind of word occurs."""
+    monkeypatch.setattr(language_model, "WORDS", 9)
+    monkeypatch.setattr(language_model, "FREQUENT", 15)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["aa", "ab", "ba", "bb", *(f"w{k}" for k in range(40))]) for _ in range(30)) for _ in range(40)]
+    docs = frame(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    v = language_model.Vocabulary(language_model.word_counts(docs), len(texts))
+    assert v.words == 9 and 9 <= len(v.word) < 25
+    table = language_model.coded(docs.withColumns({"row": F.col("id"), "learns": F.lit(True)}), v)
+    p = language_model.trained(table, v)
+    codes = [0, *range(1, 10 + language_model.TAIL)]
+    line = np.concatenate([np.array([len(p["r"]) - 1] * 6 + [3, 1, c], np.int16) for c in codes])
+    logs = language_model.log_probabilities(p, v, line, np.arange(8, len(line), 9))
+    assert abs(np.exp(logs).sum() - 1) < 1e-4 and np.ptp(logs) > 0.5
+    tail = Counter()
+    for w, n in Counter(" ".join(texts).split()).items():
+        raw = np.frombuffer(w.encode(), np.uint8)
+        at = v.look_up(language_model.word_hashes(raw, np.array([0]), np.array([len(raw)])))[0]
+        if at < 0 or v.output[at] < 0:
+            tail[int(language_model._classes(raw, np.array([0]), np.array([len(raw)]))[0])] += n + 1
+    assert tail and all(abs((n + 1) / 10 ** v.class_log[c] - 1) < 1e-9 for c, n in tail.items())
+
+
+@pytest.mark.parametrize("frequent", [200_000, 3])
+def test_language_model_base_and_gain(spark, monkeypatch, frequent):
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
     rng, texts = random.Random(4), []
     for k in range(300):
         names = (["the", "cat", "sat", "down"], ["der", "Hund", "lief", "weg"])[k % 2]
         texts.append(" ".join(rng.choice(names) for _ in range(40)))
     texts += ["", None, "never seen", "the " * 3000]
-    got = {r["doc_id"]: r for r in language_model.scored(frame(spark, texts), F.col("doc_id") % 7 != 2).collect()}
-    counts, ends = {}, 0
-    for k, t in enumerate(texts, 1):
-        if k % 7 != 2:
-            ends += 1
-            for w in (t or "").lower().split():
-                counts[w] = counts.get(w, 0) + 1
+    docs = frame(spark, texts).withColumn("row", F.lit("clash")).withColumn("learns", F.lit("clash"))
+    got = {r["doc_id"]: r for r in language_model.scored(docs, F.col("doc_id") % 7 != 2).collect()}
+    counts, ends = plain_counts(texts, lambda k: k % 7 != 2)
     n, v = sum(counts.values()) + ends, len(counts) + 1
     for k, t in enumerate(texts, 1):
         tokens = (t or "").lower().split()
@@ -158,7 +203,15 @@ def test_language_model_base_and_gain(spark):
         assert abs(got[k]["base_score"] - base) < 1e-6 * max(1, abs(base)) and got[k]["n_tokens"] == len(tokens) + 1 and got[k]["train_tokens"] == n
         assert got[k]["n_known"] == sum(w in counts for w in tokens) + 1 and got[k]["score"] < 0
     held = [k for k in range(1, 301) if k % 7 == 2]
-    assert sum(got[k]["score"] for k in held) > sum(got[k]["base_score"] for k in held)
+    assert frequent < 10 or sum(got[k]["score"] for k in held) > sum(got[k]["base_score"] for k in held)
+
+
+def test_words_of_equal_counts_fill_the_vocabulary(spark, monkeypatch):
+    """Where all words are as frequent and more than may be broadcast, a share of them is, and no count is lost."""
+    monkeypatch.setattr(language_model, "FREQUENT", 50)
+    docs = frame(spark, [" ".join(f"q{k}" for k in range(j, j + 100)) for j in range(0, 400, 100)]).select(F.col("doc_id").alias("id"), "text")
+    v = language_model.Vocabulary(language_model.word_counts(docs), 4)
+    assert 20 < len(v.word) < 90 and v.words == len(v.word) and v.tokens == 404 and v.distinct == 401
 
 
 def test_language_model_without_training_rows(spark):
@@ -184,24 +237,62 @@ def brute_marginals(nodes, model):
 
 
 def test_messages_give_exact_marginals():
-    model = html_content.fitted([html_content.parse(p) for p in html_content.LABELLED])
+    model = html_content.fitted(html_content.tallied(map(html_content.parse, html_content.labelled())))
     for page in ("<div class=nav><a href=x>Home</a></div><p>Some words stand here.", "<main><p>One<b>two</b></p><ul><li>x<li>y</ul></main>"):
         nodes = html_content.parse(page)
         assert np.allclose(html_content.marginals(nodes, model), brute_marginals(nodes, model), atol=1e-9)
 
 
+SEA = "The harbour lay still in the morning, and the boats had not yet left for the open sea."
+#: Pages and their main texts, written by hand; none of their labels come from the rules that the model is taught by.
+HAND_PAGES = (
+    (f"<html><body><nav><a href=a>Home</a></nav><article><p>{SEA}</p><div class='cookie-notice'><p>We use cookies to make this site better.</p></div><p>{SEA}</p></article>", f"{SEA} {SEA}"),
+    (f"<article><h1>Title</h1><p>{SEA}</p><div class='advert'><p>Buy the new mill today, for it will not be cheaper again this year.</p></div><p>{SEA}</p></article>", f"Title {SEA} {SEA}"),
+    (f"<main><h1>Title</h1><p>{SEA}</p><div id=comments><ul class=commentlist><li><p>Great read, thank you for this piece on the harbour.</p></li></ul></div></main>", f"Title {SEA}"),
+    (f"<div class='content'><p>{SEA}</p><p>{SEA}</p></div><div class='sidebar'><p>{SEA}</p></div>", f"{SEA} {SEA}"),
+    (f"<article><p>{SEA}</p><section class=comments><p>{SEA}</p></section><div class='share-bar'><a href=x>Share</a> this</div></article>", SEA),
+    (f"<html><body><p>{SEA}</p><div class='sidebar'><p>{SEA}</p></div><p>{SEA}</p>", f"{SEA} {SEA}"),
+    (f"<div id='page'><div class='adSlot'>Cheap boats here.</div><div class='postBody'><h2>Sea</h2><p>{SEA}</p></div><div class='userComments'><p>{SEA}</p></div></div>", f"Sea {SEA}"),
+    (f"<article><header><h1>Sea</h1></header><p>{SEA}</p><form><p>Write to us about it all.</p></form><footer>Filed under sea.</footer></article>", f"Sea {SEA}"),
+    (f"<article><h1>Sea</h1><p>{SEA}</p><p class='notice'>This site will be down tonight for repairs of the machines.</p><div class='newsletter-box'><h3>Stay in touch</h3><p>Get our letter each week.</p></div></article>", f"Sea {SEA}"),
+    (f"<div><p>{SEA}</p></div><div role='complementary'><p>{SEA}</p></div><div class='related-articles'><ul><li><a href=a>{SEA}</a></li></ul></div>", SEA),
+    (f"<article><p>{SEA}</p><div class='ad'>{SEA}</div><ul class='commentlist'><li>{SEA}</li></ul><aside><p>{SEA}</p></aside><p>x</p></article>", f"{SEA} x"),
+    (f"<article><p>{SEA}</p><noscript>Please switch scripts on.</noscript><style>p {{}}</style><div id=footer><p>{SEA}</p></div></article><div class=banner><p>{SEA}</p></div>", SEA),
+)
+
+
+def test_pages_of_every_kind(spark):
+    """With input pages beside them that all hold one article and a plain advert outside it, and without."""
+    like = [f"<html><body><nav><ul><li><a href=a>A</a></li></ul></nav><div class=ad>{SEA}</div><article><h1>T{k}</h1><p><b>{SEA}<br><p>{SEA}</p></article><footer>&copy; me</footer>" for k in range(60)]
+    for more in (like, []):
+        df = spark.createDataFrame([(k, "u", p) for k, p in enumerate([p for p, _ in HAND_PAGES] + more)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in html_content.extracted(df).collect()}
+        assert [got[k] for k in range(len(HAND_PAGES))] == [t for _, t in HAND_PAGES]
+        assert all(got[k] == f"T{k - len(HAND_PAGES)} {SEA} {SEA}" for k in range(len(HAND_PAGES), len(got)))
+
+
 def test_pages(spark):
-    body = "The harbour lay still in the morning, and the boats had not yet left for the open sea."
+    body = SEA
     pages = [
         f"<html><body><nav><a href=a>Home</a></nav><article><h1>Sea &amp; sky</h1><p>{body}<br>{body}</p><p>A<b>B</b> c\n\n d</p></article><footer>&copy; me</footer>",
         f"<div class='menu'><a href=x>x</a></div><div id='content'><p>{body}</p><p>{body}</p></div><div class='comments'><p>{body}</p></div><script>if (a<b) x('</p>')</script>", "", None, "<nav><a href=x>only menus</a></nav>",
     ]
-    df = spark.createDataFrame([(k, f"u{k}", p, "z") for k, p in enumerate(pages)], "page_id long, url string, html string, text string")
-    got = {r["page_id"]: r["text"] for r in html_content.extracted(df).collect()}
-    assert got == {0: f"Sea & sky {body} {body} AB c d", 1: f"{body} {body}", 2: "", 3: "", 4: ""}
+    df = spark.createDataFrame([(k, f"u{k}", p, "z") for k, p in enumerate(pages)] + [(None, None, pages[0], None), (0, "u0", pages[0], "z")], "page_id long, url string, html string, text string")
+    rows = html_content.extracted(df).collect()
+    got = {r["page_id"]: r["text"] for r in rows}
+    assert got.pop(None) == got[0] and got == {0: f"Sea & sky {body} {body} AB c d", 1: f"{body} {body}", 2: "", 3: "", 4: ""} and len(rows) == 7
     assert html_content.extracted(df.limit(0)).count() == 0
 
 
+def test_a_page_costs_in_proportion():
+    """Unclosed and unopened tags are no search through all that is open; a long page is read whole."""
+    for page in ("<i></b>" * 50_000, "<b>" * 50_000 + "<p>x</p>" * 50_000):
+        assert len(html_content.parse(page)) > 50_000
+    long = "<article>" + f"<p>{SEA}</p>" * 3000 + "</article>"
+    model = html_content.fitted(html_content.tallied(map(html_content.parse, html_content.labelled())))
+    assert html_content.main_text(long, model) == " ".join([SEA] * 3000)
+
+
 def test_licences(spark):
     texts = ["Some prose.\nReleased under the MIT License.\nMore.", "He lost his driving license in the snow of that winter.", "This work is licensed under the GNU General Public License, version 3.", "", None, "Licensed under CC BY-NC 4.0.", "x " * 5000 + "Licensed under the Apache License, Version 2.0."]
     got = {(r["doc_id"], r["line_no"]): r["family"] for r in licenses.scanned(frame(spark, texts)).collect()}
