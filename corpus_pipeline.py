@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept; all but the last return the
 columns of documents. Rejected documents go; the rules stage also takes failing lines out of the texts it keeps; one
-document of each near-duplicate class stays; documents that hold a benchmark passage go.
+document of each near-duplicate class stays; documents that hold a benchmark passage go. Every stage judges each row by
+its own text, so rows whose id is null or repeated are treated like others; columns that stages do not know stay, and an
+empty table stays empty. Near-duplicates are those of five-word shingles at a similarity of 0.8, as for any stage on word
+shingles; two-word shingles belong to the registered query op1 alone.
 """
 
 from __future__ import annotations
@@ -12,30 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspan.llm import bpe, decontamination, minhash, quality_classifier, quality_rules
-from foldspan.llm.common import broadcast_if_small, written
+from foldspan.llm.common import written
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, taught by all labels of documents at hand, takes for bad."""
-    scores = written(quality_classifier.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "scores")
-    gone = scores.filter("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs without those that the classifier, taught by all labels of documents at hand, takes for bad. Null and empty texts
+    are scored like others; equal texts share their verdict; without rows of both labels all stay."""
+    return quality_classifier.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that pass the rules, less their failing lines; null and empty texts fail, n_chars follows the new text."""
     return quality_rules.cleaned(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate class; rows without words stay."""
     return minhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a benchmark passage; null and empty texts stay."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, text): ids as little-endian unsigned 32-bit integers, text as decoded from them."""
+    """(doc_id, n_tokens, ids, text): ids as little-endian unsigned 32-bit integers, text as decoded from them; a null text
+    is empty."""
     coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
 
@@ -48,7 +54,7 @@ STAGES = [
     ("byte_level_bpe", tokenize),
 ]
 
-#: The classifier and the encoder are not expressible in SQL; tests hold the pipeline against brute force.
+#: The classifier and the encoder are not expressible in SQL; tests hold the stages on a small table against brute force.
 ORACLE_SQL = None
 
 
