@@ -12,10 +12,19 @@ KEY = ["structure_idx", "sequence_idx"]
 LIMITS = {"rmsd": 2.5, "ipae": 10.0, "binder_rmsd": 1.0, "binder_plddt": 80.0}
 
 
+def keyed(*tables: DataFrame) -> list[str]:
+    """The key of a design: with its run where all tables have one, so that runs in one table do not mix."""
+    return (["run_id"] if all("run_id" in t.columns for t in tables) else []) + KEY
+
+
 def assemble_metrics(records: DataFrame, *metrics: DataFrame) -> DataFrame:
-    """Design records with their metric tables, joined on the key; each design stays, once."""
+    """Design records with their metric tables, joined on the key, and on run where both have it; of rows that repeat a key the
+    first in order counts, so that each design stays, once."""
     for m in metrics:
-        records = records.join(m, KEY, "left")
+        keys = keyed(records, m)
+        rest = [c for c in m.columns if c not in keys]
+        one = m.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__m")).select(*keys, "__m.*")
+        records = records.join(one, keys, "left")
     return records
 
 
@@ -61,16 +70,19 @@ def rank_designs(df: DataFrame, has_metrics: bool = True) -> DataFrame:
 
 
 def selection_counts(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("designs"), F.count_distinct("structure_idx").alias("structures"))
+    """Designs and structures, of each run where there is a run_id."""
+    return df.groupBy(*keyed(df)[:-2]).agg(F.count("*").alias("designs"), F.count_distinct("structure_idx").alias("structures"))
 
 
 def lookup_refold(ranked: DataFrame, summaries: DataFrame, n: int, by: str = "ipae") -> DataFrame:
-    """Structure files of the n best designs: the first refold record of each, rows without one dropped."""
-    top = ranked.orderBy(F.asc_nulls_last(by), *KEY).limit(max(1, n)).select(*KEY)
-    first = Window.partitionBy(*KEY).orderBy(F.asc_nulls_last("out_pdb"), "out_cif")
+    """Structure files of the n best designs: the first refold record of each, rows without one dropped. Where both tables have
+    a run_id, records are those of the design's run."""
+    key = keyed(ranked, summaries)
+    top = ranked.orderBy(F.asc_nulls_last(by), *key).limit(max(1, n)).select(*key)
+    first = Window.partitionBy(*key).orderBy(F.asc_nulls_last("out_pdb"), "out_cif")
     one = summaries.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
     path = F.coalesce(filled("out_pdb"), F.regexp_replace(F.col("out_cif"), "\\.[^./]*$", ".pdb"))
-    return one.join(F.broadcast(top), KEY).select(*KEY, path.alias("path"))
+    return one.join(top, key).select(*key, path.alias("path"))
 
 
 def refold_inputs(designs: DataFrame, specs: DataFrame, mode: str = "auto") -> DataFrame:
@@ -85,10 +97,11 @@ def refold_inputs(designs: DataFrame, specs: DataFrame, mode: str = "auto") -> D
 
 
 def refold_summary(inputs: DataFrame, status: DataFrame) -> DataFrame:
-    """File names, status, alignment flag and ligand counts of each design's refold."""
+    """File names, status, alignment flag and ligand counts of each design's refold, by run where both tables have a run_id."""
     stem = F.format_string("s%03d_q%03d", *KEY)
     name = lambda end: F.concat(F.lit("refold_"), stem, F.lit(end))
-    return inputs.join(status, KEY, "left").select(
-        *KEY, name(".cif").alias("out_cif"), name(".pdb").alias("out_pdb"), name(".json").alias("out_json"), blank("status").alias("status"),
+    key = keyed(inputs, status)
+    return inputs.join(status, key, "left").select(
+        *key, name(".cif").alias("out_cif"), name(".pdb").alias("out_pdb"), name(".json").alias("out_json"), blank("status").alias("status"),
         F.coalesce("aligned", F.lit(False)).alias("aligned_to_generated"), F.size("smiles").alias("ligand_smiles_count"), F.size("ccds").alias("ligand_ccd_count"),
     )

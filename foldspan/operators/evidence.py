@@ -40,10 +40,12 @@ def union_hits(first: DataFrame, *more: DataFrame) -> DataFrame:
     return first
 
 
-def relaxed_fallback(primary: DataFrame, relaxed: DataFrame, projects: DataFrame) -> DataFrame:
-    """Primary hits, and relaxed ones of projects without any whose relaxed query is not blank and differs."""
+def relaxed_fallback(primary: DataFrame, relaxed: DataFrame, projects: DataFrame, proteins: DataFrame | None = None) -> DataFrame:
+    """Primary hits, and relaxed ones of projects without any primary hit, and without a protein hit where these are given,
+    whose relaxed query is not blank and differs."""
     usable = projects.filter((F.trim("relaxed_query") != "") & (F.col("relaxed_query") != F.col("query"))).select("project_id")
-    extra = relaxed.join(usable, "project_id", "left_semi").join(primary.select("project_id").distinct(), "project_id", "left_anti")
+    served = primary.select("project_id") if proteins is None else primary.select("project_id").union(proteins.select("project_id"))
+    extra = relaxed.join(usable, "project_id", "left_semi").join(served.distinct(), "project_id", "left_anti")
     return primary.unionByName(extra, allowMissingColumns=True)
 
 
@@ -68,15 +70,17 @@ def host(url: Column) -> Column:
 
 
 def quality_score(hits: DataFrame) -> DataFrame:
-    """Adds quality_score, 0 to 1: source, trusted host, open access, missing text and missing url."""
+    """Adds quality_score, 0 to 1: source, trusted host, open access, missing text and missing url; what is only white space
+    is missing."""
     base = F.lit(OTHER_SOURCE)
     for source, score in SOURCE_SCORES.items():
         base = F.when(F.col("source") == source, F.lit(score)).otherwise(base)
-    url = F.when(blank("url") != "", F.col("url")).otherwise(blank("fulltext_url"))
+    bare = lambda c: F.regexp_replace(blank(c), "(?U)^\\s+|\\s+$", "")
+    url = F.coalesce(F.nullif(bare("url"), F.lit("")), bare("fulltext_url"))
     trusted = host(url).rlike("|".join(map(re.escape, TRUSTED)))
-    excerpt = blank("fulltext_excerpt") if "fulltext_excerpt" in hits.columns else F.lit("")
+    excerpt = bare("fulltext_excerpt") if "fulltext_excerpt" in hits.columns else F.lit("")
     part = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
-    score = base + part(trusted, 0.25) + part(F.coalesce("is_open_access", F.lit(False)), 0.05) - part((blank("abstract") == "") & (excerpt == ""), 0.15) - part(url == "", 0.10)
+    score = base + part(trusted, 0.25) + part(F.coalesce("is_open_access", F.lit(False)), 0.05) - part((bare("abstract") == "") & (excerpt == ""), 0.15) - part(url == "", 0.10)
     return hits.withColumn("quality_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 

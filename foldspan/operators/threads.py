@@ -21,8 +21,9 @@ def list_threads(threads: DataFrame, tag: str | None = None, n: int | None = Non
         F.coalesce("thread_id", stem(F.col("file"))).alias("thread_id"), blank("title").alias("title"), blank("updated_at").alias("updated_at"),
         F.greatest(F.size(F.coalesce("messages", F.expr("array()"))), F.lit(0)).alias("n_messages"), sanitise_tag("llm_process_tag").alias("llm_process_tag"), "file",
     )
-    wanted = threads.sparkSession.range(1).select(sanitise_tag(F.lit(tag)).alias("wanted"))
-    rows = rows.crossJoin(F.broadcast(wanted)).filter((F.col("wanted") == "") | (F.col("llm_process_tag") == F.col("wanted"))).drop("wanted") if tag else rows
+    if tag:
+        wanted = sanitise_tag(F.lit(tag))
+        rows = rows.filter((wanted == "") | (F.col("llm_process_tag") == wanted))
     rows = rows.orderBy(F.desc("updated_at"), "file")
     return rows.limit(n) if n else rows
 

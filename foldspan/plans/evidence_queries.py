@@ -20,11 +20,12 @@ def _scored(s, d):
 _TEXT = "lower(title || ' ' || journal || ' ' || host_venue || ' ' || url || ' ' || fulltext_url)"
 _FLAGS = f"SELECT *, contains({_TEXT}, 'biorxiv') AS is_biorxiv, contains({_TEXT}, 'nature') AS is_nature, contains({_TEXT}, 'sciencedirect') OR contains({_TEXT}, 'elsevier') AS is_sciencedirect FROM hits"
 _HOSTS = "|".join(t.replace(".", "\\.") for t in L.TRUSTED)
-_CHOSEN = "CASE WHEN url <> '' THEN url ELSE fulltext_url END"
+_BARE = {c: f"regexp_replace({c}, '^{WHITE}|{WHITE}$', '', 'g')" for c in ("abstract", "url", "fulltext_url")}
+_CHOSEN = f"coalesce(nullif({_BARE['url']}, ''), {_BARE['fulltext_url']})"
 _SCORE = (
     "greatest(0::DOUBLE, least(1::DOUBLE, CASE source WHEN 'PubMed' THEN 0.95::DOUBLE WHEN 'EuropePMC' THEN 0.9::DOUBLE WHEN 'OpenAlex' THEN 0.8::DOUBLE WHEN 'WebSearch' THEN 0.45::DOUBLE WHEN 'LocalPDF' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END"
     f" + CASE WHEN regexp_matches(regexp_extract(lower({_CHOSEN}), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '{_HOSTS}') THEN 0.25::DOUBLE ELSE 0::DOUBLE END"
-    " + CASE WHEN is_open_access THEN 0.05::DOUBLE ELSE 0::DOUBLE END - CASE WHEN abstract = '' THEN 0.15::DOUBLE ELSE 0::DOUBLE END"
+    f" + CASE WHEN is_open_access THEN 0.05::DOUBLE ELSE 0::DOUBLE END - CASE WHEN {_BARE['abstract']} = '' THEN 0.15::DOUBLE ELSE 0::DOUBLE END"
     f" - CASE WHEN {_CHOSEN} = '' THEN 0.1::DOUBLE ELSE 0::DOUBLE END))"
 )
 _TIERED = f"scored AS (SELECT *, CASE WHEN quality_score >= 0.75::DOUBLE THEN 'high' WHEN quality_score >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS quality_tier FROM (SELECT *, {_SCORE} AS quality_score FROM ({_FLAGS})))"
@@ -42,8 +43,7 @@ def _request(s, d):
 
 
 def _records(s, d):
-    df = _scored(s, d).select("project_id", "source", "id", "year", "quality_score")
-    return L.bounded_records(df.drop("quality_score").join(df, ["project_id", "source", "id", "year"]).select("project_id", "source", "id", "year"), view(s, d, "projects"), 250, ["source", "id"])
+    return L.bounded_records(view(s, d, "hits").select("project_id", "source", "id", "year"), view(s, d, "projects"), 250, ["source", "id"])
 
 
 def _summary(s, d):
@@ -78,8 +78,8 @@ QUERIES = {
         "SELECT project_id, source, id, year, NULL AS organism FROM hits UNION ALL SELECT project_id, source, id, NULL, organism FROM proteins",
     ),
     "L8_relaxed_fallback": (
-        lambda s, d: L.relaxed_fallback(view(s, d, "hits").filter("project_id < 5").select(*_HIT), view(s, d, "hits").select(*_HIT), view(s, d, "projects")),
-        "SELECT project_id, source, id FROM hits WHERE project_id <= 5",
+        lambda s, d: L.relaxed_fallback(view(s, d, "hits").filter("project_id < 4").select(*_HIT), view(s, d, "hits").select(*_HIT), view(s, d, "projects"), view(s, d, "proteins").filter("project_id = 4")),
+        "SELECT project_id, source, id FROM hits WHERE project_id < 4 OR project_id = 5",
     ),
     "L9_attach_fulltext": (
         lambda s, d: L.attach_fulltext(view(s, d, "hits"), view(s, d, "fulltexts")).select(*_HIT, "fulltext_excerpt"),
