@@ -300,6 +300,21 @@ def test_licences(spark):
     assert len(got) == 5 and licenses.scanned(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_notices_of_four_languages(spark):
+    """Notices that are no templates: those in English are found, and half of all in four languages, which is what the scan
+    reaches now; no sentence that uses the words otherwise is."""
+    notices = [
+        ("MIT", "This code is released under the MIT License."), ("MIT", "Dieser Text ist unter der MIT-Lizenz veröffentlicht."), ("MIT", "Ce texte est publié sous licence MIT."), ("MIT", "Este texto se publica bajo la licencia MIT."),
+        ("Apache-2.0", "The tool is licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Das Werk ist lizenziert unter der Apache-Lizenz, Version 2.0."), ("Apache-2.0", "Ce code est distribué sous la licence Apache 2.0."), ("Apache-2.0", "El código está licenciado bajo la licencia Apache, versión 2.0."),
+        ("Proprietary", "2021 Mill Press. All rights reserved."), ("Proprietary", "2021 Mühle. Alle Rechte vorbehalten."), ("Proprietary", "2021 Moulin. Tous droits réservés."), ("Proprietary", "2021 Molino. Todos los derechos reservados."),
+    ]
+    others = ["He gave up his fishing license when the river froze.", "Die Lizenz des Piloten lag noch auf dem Tisch.", "Sa licence de philosophie ne lui servait plus.", "La licencia del pescador estaba en la mesa."]
+    got = {r["doc_id"]: r["family"] for r in licenses.scanned(frame(spark, [t for _, t in notices] + others)).collect()}
+    found = [got.get(k) == f for k, (f, _) in enumerate(notices, 1)]
+    assert all(found[::4]) and sum(found) >= 6, found
+    assert all(got.get(k, "unknown") == "unknown" for k in range(len(notices) + 1, len(notices) + 5))
+
+
 def test_licences_inside_paragraphs(spark):
     prose = " ".join(["the river ran past old stone walls and small gardens"] * 3)
     texts = [
