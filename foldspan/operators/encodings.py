@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.schemas import ALPHABET, aa_dim
+from foldspan.schemas import ALPHABET, AMINO_ACIDS
 
 SPARSE = "struct<size: int, indices: array<int>, values: array<float>>"
 
@@ -56,8 +56,12 @@ def feature_matrix(df: DataFrame, base: str | None = None, seq: str = "seq", n:
 
 
 def composition(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """Shares of polarity groups and mean hydropathy of each sequence's known residues."""
-    letters = df.select(key, F.explode(F.split(F.upper(seq), "")).alias("aa"))
-    share = lambda g: F.avg(F.when(F.col("polarity") == g, 1.0).otherwise(0.0))
-    known = letters.join(F.broadcast(aa_dim(df.sparkSession)), "aa").groupBy(key)
-    return known.agg(F.count("*").alias("residues"), F.avg("kd").alias("kd_mean"), *(share(g).alias(n) for g, n in (("np", "nonpolar"), ("p~", "neutral"), ("p+", "basic"), ("p-", "acidic"))))
+    """Shares of polarity groups and mean hydropathy of each sequence's known residues, a row a sequence that has some. Letters
+    are counted in the row, so nothing is shuffled."""
+    text = F.upper(seq)
+    counted = df.select(key, *((F.length(text) - F.length(F.replace(text, F.lit(a), F.lit("")))).cast("long").alias(f"__{a}") for a in AMINO_ACIDS))
+    total = lambda names: sum((F.col(f"__{a}") for a in names), F.lit(0).cast("long"))
+    groups = {n: [a for a, v in AMINO_ACIDS.items() if v[1] == g] for g, n in (("np", "nonpolar"), ("p~", "neutral"), ("p+", "basic"), ("p-", "acidic"))}
+    kd = sum((F.col(f"__{a}") * float(v[2]) for a, v in AMINO_ACIDS.items()), F.lit(0.0))
+    known = counted.withColumn("residues", total(AMINO_ACIDS)).filter("residues > 0")
+    return known.select(key, "residues", (kd / F.col("residues")).alias("kd_mean"), *((total(names) / F.col("residues")).alias(n) for n, names in groups.items()))

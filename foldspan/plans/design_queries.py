@@ -35,11 +35,11 @@ _TAG = f"WITH {_Q}, tagged AS (SELECT l.struct_name, l.metric, l.metric_ord, l.v
 _ATOM = """SELECT {c} AS structure_id, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain, CAST(vec_id AS STRING) AS resi,
     CASE vec_id % 4 WHEN 0 THEN 'SER' WHEN 1 THEN 'LYS' WHEN 2 THEN 'LEU' ELSE 'UNK' END AS resn, CASE WHEN vec_id % 6 IN (4, 5) THEN 'OG' ELSE 'CA' END AS atom_name,
     CAST({e1} AS DOUBLE) * 50 AS x, CAST({e2} AS DOUBLE) * 50 AS y, CAST({e3} AS DOUBLE) * 50 AS z, CAST(vec_id % 100 AS DOUBLE) AS b FROM embeddings"""
-_ATOMS_DUCK = "atoms AS (" + _ATOM.format(c="CAST(label AS STRING)", e1="embedding[1]", e2="embedding[2]", e3="embedding[3]") + ")"
+_ATOMS_DUCK = "atoms AS (" + _ATOM.format(c="label || '_' || (vec_id // 1000)", e1="embedding[1]", e2="embedding[2]", e3="embedding[3]") + ")"
 
 
 def _atoms(s, d):
-    return view(s, d, _ATOM.format(c="CAST(label AS STRING)", e1="embedding[0]", e2="embedding[1]", e3="embedding[2]"))
+    return view(s, d, _ATOM.format(c="label || '_' || (vec_id div 1000)", e1="embedding[0]", e2="embedding[1]", e3="embedding[2]"))
 
 
 def _near(s, d):
@@ -78,17 +78,23 @@ _PASS = "rmsd < 2.5 AND ipae < 10 AND binder_rmsd < 1 AND binder_plddt > 80"
 _LIM = {"rmsd": 2.5, "ipae": 40.0, "binder_rmsd": 1.2, "binder_plddt": 20.0}
 _PASS2 = "rmsd < 2.5 AND ipae < 40 AND binder_rmsd < 1.2 AND binder_plddt > 20"
 _COLS = ["structure_idx", "sequence_idx", "rmsd", "ipae", "binder_rmsd", "binder_plddt", "score"]
-_SEQ = "SELECT doc_id, substring(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 60) AS seq, substring(upper(regexp_replace(source || lang, '[^A-Za-z]', '', 'g')), 1, 60) AS base FROM documents"
+_SEQ = "SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq, upper(regexp_replace(source || lang, '[^A-Za-z]', '', 'g')) AS base FROM documents"
 _SEQS = f"seqs AS ({_SEQ})"
+_NAMES = "seqs AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS seq FROM part)"
+
+
+def _letters(c):
+    return F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
 
 
 def _seqs(s, d):
-    letters = lambda c: F.left(F.upper(F.regexp_replace(c, "[^A-Za-z]", "")), F.lit(60))
-    return view(s, d, "documents").select("doc_id", letters(F.col("text")).alias("seq"), letters(F.concat("source", "lang")).alias("base"))
+    """All letters of each text, and of its source and language as the base."""
+    return view(s, d, "documents").select("doc_id", _letters(F.col("text")).alias("seq"), _letters(F.concat("source", "lang")).alias("base"))
 
 
 def _places(seq: str, offset: str = "0") -> str:
-    return f"list_transform(list_filter(range(1, length({seq}) + 1), lambda i: contains('{ALPHABET}', {seq}[i])), lambda i: CAST({offset} + 20 * (i - 1) + instr('{ALPHABET}', {seq}[i]) - 1 AS INTEGER))"
+    place = f"CASE WHEN c <> '' AND contains('{ALPHABET}', c) THEN CAST({offset} + 20 * (i - 1) + instr('{ALPHABET}', c) - 1 AS INTEGER) END"
+    return f"list_filter(list_transform(string_split({seq}, ''), lambda c, i: {place}), lambda x: x IS NOT NULL)"
 
 
 _REFOLD = "SELECT structure_idx, sequence_idx, CASE WHEN partkey % 3 = 0 THEN '' ELSE 's' || partkey || '.pdb' END AS out_pdb, 's' || partkey || '.cif' AS out_cif FROM designs WHERE partkey % 5 <> 0"
@@ -125,8 +131,8 @@ _LISTED = "coalesce(string_agg(metric, ', ' ORDER BY metric_ord) FILTER (tag = '
 
 
 def _georgiev_matrix(s, d):
-    seqs = _seqs(s, d)
-    return E.encode(seqs, "georgiev", scales=SCALES).select("doc_id", F.col("encoding").cast("array<double>").alias("encoding"))
+    names = view(s, d, "part").select("p_partkey", _letters(F.col("p_name")).alias("seq"))
+    return E.encode(names, "georgiev", scales=SCALES).select("p_partkey", F.col("encoding").cast("array<double>").alias("encoding"))
 
 
 def _metric_names(s, d):
@@ -170,8 +176,8 @@ QUERIES = {
     ),
     "T9_assemble_metrics": (_assembled, "SELECT structure_idx, sequence_idx, partkey AS design_idx, score, CASE WHEN partkey % 3 <> 0 THEN rmsd END AS rmsd, CASE WHEN partkey % 3 <> 0 THEN binder_rmsd END AS binder_rmsd, CASE WHEN partkey % 4 <> 0 THEN ipae END AS ipae FROM designs"),
     "T10_number_designs": (
-        lambda s, d: T.number_designs(view(s, d, "SELECT partkey % 5 AS run, structure_idx, sequence_idx FROM designs"), ["run"]),
-        "SELECT partkey % 5 AS run, structure_idx, sequence_idx, CAST(row_number() OVER (PARTITION BY partkey % 5 ORDER BY structure_idx, sequence_idx) - 1 AS INT) AS design_idx FROM designs",
+        lambda s, d: T.number_designs(view(s, d, "SELECT partkey div 50 AS run, structure_idx, sequence_idx FROM designs"), ["run"]),
+        "SELECT partkey // 50 AS run, structure_idx, sequence_idx, CAST(row_number() OVER (PARTITION BY partkey // 50 ORDER BY structure_idx, sequence_idx) - 1 AS INT) AS design_idx FROM designs",
     ),
     "T11_mean_score": (
         lambda s, d: view(s, d, "embeddings").select("vec_id", F.round(T.mean_score(F.slice(F.transform("embedding", lambda x: x.cast("double")), F.lit(1), (F.col("vec_id") % 5).cast("int"))), 9).alias("score")),
@@ -198,7 +204,7 @@ QUERIES = {
     ),
     "E3_georgiev": (
         _georgiev_matrix,
-        f"WITH {_SEQS}, {_SCALE_SQL}, m AS (SELECT max(length(seq)) AS n FROM seqs), cells AS (SELECT doc_id, i, coalesce(v, [0::FLOAT, 0::FLOAT, 0::FLOAT, 0::FLOAT, 0::FLOAT]) AS v FROM (SELECT doc_id, seq, unnest(range(1, n + 1)) AS i FROM seqs, m) LEFT JOIN scale ON aa = seq[i]) SELECT doc_id, list_transform(flatten(list(v ORDER BY i)), lambda x: x::DOUBLE) AS encoding FROM cells GROUP BY doc_id",
+        f"WITH {_NAMES}, {_SCALE_SQL}, m AS (SELECT max(length(seq)) AS n FROM seqs), cells AS (SELECT p_partkey, i, coalesce(v, [0::FLOAT, 0::FLOAT, 0::FLOAT, 0::FLOAT, 0::FLOAT]) AS v FROM (SELECT p_partkey, seq, unnest(range(1, n + 1)) AS i FROM seqs, m) LEFT JOIN scale ON aa = seq[i]) SELECT p_partkey, list_transform(flatten(list(v ORDER BY i)), lambda x: x::DOUBLE) AS encoding FROM cells GROUP BY p_partkey",
     ),
     "E4_encode": (lambda s, d: E.encode(_seqs(s, d), "one_hot", n=10).select("doc_id", "encoding.indices"), f"WITH {_SEQS}, cut AS (SELECT doc_id, substring(seq, 1, 10) AS seq FROM seqs) SELECT doc_id, {_places('seq')} AS indices FROM cut"),
     "E5_feature_matrix": (

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foldspan.functions import text as X
 from foldspan.functions.chains import chain_ids
+from foldspan.operators import designs as T
 from foldspan.operators import plan_steps as W
 from foldspan.operators import specs as D
 from foldspan.operators import threads as C
 from foldspan.operators.encodings import feature_matrix
-from foldspan.plans.design_queries import _atoms, _seqs
-from foldspan.plans.views import duck, view
+from foldspan.plans import design_queries
+from foldspan.plans.design_queries import _SEQS, _atoms, _places, _profile, _seqs
+from foldspan.plans.views import PROJECT, duck, view
 from foldspan.sources import files as S
 from foldspan.sources import responses as R
 from foldspan.sources import sinks as K
 
 
 def _packed(df, shape, path="results"):
-    """One JSON body a project out of rows, in id order."""
+    """One JSON body a project out of rows, in id order; a project has at most 200 ids."""
     rows = F.array_sort(F.collect_list(F.struct("__k", shape.alias("x"))))
     return df.groupBy("project_id").agg(F.to_json(F.struct(F.transform(rows, lambda r: r["x"]).alias(path))).alias("body"))
 
@@ -102,7 +106,7 @@ def _fulltext(s, d):
 
 
 def _fasta(s, d):
-    rows = _seqs(s, d).select((F.col("doc_id") % 10).cast("string").alias("file"), "doc_id", "seq")
+    rows = _seqs(s, d).select(F.expr("doc_id div 100").cast("string").alias("file"), "doc_id", "seq")
     record = F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" some text\n"), F.left("seq", F.lit(20)), F.lit("\n\n "), F.substr("seq", F.lit(21)), F.lit("\n>empty\n"))
     files = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("r")))), lambda x: x["r"]), "").alias("text"))
     return S.parse_fasta(files).select("file", "seq_id", "sequence")
@@ -115,7 +119,7 @@ def _tokens(s, d):
 
 def _overrides(s, d):
     projects = view(s, d, "projects").select("project_id", F.array(F.lit("old")).alias("seeds"))
-    return S.list_overrides(projects, view(s, d, "SELECT p_partkey % 9 AS project_id, p_partkey AS pos, CASE WHEN p_partkey % 9 = 4 THEN ' ' ELSE ' ' || p_name END AS value FROM part"), "seeds")
+    return S.list_overrides(projects, view(s, d, f"SELECT {PROJECT.format(k='p_partkey')} AS project_id, p_partkey AS pos, CASE WHEN p_partkey % 7 = 4 THEN ' ' ELSE ' ' || p_name END AS value FROM part"), "seeds")
 
 
 def _pdb_lines(s, d):
@@ -134,7 +138,7 @@ def _cif(s, d):
     return S.cif_to_atoms(files).select("structure_id", "chain", "resi", "resn", "atom_name", *(F.round(c, 3).alias(c) for c in "xyz"), "b")
 
 
-_ATOM_SQL = """SELECT CAST(label AS STRING) AS structure_id, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain, CAST(vec_id AS STRING) AS resi, CASE vec_id % 4 WHEN 0 THEN 'SER' WHEN 1 THEN 'LYS' WHEN 2 THEN 'LEU' ELSE 'UNK' END AS resn,
+_ATOM_SQL = """SELECT label || '_' || (vec_id // 1000) AS structure_id, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain, CAST(vec_id AS STRING) AS resi, CASE vec_id % 4 WHEN 0 THEN 'SER' WHEN 1 THEN 'LYS' WHEN 2 THEN 'LEU' ELSE 'UNK' END AS resn,
     CASE WHEN vec_id % 6 IN (4, 5) THEN 'OG' ELSE 'CA' END AS atom_name, printf('%.3f', embedding[1]::DOUBLE * 50)::DOUBLE AS x, printf('%.3f', embedding[2]::DOUBLE * 50)::DOUBLE AS y, printf('%.3f', embedding[3]::DOUBLE * 50)::DOUBLE AS z, (vec_id % 100)::DOUBLE AS b FROM embeddings"""
 
 
@@ -251,46 +255,66 @@ def _plans(s, d):
 _STEPS = f"WITH {_LINES} SELECT l_orderkey AS plan_id, l_linenumber AS step_index, 'step ' || k AS step_name, 'a, t' || k AS tools, '' AS description, 'why' AS rationale, CASE WHEN k % 2 = 0 THEN left(repeat('x y', 60), 140) || '...' ELSE 'run()' END AS python_code_preview FROM lines WHERE l_orderkey % 3 < 2"
 
 
+def _folder(s):
+    """A new folder where the cluster shares files."""
+    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def _reread(s, table, partition=None):
+    """A table as write_tables leaves it, read again as a stage that reuses it would."""
+    path = _folder(s)
+    K.write_tables({"table": table}, path, partition)
+    return K.reuse(s, f"{path}/table")
+
+
 def _written(s, d):
     """Written and read back from the folder that the cluster shares."""
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = _folder(s)
     K.write_tables({"hits": view(s, d, "SELECT project_id, source, id FROM hits"), "proteins": view(s, d, "SELECT project_id, source, id FROM proteins")}, path)
     read = lambda name: K.reuse(s, f"{path}/{name}", "source string, id string, project_id long")
     return read("hits").unionByName(read("proteins"))
 
 
+def _design_table(s, d):
+    kept = T.filter_designs(view(s, d, "SELECT partkey div 50 AS run_id, structure_idx, sequence_idx, rmsd, ipae, binder_rmsd, binder_plddt, score FROM designs"), design_queries._LIM)
+    return _reread(s, kept)
+
+
 def _csv(s, d):
     """The pocket table as CSV in the shared folder, with a nameless first column and a repeated name, read back."""
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = _folder(s)
     rows = view(s, d, "pocket").select(F.col("struct_name").alias("_c0"), F.col("struct_name").alias("struct_name1"), F.col("struct_name").alias("struct_name2"), "size")
     rows.toDF("", "struct_name", "struct_name ", "size").write.option("header", True).csv(path)
     return S.read_table_csv(s, path, "_c0 string, struct_name1 string, struct_name2 string, size double").select("struct_name", F.round("size", 6).alias("size"))
 
 
 def _vectors(s, d):
-    features = feature_matrix(_seqs(s, d), n=5)
-    at = F.map_from_arrays("features.indices", "features.values")
-    return features.select("doc_id", F.aggregate(F.map_keys(at), F.lit(0), lambda a, x: a + x).alias("places"), F.size("features.indices").alias("n"))
+    """Sparse features written as vectors and read back."""
+    path = _folder(s)
+    K.write_vectors(feature_matrix(_seqs(s, d)).select("doc_id", "features"), path)
+    places = F.aggregate("features.indices", F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.read.parquet(path).select("doc_id", "features.size", places.alias("places"), F.size("features.indices").alias("n"))
 
 
 def _updates(s, d):
-    messages = view(s, d, "SELECT lower(md5(CAST(conv_id AS STRING))) AS thread_id, '2024-01-' || lpad(CAST(turn + 10 AS STRING), 2, '0') AS ts FROM conversations")
-    return K.with_updates(_threads(s, d), messages).select("thread_id", "updated_at")
+    """Messages appended in two writes to one table, whose last times the threads take."""
+    path = _folder(s)
+    messages = view(s, d, "SELECT lower(md5(CAST(conv_id AS STRING))) AS thread_id, turn, '2024-01-' || lpad(CAST(turn + 10 AS STRING), 2, '0') AS ts FROM conversations")
+    for part in (messages.filter("turn % 2 = 0"), messages.filter("turn % 2 = 1")):
+        K.append_messages(part, path)
+    read = K.reuse(s, path)
+    counts = read.groupBy("thread_id").agg(F.count("*").alias("n_messages"))
+    return K.with_updates(_threads(s, d), read).join(counts, "thread_id").select("thread_id", "updated_at", "n_messages")
 
 
 _P_SQL = "SELECT project_id, '{s}' AS source, id, {t} AS title, {o} AS organism, {m} AS summary, {u} AS url FROM proteins"
 _AA = "regexp_full_match(trim(c), '[A-Za-z*\\-]+') AND NOT contains(c, '..')"
 
 QUERIES = {
-    "S1_read_fasta": (_fasta, "SELECT CAST(doc_id % 10 AS STRING) AS file, 'd' || doc_id AS seq_id, seq AS sequence FROM (SELECT doc_id, substring(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 60) AS seq FROM documents) WHERE seq <> ''"),
+    "S1_read_fasta": (_fasta, "SELECT CAST(doc_id // 100 AS STRING) AS file, 'd' || doc_id AS seq_id, seq AS sequence FROM (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents) WHERE seq <> ''"),
     "S2_read_tokens": (_tokens, "SELECT p_partkey, split_part(p_name, ' ', 1) AS token FROM part WHERE p_partkey % 4 > 1"),
-    "S3_list_overrides": (_overrides, "SELECT project_id, coalesce(xs, ['old']) AS seeds FROM projects LEFT JOIN (SELECT p_partkey % 9 AS project_id, list(p_name ORDER BY p_partkey) AS xs FROM part WHERE p_partkey % 9 <> 4 GROUP BY 1) USING (project_id)"),
+    "S3_list_overrides": (_overrides, f"SELECT project_id, coalesce(xs, ['old']) AS seeds FROM projects LEFT JOIN (SELECT {PROJECT.format(k='p_partkey')} AS project_id, list(p_name ORDER BY p_partkey) AS xs FROM part WHERE p_partkey % 7 <> 4 GROUP BY 1) USING (project_id)"),
     "S4_read_table_csv": (_csv, "SELECT struct_name, round(size, 6) AS size FROM pocket"),
     "S6_read_structures": (_pdb_lines, _ATOM_SQL),
     "S7_cif_to_atoms": (_cif, _ATOM_SQL),
@@ -314,12 +338,14 @@ QUERIES = {
     ),
     "S17_xml_fulltext": (_fulltext, "SELECT 'PMC' || page_id AS pmcid, CASE WHEN page_id % 5 = 0 THEN '' ELSE url || ' tail' || page_id END AS excerpt FROM pages"),
     "K1_write_tables": (_written, "SELECT project_id, source, id FROM hits UNION ALL SELECT project_id, source, id FROM proteins"),
+    "K3_pocket_outputs": (lambda s, d: _reread(s, _profile(s, d)), design_queries.QUERIES["P9_profile"][1]),
+    "K4_design_tables": (_design_table, f"SELECT partkey // 50 AS run_id, structure_idx, sequence_idx, rmsd, ipae, binder_rmsd, binder_plddt, score FROM designs WHERE {design_queries._PASS2}"),
     "K5_feature_matrix_sink": (
         _vectors,
-        "WITH c AS (SELECT doc_id, substring(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 5) AS seq FROM documents), p AS (SELECT doc_id, list_transform(list_filter(range(1, length(seq) + 1), lambda i: contains('ACDEFGHIKLMNPQRSTVWY', seq[i])), lambda i: 20 * (i - 1) + instr('ACDEFGHIKLMNPQRSTVWY', seq[i]) - 1) AS x FROM c) SELECT doc_id, CAST(coalesce(list_sum(x), 0) AS INT) AS places, CAST(len(x) AS INT) AS n FROM p",
+        f"WITH {_SEQS}, p AS (SELECT doc_id, {_places('seq')} AS x FROM seqs) SELECT doc_id, CAST((SELECT max(length(seq)) FROM seqs) * 20 AS INT) AS size, CAST(coalesce(list_sum(x), 0) AS BIGINT) AS places, CAST(len(x) AS INT) AS n FROM p",
     ),
     "K6_plan_json": (lambda s, d: W.plan_json(W.plan_steps(_plans(s, d)).select("plan_id", "step_index", "step_name")), f"WITH {_LINES} SELECT l_orderkey AS plan_id, '[' || string_agg('{{\"step_index\":' || l_linenumber || ',\"step_name\":\"step ' || k || '\"}}', ',' ORDER BY l_linenumber) || ']' AS plan FROM lines WHERE l_orderkey % 3 < 2 GROUP BY l_orderkey"),
-    "K7_append_message": (_updates, f"WITH th AS ({_THREAD}) SELECT thread_id, greatest(updated_at, '2024-01-' || lpad(CAST(last + 10 AS STRING), 2, '0')) AS updated_at FROM th"),
+    "K7_append_message": (_updates, f"WITH th AS ({_THREAD}) SELECT thread_id, greatest(updated_at, '2024-01-' || lpad(CAST(last + 10 AS STRING), 2, '0')) AS updated_at, n_messages FROM th JOIN (SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id) USING (conv_id)"),
     "D1_is_explicit_sequence": (
         lambda s, d: view(s, d, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '140..180' WHEN 1 THEN ' ACD-E* ' WHEN 2 THEN p_name ELSE '' END AS c FROM part").select("p_partkey", D.is_explicit_sequence(F.col("c")).alias("explicit")),
         f"SELECT p_partkey, {_AA} AS explicit FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '140..180' WHEN 1 THEN ' ACD-E* ' WHEN 2 THEN p_name ELSE '' END AS c FROM part)",

@@ -8,28 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: A project's number, of a row's id: seven projects in each block of 1,400 ids, so that projects grow in number, not in size.
+PROJECT = "({k} % 7 + 7 * CAST(floor({k} / 1400) AS BIGINT))"
+_DOC, _D, _PART = (PROJECT.format(k=k) for k in ("doc_id", "d.doc_id", "p_partkey"))
+
 VIEWS = {
-    "hits": """
-        SELECT d.doc_id % 7 AS project_id, CASE d.doc_id % 6 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'EuropePMC' WHEN 2 THEN 'OpenAlex' WHEN 3 THEN 'WebSearch' WHEN 4 THEN 'LocalPDF' ELSE 'Other' END AS source,
+    "hits": f"""
+        SELECT {_D} AS project_id, CASE d.doc_id % 6 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'EuropePMC' WHEN 2 THEN 'OpenAlex' WHEN 3 THEN 'WebSearch' WHEN 4 THEN 'LocalPDF' ELSE 'Other' END AS source,
             CAST(d.doc_id AS STRING) AS id, d.source || ' report ' || CAST(d.doc_id AS STRING) AS title, d.source AS journal, CAST(2000 + d.doc_id % 25 AS INT) AS year,
             CASE WHEN d.doc_id % 5 = 0 THEN '' WHEN d.doc_id % 31 = 1 THEN ' ' ELSE d.text END AS abstract, coalesce(l.quality, 0) = 1 AS is_open_access,
             CASE WHEN d.doc_id % 11 = 0 THEN 'https://www.nature.com/' || CAST(d.doc_id AS STRING) ELSE coalesce(p.url, '') END AS fulltext_url,
             CASE WHEN d.doc_id % 3 = 0 THEN '' WHEN d.doc_id % 37 = 1 THEN '  ' ELSE coalesce(p.url, '') END AS url, CASE WHEN d.doc_id % 2 = 0 THEN 'PMC' || CAST(d.doc_id AS STRING) ELSE '' END AS pmcid,
             CASE WHEN d.doc_id % 13 = 0 THEN 'bioRxiv' ELSE d.source END AS host_venue, d.doc_id AS rank
         FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
-    "projects": """
-        SELECT DISTINCT doc_id % 7 AS project_id, 'query ' || CAST(doc_id % 7 AS STRING) AS query,
-            CASE WHEN doc_id % 7 = 6 THEN 'query 6' ELSE 'wide ' || CAST(doc_id % 7 AS STRING) END AS relaxed_query
+    "projects": f"""
+        SELECT DISTINCT {_DOC} AS project_id, 'query ' || CAST({_DOC} AS STRING) AS query,
+            CASE WHEN doc_id % 7 = 6 THEN 'query ' ELSE 'wide ' END || CAST({_DOC} AS STRING) AS relaxed_query
         FROM documents""",
-    "asked": """
-        SELECT DISTINCT doc_id % 7 AS project_id, CASE doc_id % 6 WHEN 0 THEN 'PubMed' WHEN 3 THEN 'WebSearch' ELSE 'OpenAlex' END AS source
+    "asked": f"""
+        SELECT DISTINCT {_DOC} AS project_id, CASE doc_id % 6 WHEN 0 THEN 'PubMed' WHEN 3 THEN 'WebSearch' ELSE 'OpenAlex' END AS source
         FROM documents WHERE doc_id % 6 IN (0, 2, 3)""",
-    "proteins": """
-        SELECT p_partkey % 7 AS project_id, CASE p_partkey % 3 WHEN 0 THEN 'UniProt' WHEN 1 THEN 'InterPro' ELSE 'PDB' END AS source, CAST(p_partkey AS STRING) AS id,
+    "proteins": f"""
+        SELECT {_PART} AS project_id, CASE p_partkey % 3 WHEN 0 THEN 'UniProt' WHEN 1 THEN 'InterPro' ELSE 'PDB' END AS source, CAST(p_partkey AS STRING) AS id,
             p_name AS title, p_brand AS organism, p_type AS summary, 'https://example.org/' || CAST(p_partkey AS STRING) AS url
         FROM part""",
     "fulltexts": "SELECT 'PMC' || CAST(page_id AS STRING) AS pmcid, html AS excerpt FROM pages",
-    "localdocs": "SELECT doc_id % 7 AS project_id, lpad(CAST(doc_id AS STRING), 9, '0') AS name, CASE WHEN doc_id % 17 = 0 THEN '   ' ELSE text END AS text FROM documents",
+    "localdocs": f"SELECT {_DOC} AS project_id, lpad(CAST(doc_id AS STRING), 9, '0') AS name, CASE WHEN doc_id % 17 = 0 THEN '   ' ELSE text END AS text FROM documents",
     "pocket": """
         SELECT p.p_brand || '_' || p.p_type AS struct_name, avg(l.l_quantity) AS quantity, avg(l.l_extendedprice) AS price, avg(l.l_discount) AS discount, avg(l.l_tax) AS tax, avg(p.p_size) AS size
         FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey GROUP BY p.p_brand, p.p_type""",
