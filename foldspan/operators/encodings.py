@@ -58,10 +58,11 @@ def feature_matrix(df: DataFrame, base: str | None = None, seq: str = "seq", n:
 def composition(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """Shares of polarity groups and mean hydropathy of each sequence's known residues, a row a sequence that has some. Letters
     are counted in the row, so nothing is shuffled."""
-    text = F.upper(seq)
-    counted = df.select(key, *((F.length(text) - F.length(F.replace(text, F.lit(a), F.lit("")))).cast("long").alias(f"__{a}") for a in AMINO_ACIDS))
-    total = lambda names: sum((F.col(f"__{a}") for a in names), F.lit(0).cast("long"))
-    groups = {n: [a for a, v in AMINO_ACIDS.items() if v[1] == g] for g, n in (("np", "nonpolar"), ("p~", "neutral"), ("p+", "basic"), ("p-", "acidic"))}
-    kd = sum((F.col(f"__{a}") * float(v[2]) for a, v in AMINO_ACIDS.items()), F.lit(0.0))
-    known = counted.withColumn("residues", total(AMINO_ACIDS)).filter("residues > 0")
-    return known.select(key, "residues", (kd / F.col("residues")).alias("kd_mean"), *((total(names) / F.col("residues")).alias(n) for n, names in groups.items()))
+    known = df.select(key, F.upper(seq).alias("__seq")).filter(F.col("__seq").rlike(f"[{ALPHABET}]"))
+    count = lambda a: F.length("__seq") - F.length(F.replace("__seq", F.lit(a), F.lit("")))
+    counted = known.select(key, F.array(*map(count, map(F.lit, AMINO_ACIDS))).alias("__n"))
+    total = lambda weights: F.aggregate(F.zip_with("__n", F.array(*(F.lit(float(w)) for w in weights)), lambda n, w: n * w), F.lit(0.0), lambda s, x: s + x)
+    sums = {"residues": total([1] * len(AMINO_ACIDS)), "kd_mean": total([v[2] for v in AMINO_ACIDS.values()])}
+    sums |= {n: total([v[1] == g for v in AMINO_ACIDS.values()]) for g, n in (("np", "nonpolar"), ("p~", "neutral"), ("p+", "basic"), ("p-", "acidic"))}
+    rows = counted.select(key, *(c.alias(n) for n, c in sums.items()))
+    return rows.select(key, F.col("residues").cast("long").alias("residues"), *((F.col(n) / F.col("residues")).alias(n) for n in sums if n != "residues"))
