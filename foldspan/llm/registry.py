@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspan.llm import bpe, decontamination, fingerprints, html_content, language_model, licenses, quality_classifier, quality_rules, sharding, toxicity
+from foldspan.llm import bpe, conversations, decontamination, fingerprints, html_content, language_model, licenses, manifest, quality_classifier, quality_rules, sharding, toxicity
 from foldspan.llm.common import crc_bucket
 from foldspan.llm.minhash import near_duplicates
 
@@ -64,13 +64,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_toxicity": op3_toxicity, "op4_license_scan": op4_license_scan, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_html_content": op7_html_content, "op8_language_model": op8_language_model, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier, "op13_fingerprints": op13_fingerprints}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_toxicity": op3_toxicity, "op4_license_scan": op4_license_scan, "op5_decontamination": op5_decontamination, "op6_sharding": op6_sharding, "op7_html_content": op7_html_content, "op8_language_model": op8_language_model, "op9_bpe": op9_bpe, "op10_quality_classifier": op10_quality_classifier, "op11_manifest": op11_manifest, "op12_conversations": op12_conversations, "op13_fingerprints": op13_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op11_manifest": manifest.ORACLE, "op12_conversations": conversations.ORACLE}
