@@ -11,6 +11,12 @@ contracted as it stands: one whose rank is the minimum, and leftmost, within twi
 the word's bytes can make, since nothing farther away can reach it before; and all pairs of the word's minimum rank, left
 to right, unless a token so made would at once make a pair of a lower rank. Rounds then depend on that length and not on
 the word's.
+
+A word of more than STRETCH bytes is contracted a stretch at a time, each of which begins at a token of the one before, a
+good way from its end. Where both have a token in common, the earlier tokens of the one and the later ones of the other are
+the word's: a list of tokens is an encoding if and only if each two neighbours are, since the first merge across a bound
+would also happen between those two alone. So no query holds more rows than a stretch has bytes, whatever a word's length;
+what long words are is not remembered.
 """
 
 from __future__ import annotations
@@ -39,8 +45,11 @@ CHUNKS, PIECES = 100_000, 300_000
 DUCKDB_MEMORY = "128MB"
 #: Bytes of words handed to one recursive query, and ids to one decoding query; a word alone may have more bytes.
 BYTES_A_QUERY, IDS_A_QUERY = 1 << 18, 1 << 19
-#: Words of more bytes are encoded by LONG.
-LONG_WORD = 64
+#: Words of more bytes are encoded by LONG, of which so many bytes go to a query; words of more bytes than STRETCH a stretch
+#: at a time, each of which begins OVERLAP bytes before the end of the one before.
+LONG_WORD, LONG_A_QUERY, STRETCH, OVERLAP = 64, 1 << 17, 1 << 15, 1 << 11
+#: Chunks and pieces of more characters are not remembered.
+REMEMBERED_CHARS = 256
 #: Rows that the rounds of one query of long words may pile up.
 ROWS_A_QUERY = 2_000_000
 #: Chunks of a text that are looked up at a time.
@@ -151,6 +160,8 @@ class Codec:
         for token, r in zip(vocabulary.column("token")[-256:].to_pylist(), vocabulary.column("id")[-256:].to_pylist(), strict=True):
             if len(token) == 1:
                 self.byte_id[token[0]] = r
+        self.lengths = np.zeros(1 + max(vocabulary.column("id").to_pylist(), default=0), np.int64)
+        self.lengths[vocabulary.column("id").to_numpy()] = pc.binary_length(vocabulary.column("token")).to_numpy()
         self.chunks, self.pieces = Remembered(CHUNKS), Remembered(PIECES)
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -181,6 +192,27 @@ class Codec:
             w, p, ids = w[~done], p[~done], ids[~done]
         return out
 
+    def _stretched(self, word: bytes, size: int = STRETCH, overlap: int = OVERLAP) -> bytes:
+        """Ids of one very long word."""
+        ids, out, start = np.frombuffer(self._long([word[:size]])[0], "<u4"), [], 0
+        while start + (ends := np.cumsum(self.lengths[ids]))[-1] < len(word):
+            ends = ends + start
+            begins = ends - self.lengths[ids]
+            k = int(np.searchsorted(begins, ends[-1] - overlap))
+            after = np.frombuffer(self._long([word[begins[k] : begins[k] + size]])[0], "<u4")
+            places = begins[k] + np.cumsum(self.lengths[after]) - self.lengths[after]
+            _, a, b = np.intersect1d(begins[k:], places, assume_unique=True, return_indices=True)
+            met = np.flatnonzero(ids[k:][a] == after[b])
+            if not len(met):  # begin farther back, and where that is no way on, take more at a time
+                size, overlap = (2 * size, overlap) if k == 0 or 4 * overlap > size else (size, 2 * overlap)
+                if k == 0:
+                    ids = np.frombuffer(self._long([word[start : start + size]])[0], "<u4")
+                continue
+            a, b = k + int(a[met[0]]), int(b[met[0]])
+            out.append(ids[:a])
+            ids, start = after[b:], int(places[b])
+        return np.concatenate([*out, ids]).astype("<u4").tobytes()
+
     def _short(self, raw: list[bytes]) -> list[bytes]:
         found = self._query(*_places(np.array([len(x) for x in raw])), self.byte_id[np.frombuffer(b"".join(raw), np.uint8)], ENCODE)
         lists = found.column("ids").combine_chunks()
@@ -191,11 +223,11 @@ class Codec:
     def _merged(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
         found, raw = {}, [w.encode() for w in words]
-        for long, contract in ((False, self._short), (True, self._long)):
-            some = [k for k, x in enumerate(raw) if (len(x) > LONG_WORD) == long]
-            for part in _runs([len(raw[k]) for k in some], BYTES_A_QUERY):
+        for least, most, contract, size in ((0, LONG_WORD, self._short, BYTES_A_QUERY), (LONG_WORD, STRETCH, self._long, LONG_A_QUERY)):
+            some = [k for k, x in enumerate(raw) if least < len(x) <= most]
+            for part in _runs([len(raw[k]) for k in some], size):
                 found.update(zip((words[k] for k in some[part]), contract([raw[k] for k in some[part]]), strict=True))
-        return found
+        return found | {words[k]: self._stretched(x) for k, x in enumerate(raw) if len(x) > STRETCH}
 
     def _encoded(self, split: list[list[str]]) -> list[bytes]:
         new = {c: self.pattern.findall(c) for c in self.chunks.missing(set().union(*split))}
@@ -205,7 +237,12 @@ class Codec:
         found = self.chunks.new
         for c, x in new.items():
             found[c] = b"".join([known[p] for p in x])
-        return [b"".join([found[c] for c in x]) for x in split]
+        out = [b"".join([found[c] for c in x]) for x in split]
+        for held, keys in ((found, new), (known, pieces)):
+            for key in keys:
+                if len(key) > REMEMBERED_CHARS:
+                    del held[key]
+        return out
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text. A long text is looked up a part at a time."""
@@ -278,7 +315,9 @@ def _parts(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatc
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit integers in a binary column. Null texts are empty:
-    no tokens. Ids may be null or repeat; each row is encoded by itself. Special tokens are ordinary text."""
+    no tokens. Ids may be null or repeat; each row is encoded by itself. Special tokens are ordinary text. Texts and unbroken
+    words of any length are encoded whole, in bounded memory; time grows in proportion. An empty table gives an empty one.
+    Other columns are ignored, whatever their names."""
     shared = _shared(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +331,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """encoded (doc_id, n_tokens, ids) with its decoded bytes. Null ids decode to no bytes."""
+    """encoded (doc_id, n_tokens, ids) with its decoded bytes. Null ids decode to no bytes; lists of any length are decoded a
+    part at a time. An empty table gives an empty one; other columns are ignored, whatever their names."""
     shared = _shared(encoded, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +346,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes each text and decodes its ids, in one pass and one Python worker a task: (doc_id, ids, n_tokens, decoded)."""
+    """Encodes each text and decodes its ids, in one pass and one Python worker a task: (doc_id, ids, n_tokens, decoded). Odd
+    rows and tables as for encode."""
     shared = _shared(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
