@@ -95,41 +95,36 @@ def written_out(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.when(x < 0, "-" * 8).otherwise(F.lpad(F.lower(F.hex(x)), 8, "0"))), "")
 
 
-def neighbours(prints: DataFrame) -> DataFrame:
-    """(id, repeated, next_id, before_id, wanted), written: the next and the previous of all different ids, ascending and in a
-    circle, whether several texts have the id, and the longest part that texts of the previous id take of this one's."""
-    ids = prints.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("repeated"), F.max("half").alias("half"))
-    ids = written(ids.withColumn("all", F.lit("")), "ids")
-    placed = written(numbered(ids, "all", "id").drop("all"), "placed")
-    after = placed.select(F.pmod(F.col("pos") - 1, F.col("total")).alias("pos"), F.col("id").alias("next_id"))
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(id, repeated, before_id, wanted), written, of rows (id, text): the previous of all different ids, ascending and in a
+    circle, whether several rows have the id, and the longest part that texts of the previous id take of this one's."""
+    ids = rows.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("repeated"), F.max((F.length("text") / 2).cast("int")).alias("half"))
+    placed = written(numbered(written(ids.withColumn("all", F.lit("")), "ids"), "all", "id").drop("all"), "placed")
     ahead = placed.select(F.pmod(F.col("pos") + 1, F.col("total")).alias("pos"), F.col("id").alias("before_id"), F.col("half").alias("wanted"))
-    return written(placed.join(after, "pos").join(ahead, "pos").select("id", "repeated", "next_id", "before_id", "wanted"), "neighbours")
+    return written(placed.join(ahead, "pos").select("id", "repeated", "before_id", "wanted"), "neighbours")
 
 
 def fingerprinted(docs: DataFrame, rare: float = RARE, common: float = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row. The edited text
     has its last floor(n_chars / 2) code points replaced by the first as many of the next document.
 
-    Null texts count as empty; texts of any length count whole. Null ids come before all others. Where an id repeats, each
-    of its rows has the next different id as its neighbour, and of that id's texts the one with the least hash is taken.
-    A lone id is its own neighbour. An empty table gives an empty one. Other columns are ignored, whatever their names.
+    Null texts count as empty; texts of any length count whole. Null ids come before all others; the least long integer
+    stands for them. Where an id repeats, each of its rows has the next different id as its neighbour, and of that id's
+    texts the one with the least hash is taken. A lone id is its own neighbour. An empty table gives an empty one. Other
+    columns are ignored, whatever their names.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    plain = plain.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("key"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held, slots = buckets(lexicon(plain, rare, common))
-    prints = plain.select("id", "key", (F.length("text") / 2).cast("int").alias("half"), fingerprint(F.col("text"), held, slots).alias("own"))
-    prints = written(prints.groupBy("id", "key").agg(F.first("half").alias("half"), F.first("own").alias("own")), "prints")
-    links = neighbours(prints)
-    taken = prints.groupBy("id").agg(F.min(F.struct("key", "own")).alias("taken")).select(F.col("id").alias("next_id"), F.col("taken.own").alias("next_own"))
-    near = prints.join(links.select("id", "next_id"), "id").join(taken, "next_id").select("id", "key", "own", likeness(F.col("own"), F.col("next_own")).alias("near_next"))
-    linked = plain.join(links.select("id", "repeated", "before_id", "wanted"), "id")
-    sent = linked.select(F.col("before_id").alias("id"), "repeated", "key", F.expr("left(text, wanted)").alias("head"))
-    heads = sent.filter("NOT repeated").select("id", "head")
+    links = neighbours(plain)
+    sent = plain.join(links, "id").select(F.col("before_id").alias("id"), "repeated", F.xxhash64("text").alias("key"), F.struct(F.expr("left(text, wanted)").alias("head"), fingerprint(F.col("text"), held, slots).alias("own")).alias("next"))
+    heads = sent.filter("NOT repeated").select("id", "next")
     if not links.filter("repeated").isEmpty():
-        heads = heads.unionByName(sent.filter("repeated").groupBy("id").agg(F.min_by("head", "key").alias("head")))
+        heads = heads.unionByName(sent.filter("repeated").groupBy("id").agg(F.min_by("next", "key").alias("next")))
     n = F.length("text")
     half = (n / 2).cast("int")
-    paired = plain.join(heads, "id").select("id", "key", "doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half)).alias("edited"))
-    changed = paired.select("id", "key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited"), held, slots).alias("changed"))
-    both = changed.join(near, ["id", "key"])
-    return both.select("doc_id", "n_chars", "edited_sha256", written_out(F.col("own")).alias("fingerprint"), written_out(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), "near_next")
+    paired = plain.join(heads, "id").select("id", n.cast("long").alias("n_chars"), fingerprint(F.col("text"), held, slots).alias("own"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.head", F.lit(1), half)).alias("edited"), F.col("next.own").alias("next_own"))
+    changed = paired.select("id", "n_chars", "own", "next_own", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited"), held, slots).alias("changed"))
+    return changed.select(
+        F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", written_out(F.col("own")).alias("fingerprint"), written_out(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    )
