@@ -13,12 +13,16 @@ LIMITS = {"rmsd": 2.5, "ipae": 10.0, "binder_rmsd": 1.0, "binder_plddt": 80.0}
 
 
 def keyed(*tables: DataFrame) -> list[str]:
-    """The key of a design: with its run where all tables have one, so that runs in one table do not mix."""
-    return (["run_id"] if all("run_id" in t.columns for t in tables) else []) + KEY
+    """The key of a design: with its run where the tables have one, so that runs in one table do not mix. Tables of which
+    only some name a run raise, as their rows cannot be told apart."""
+    named = ["run_id" in t.columns for t in tables]
+    if any(named) and not all(named):
+        raise ValueError("some of the tables have a run_id and some have none")
+    return (["run_id"] if all(named) else []) + KEY
 
 
 def assemble_metrics(records: DataFrame, *metrics: DataFrame) -> DataFrame:
-    """Design records with their metric tables, joined on the key, and on run where both have it; of rows that repeat a key the
+    """Design records with their metric tables, joined on the key, and on run where they have it; of rows that repeat a key the
     first in order counts, so that each design stays, once."""
     for m in metrics:
         keys = keyed(records, m)
@@ -75,7 +79,7 @@ def selection_counts(df: DataFrame) -> DataFrame:
 
 
 def lookup_refold(ranked: DataFrame, summaries: DataFrame, n: int, by: str = "ipae") -> DataFrame:
-    """Structure files of the n best designs: the first refold record of each, rows without one dropped. Where both tables have
+    """Structure files of the n best designs: the first refold record of each, rows without one dropped. Where the tables have
     a run_id, records are those of the design's run."""
     key = keyed(ranked, summaries)
     top = ranked.orderBy(F.asc_nulls_last(by), *key).limit(max(1, n)).select(*key)
@@ -97,7 +101,7 @@ def refold_inputs(designs: DataFrame, specs: DataFrame, mode: str = "auto") -> D
 
 
 def refold_summary(inputs: DataFrame, status: DataFrame) -> DataFrame:
-    """File names, status, alignment flag and ligand counts of each design's refold, by run where both tables have a run_id."""
+    """File names, status, alignment flag and ligand counts of each design's refold, by run where the tables have a run_id."""
     stem = F.format_string("s%03d_q%03d", *KEY)
     name = lambda end: F.concat(F.lit("refold_"), stem, F.lit(end))
     key = keyed(inputs, status)

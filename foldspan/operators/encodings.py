@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspan.schemas import ALPHABET, AMINO_ACIDS
@@ -21,9 +21,9 @@ def _letters(seq: Column, n: int) -> Column:
 
 def one_hot(seq: Column, n: int) -> Column:
     """Sparse vector of n x 20 places: upper-cased, cut or padded to n; unknown letters are all zeros."""
-    place = F.transform(_letters(seq, n), lambda c, i: F.struct(i.alias("i"), F.when(c != "", F.instr(F.lit(ALPHABET), c)).otherwise(0).alias("k")))
-    kept = F.transform(F.filter(place, lambda x: x["k"] > 0), lambda x: (x["i"] * len(ALPHABET) + x["k"] - 1).cast("int"))
-    return F.struct(F.lit(n * len(ALPHABET)).alias("size"), kept.alias("indices"), F.transform(kept, lambda _: F.lit(1.0).cast("float")).alias("values"))
+    place = F.transform(_letters(seq, n), lambda c, i: F.when((c != "") & F.contains(F.lit(ALPHABET), c), i * len(ALPHABET) + F.instr(F.lit(ALPHABET), c) - 1).cast("int"))
+    kept = F.array_compact(place)
+    return F.struct(F.lit(n * len(ALPHABET)).alias("size"), kept.alias("indices"), F.array_repeat(F.lit(1.0).cast("float"), F.size(kept)).alias("values"))
 
 
 def scaled(seq: Column, n: int, scales: dict[str, list[float]]) -> Column:
@@ -36,6 +36,33 @@ def scaled(seq: Column, n: int, scales: dict[str, list[float]]) -> Column:
     return F.flatten(padded)
 
 
+def read_scales(spark: SparkSession, path: str) -> dict[str, list[float]]:
+    """Property scales by residue letter from a CSV with a header, the letter first: at most one row a letter of the alphabet."""
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(path).limit(len(ALPHABET) + 1).collect()
+    found = {str(r[0]).strip().upper(): [float(x) for x in r[1:]] for r in rows}
+    if len(found) != len(rows) or not set(found) <= set(ALPHABET):
+        raise ValueError(f"{path}: one row for each residue letter is expected")
+    return found
+
+
+def scaled_blocks(df: DataFrame, key: str, scales: dict[str, list[float]], seq: str = "seq", n: int | None = None, width: int = 64) -> DataFrame:
+    """(key, block, values): a sequence's property scales, width positions to a row, zeros for unknown letters. Together the
+    blocks are scaled()'s vector without the padding of whole blocks: a row has at most width x scales values however long
+    the longest sequence is, and short sequences have few rows. n cuts sequences; an empty one has no rows."""
+    text = F.upper(F.col(seq)) if n is None else F.left(F.upper(F.col(seq)), F.lit(n))
+    parts = df.select(key, text.alias("_s")).filter(F.length("_s") > 0)
+    cut = parts.select(key, "_s", F.explode(F.sequence(F.lit(0), ((F.length("_s") - 1) / width).cast("int"))).alias("block"))
+    return cut.select(key, "block", scaled(F.substring("_s", F.col("block") * width + 1, F.lit(width)), width, scales).alias("values"))
+
+
+def block_matrix(df: DataFrame, key: str, scales: dict[str, list[float]], base: str | None = None, seq: str = "seq", width: int = 64) -> DataFrame:
+    """(key, side, block, values): dense features of mutants, or of base and mutant, in blocks of positions. A side's blocks
+    stand for its own positions, so neither is padded to the other."""
+    sides = [("mutant", seq)] if base is None else [("base", base), ("mutant", seq)]
+    parts = [scaled_blocks(df, key, scales, c, width=width).select(key, F.lit(name).alias("side"), "block", "values") for name, c in sides]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def encode(df: DataFrame, name: str, seq: str = "seq", n: int | None = None, scales: dict | None = None) -> DataFrame:
     """df with its sequences encoded by name; an unknown name raises."""
     known = {"one_hot": lambda c, m: one_hot(c, m), "georgiev": lambda c, m: scaled(c, m, scales or {})}

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspan.operators.ranks import placed
 from foldspan.schemas import require_columns
+from foldspan.sources.scratch import stored
 
 _LEFT_OUT = re.compile(r"(?i)unnamed.*|_c\d+|struct_name.*|enzyme|ord")
 
@@ -38,10 +40,22 @@ def melt_metrics(df: DataFrame, metrics: list[str]) -> DataFrame:
     return df.select("struct_name", "ord", F.inline(pairs))
 
 
-def metric_quantiles(long: DataFrame) -> DataFrame:
-    """(metric, q33, q67): exact, by linear interpolation, nulls left out."""
-    q = long.groupBy("metric").agg(F.percentile("value", [0.33, 0.67]).alias("q"))
-    return q.select("metric", F.col("q")[0].alias("q33"), F.col("q")[1].alias("q67"))
+def metric_quantiles(long: DataFrame, low: float = 0.33, high: float = 0.67) -> DataFrame:
+    """(metric, q33, q67): exact, by linear interpolation, nulls left out; a metric without values has nulls.
+
+    Values are placed by range and counts, and the two values beside each quantile's place are picked: four rows a metric
+    meet, and no task holds a metric's values."""
+    known = stored(long.filter(F.col("value").isNotNull()).select("metric", "value"), "values")
+    ranked = placed(known, ["metric"], ["value"])
+
+    def picked(name: str, q: float) -> Column:
+        at = (F.col("total") - 1) * F.lit(q)
+        weight = F.when(F.col("pos") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("pos") == F.floor(at) + 1, at - F.floor(at))
+        return F.sum(F.when(weight > 0, F.col("value") * weight)).alias(name)
+
+    near = lambda q: (F.col("pos") - F.floor((F.col("total") - 1) * F.lit(q))).isin(0, 1)
+    found = ranked.filter(near(low) | near(high)).groupBy("metric").agg(picked("q33", low), picked("q67", high))
+    return long.select("metric").distinct().join(found, "metric", "left")
 
 
 def quantile_tag(long: DataFrame, quantiles: DataFrame) -> DataFrame:
@@ -114,12 +128,41 @@ def analyse(pocket: DataFrame, alignment: DataFrame, positions: list[int] | None
     return profile(quantile_tag(long, metric_quantiles(long)), signatures), metric_extremes(long)
 
 
+def variant_labels(long: DataFrame) -> DataFrame:
+    """(variant, base, mutations): the enzymes of long by their labels. base-MUT+MUT has a set of mutations, sorted; a label
+    without a hyphen has none and is its own base."""
+    names = long.select(enzyme_key(F.col("struct_name")).alias("variant")).distinct()
+    parts = F.filter(F.transform(F.split(F.substring_index("variant", "-", -1), "\\+"), lambda x: F.trim(x)), lambda x: x != "")
+    return names.select("variant", F.substring_index("variant", "-", 1).alias("base"), F.when(F.col("variant").contains("-"), F.array_sort(F.array_distinct(parts))).otherwise(F.array().cast("array<string>")).alias("mutations"))
+
+
+def nearest_ancestors(labels: DataFrame) -> DataFrame:
+    """(variant, ancestor): for each variant with mutations the one at hand of the same base with the most of its mutations
+    and no others; among equals the first name.
+
+    A containment join: variants and possible ancestors meet by single mutations, and an ancestor is contained if it
+    meets as often as it has mutations. The base itself, which has none, is always contained."""
+    single = lambda c: labels.filter(F.size("mutations") > 0).select(F.col("variant").alias(c), "base", F.size("mutations").alias(f"{c}_size"), F.explode("mutations").alias("mutation"))
+    met = single("variant").join(single("ancestor"), ["base", "mutation"]).filter(F.col("ancestor_size") < F.col("variant_size"))
+    inside = met.groupBy("variant", "ancestor", "ancestor_size").agg(F.count("*").alias("n")).filter("n = ancestor_size").select("variant", "ancestor", F.col("n").alias("shared"))
+    plain = labels.filter(F.size("mutations") == 0).select("base", F.col("variant").alias("ancestor"))
+    bases = labels.filter(F.size("mutations") > 0).select("variant", "base").join(plain, "base").select("variant", "ancestor", F.lit(0).cast("long").alias("shared"))
+    return inside.unionByName(bases).groupBy("variant").agg(F.min(F.struct((-F.col("shared")).alias("shared"), "ancestor")).alias("a")).select("variant", "a.ancestor")
+
+
+def pair_deltas(long: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(variant, reference, metric, delta) of asked pairs (variant, reference): the difference of the enzymes' mean values on
+    each metric that both have."""
+    means = long.groupBy(enzyme_key(F.col("struct_name")).alias("enzyme"), "metric").agg(F.avg("value").alias("mean"))
+    first = means.select(F.col("enzyme").alias("variant"), "metric", F.col("mean").alias("m"))
+    second = means.select(F.col("enzyme").alias("reference"), "metric", F.col("mean").alias("r"))
+    return pairs.select("variant", "reference").distinct().join(first, "variant").join(second, ["reference", "metric"]).select("variant", "reference", "metric", (F.col("m") - F.col("r")).alias("delta"))
+
+
 def variant_deltas(long: DataFrame) -> DataFrame:
-    """(variant, base, metric, delta): variants named base-MUT+MUT against their base, on the metrics of both."""
-    keyed = long.withColumn("enzyme", enzyme_key(F.col("struct_name")))
-    variants = keyed.filter(F.col("enzyme").contains("-")).withColumn("base", F.split_part("enzyme", F.lit("-"), F.lit(1)))
-    base = keyed.groupBy("enzyme", "metric").agg(F.avg("value").alias("base_value")).withColumnRenamed("enzyme", "base")
-    return variants.join(base, ["base", "metric"]).select(F.col("enzyme").alias("variant"), "base", "metric", (F.col("value") - F.col("base_value")).alias("delta"))
+    """(variant, base, metric, delta): each variant against its nearest ancestor at hand."""
+    pairs = nearest_ancestors(variant_labels(long)).withColumnRenamed("ancestor", "reference")
+    return pair_deltas(long, pairs).withColumnRenamed("reference", "base")
 
 
 def pocket_assays(long: DataFrame, assays: DataFrame) -> DataFrame:

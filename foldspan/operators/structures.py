@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspan.schemas import aa_dim
+from foldspan.sources.scratch import stored
 
 
 def list_chains(atoms: DataFrame) -> DataFrame:
@@ -24,24 +25,61 @@ def resi_sort_key(resi: Column) -> Column:
     return F.struct(value.isNull().alias("last"), value.alias("number"), F.when(found != "", F.regexp_extract(resi, "^(-?)(\\d+)(.*)$", 3)).otherwise(resi).alias("suffix"))
 
 
+def _cells(atoms: DataFrame, width: float) -> DataFrame:
+    """atoms with the cell (i, j, k) of a grid of this width that each stands in."""
+    return atoms.withColumns({n: F.floor(F.col(c) / F.lit(width)).cast("long") for n, c in zip("ijk", "xyz", strict=True)})
+
+
+def _around(atoms: DataFrame, width: float) -> DataFrame:
+    """(structure_id, i, j, k, u, v, w): the place of each atom in its own cell and the 26 about it."""
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
+    spread = _cells(atoms, width).withColumn("s", F.explode(steps))
+    return spread.select("structure_id", *((F.col(n) + F.col(f"s.{a}")).alias(n) for n, a in zip("ijk", "abc", strict=True)), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"))
+
+
+def _square() -> Column:
+    return (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 + (F.col("z") - F.col("w")) ** 2
+
+
 def residues_within(atoms: DataFrame, chain_a: str, chain_b: str, distance: float) -> DataFrame:
     """(structure_id, resn, resi) of residues of chain_a with an atom within distance of chain_b, each once, by its CA.
 
     A grid of cells as wide as the distance makes the range join an equi-join: atoms of chain_b, a ligand or binder,
     stand in their 27 neighbouring cells, and those of chain_a meet them by structure and cell.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(distance)).cast("int")
-    grid = atoms.select("structure_id", "chain", "resn", "resi", "x", "y", "z", cell("x").alias("i"), cell("y").alias("j"), cell("z").alias("k"))
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
-    near = grid.filter(F.col("chain") == chain_b).withColumn("s", F.explode(steps))
-    near = near.select("structure_id", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), (F.col("k") + F.col("s.c")).alias("k"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"))
-    mine = grid.filter(F.col("chain") == chain_a)
-    square = (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 + (F.col("z") - F.col("w")) ** 2
-    hit = mine.join(near, ["structure_id", "i", "j", "k"]).filter(square <= distance**2).select("structure_id", "resi").distinct()
+    mine = _cells(atoms.filter(F.col("chain") == chain_a), distance)
+    hit = mine.join(_around(atoms.filter(F.col("chain") == chain_b), distance), ["structure_id", "i", "j", "k"]).filter(_square() <= distance**2).select("structure_id", "resi").distinct()
     whole = atoms.filter((F.col("chain") == chain_a) & (F.col("atom_name") == "CA"))
     return whole.join(hit, ["structure_id", "resi"], "left_semi").select("structure_id", "resn", "resi").distinct()
 
 
+def min_distances(atoms: DataFrame, chain_a: str, chain_b: str, width: float = 4.0) -> DataFrame:
+    """(structure_id, resi, resn, min_dist): for each residue of chain_a the distance of its nearest atom to the nearest atom
+    of chain_b. Structures without chain_b have no rows.
+
+    No radius is given, so the grid is widened. In a grid of cells as wide as w an atom meets all partners within w, and so
+    a residue's least distance is certain if it is at most w. Residues that are not certain meet the partners again in
+    cells twice as wide, until all are; their number falls from round to round. The widest cell spans a structure.
+    """
+    finite = atoms.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz")).select("structure_id", "chain", "resi", "resn", "x", "y", "z")
+    partners = stored(finite.filter(F.col("chain") == chain_b).select("structure_id", "x", "y", "z"), "partners")
+    open_ = stored(finite.filter(F.col("chain") == chain_a).join(partners.select("structure_id").distinct(), "structure_id", "left_semi"), "residues")
+    if open_.isEmpty():
+        return open_.select("structure_id", "resi", "resn", F.lit(None).cast("double").alias("min_dist"))
+    ends = open_.select("structure_id", "x", "y", "z").unionByName(partners).groupBy("structure_id").agg(*((F.max(c) - F.min(c)).alias(c) for c in "xyz"))
+    widest, done = ends.agg(F.max(F.greatest("x", "y", "z"))).first()[0] * 3**0.5, None
+    while True:
+        near = _cells(open_, width).join(_around(partners, width), ["structure_id", "i", "j", "k"]).groupBy("structure_id", "resi", "resn").agg(F.sqrt(F.min(_square())).alias("min_dist"))
+        found = stored(near if width > widest else near.filter(F.col("min_dist") <= width), "distances")
+        done = found if done is None else done.unionByName(found)
+        if width > widest:
+            return done
+        open_ = stored(open_.join(found, ["structure_id", "resi", "resn"], "left_anti"), "residues")
+        if open_.isEmpty():
+            return done
+        width *= 2
+
+
 def classify_residues(residues: DataFrame) -> DataFrame:
     """Adds one-letter code and polarity group; unknown residues go. The dimension has twenty rows."""
     dim = aa_dim(residues.sparkSession).select(F.col("resn").alias("__resn"), "aa", "polarity")
@@ -100,15 +138,37 @@ def superpose(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def rmsd(atoms: DataFrame, pairs: DataFrame, design_chain: str) -> DataFrame:
     """(pair_id, rmsd, binder_rmsd): over all matched CA atoms, and over the design chain with its own fit. Where the
-    complex cannot be matched, its value is the binder's; unavailable is null."""
+    complex cannot be matched, its value is the binder's; unavailable is null.
+
+    The least sum of squares after a fit is what the coordinates' own spreads leave when the singular values of their
+    covariance are taken off twice, the smallest with the sign that excludes a reflection. So one join of the atoms and one
+    aggregate, combined before its shuffle, give both values; no atom is moved.
+    """
     points = matched(atoms, pairs)
+    sums = []
+    for name, counts in (("whole", F.lit(True)), ("binder", F.col("chain") == design_chain)):
+        some = lambda c, counts=counts: F.when(counts, c)
+        sums += [F.count(some(F.lit(1))).alias(f"{name}_n"), *(F.avg(some(F.col(f"{s}{c}"))).alias(f"{name}_{s}{c}") for s in "tr" for c in "xyz")]
+        sums += [F.avg(some(F.col(f"t{a}") * F.col(f"r{b}"))).alias(f"{name}_m{a}{b}") for a in "xyz" for b in "xyz"]
+        sums += [F.avg(some(sum((F.col(f"{s}{c}") ** 2 for c in "xyz"), F.lit(0.0)))).alias(f"{name}_q{s}") for s in "tr"]
+    one = points.groupBy("pair_id").agg(*sums)
+
+    def value(r, name: str) -> float | None:
+        if getattr(r, f"{name}_n") < 3:
+            return None
+        t, o = (np.array([getattr(r, f"{name}_{s}{c}") for c in "xyz"]) for s in "tr")
+        h = np.array([[getattr(r, f"{name}_m{a}{b}") for b in "xyz"] for a in "xyz"]) - np.outer(t, o)
+        spread = getattr(r, f"{name}_qt") - t @ t + getattr(r, f"{name}_qr") - o @ o
+        size = np.linalg.svd(h, compute_uv=False)
+        size[2] *= np.sign(np.linalg.det(h)) or 1.0
+        return float(np.sqrt(max(0.0, spread - 2 * size.sum())))
 
-    def value(p: DataFrame, name: str) -> DataFrame:
-        square = sum(((F.col(f"t{c}") - F.col(f"r{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-        placed = moved(p.join(fits(p).drop("n").filter("rotation is not null"), "pair_id"), "tx", "ty", "tz")
-        return placed.groupBy("pair_id").agg(F.sqrt(F.avg(square)).alias(name))
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = list(f.itertuples(index=False))
+            yield pd.DataFrame({"pair_id": f["pair_id"], "whole": [value(r, "whole") for r in rows], "binder_rmsd": [value(r, "binder") for r in rows]}).astype({"whole": "object", "binder_rmsd": "object"})
 
-    both = pairs.select("pair_id").join(value(points, "whole"), "pair_id", "left").join(value(points.filter(F.col("chain") == design_chain), "binder_rmsd"), "pair_id", "left")
+    both = pairs.select("pair_id").join(one.mapInPandas(solve, "pair_id string, whole double, binder_rmsd double"), "pair_id", "left")
     return both.select("pair_id", F.coalesce("whole", "binder_rmsd").alias("rmsd"), "binder_rmsd")
 
 

@@ -112,14 +112,20 @@ _INPUTS = """SELECT 'r' || partkey % 4 AS run_id, structure_idx, sequence_idx, C
     CASE WHEN partkey % 3 = 0 THEN ['CCO'] WHEN partkey % 4 < 3 THEN ['CO'] ELSE [] END AS smiles, CASE WHEN partkey % 4 < 3 THEN ['HEM'] ELSE [] END AS ccds FROM designs"""
 
 
+#: The designs of two runs, which share their keys and differ in all else.
+_RUNS = """(SELECT 'a' AS run_id, structure_idx, sequence_idx, partkey, rmsd, ipae, binder_rmsd, binder_plddt, score FROM designs
+    UNION ALL SELECT 'b', structure_idx, sequence_idx, partkey + 1, rmsd, ipae + 0.5, binder_rmsd, binder_plddt - 1, score + 1 FROM designs WHERE partkey % 7 <> 0) runs"""
+_RUN_REFOLD = f"SELECT run_id, structure_idx, sequence_idx, CASE WHEN partkey % 3 = 0 THEN '' ELSE run_id || partkey || '.pdb' END AS out_pdb, run_id || partkey || '.cif' AS out_cif FROM {_RUNS} WHERE partkey % 5 <> 0"
+
+
 def _refold_summary(s, d):
-    status = view(s, d, "SELECT structure_idx, sequence_idx, 'done' AS status, TRUE AS aligned FROM designs WHERE partkey % 2 = 0")
+    status = view(s, d, "SELECT 'r' || CAST(partkey % 4 AS STRING) AS run_id, structure_idx, sequence_idx, 'done' AS status, TRUE AS aligned FROM designs WHERE partkey % 2 = 0 UNION ALL SELECT 'other', structure_idx, sequence_idx, 'wrong', TRUE FROM designs")
     return T.refold_summary(_refold_inputs(s, d), status)
 
 
 def _assembled(s, d):
-    base = view(s, d, "SELECT structure_idx, sequence_idx, partkey AS design_idx, score FROM designs")
-    return T.assemble_metrics(base, view(s, d, "SELECT structure_idx, sequence_idx, rmsd, binder_rmsd FROM designs WHERE partkey % 3 <> 0"), view(s, d, "SELECT structure_idx, sequence_idx, ipae FROM designs WHERE partkey % 4 <> 0"))
+    base = view(s, d, f"SELECT run_id, structure_idx, sequence_idx, partkey AS design_idx, score FROM {_RUNS}")
+    return T.assemble_metrics(base, view(s, d, f"SELECT run_id, structure_idx, sequence_idx, rmsd, binder_rmsd FROM {_RUNS} WHERE partkey % 3 <> 0"), view(s, d, f"SELECT run_id, structure_idx, sequence_idx, ipae FROM {_RUNS} WHERE partkey % 4 <> 0"))
 
 
 def _profile(s, d):
@@ -141,11 +147,66 @@ def _metric_names(s, d):
     return wide.limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("metric"))
 
 
+_CANDIDATES = {m: m for m in METRICS} | {"note": "'x'", "mixed": "CASE WHEN tax >= 0 THEN '1.5' ELSE 'n/a' END"}
+_DETECTED = "SELECT metric FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS metric, count(TRY_CAST({c} AS DOUBLE)) AS n FROM pocket" for n, c in _CANDIDATES.items()) + ") WHERE n > 0"
+
+
+def _nearest(s, d):
+    return S.min_distances(_atoms(s, d), "A", "B", 2.0)
+
+
+_NEAREST = f"WITH {_ATOMS_DUCK}, nearest AS (SELECT a.structure_id, a.resi, a.resn, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS min_dist FROM atoms a JOIN atoms b ON a.structure_id = b.structure_id AND a.chain = 'A' AND b.chain = 'B' GROUP BY a.structure_id, a.resi, a.resn)"
+_DIM5 = "dim(resn, polarity, kd, hw, volume) AS (VALUES " + ", ".join(f"('{v[0]}', '{v[1]}', {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[4]}::DOUBLE)" for v in AMINO_ACIDS.values()) + ")"
+_SHELLS = {
+    "mean_volume": "avg(volume)", "weighted_mean_volume": "sum(volume / greatest(min_dist, 1e-6)) / sum(1 / greatest(min_dist, 1e-6))", "volume_variance": "var_samp(volume)", "kd_mean": "avg(kd)", "hw_mean": "avg(hw)",
+    "charged_fraction": "avg((polarity IN ('p+', 'p-'))::INT)", "polar_fraction": "avg((polarity <> 'np')::INT)", "small_residue_frac": "avg((volume < 90)::INT)", "bulky_residue_frac": "avg((volume >= 124)::INT)",
+}
+#: Variants of a base by the factors of a part's key; some sets of mutations have no rows, so that ancestors differ.
+_VARIANT = "'B' || CAST(p_partkey {div} 60 AS STRING) || CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN '-' ELSE '' END || {joined}"
+_FACTORS = ("CASE WHEN p_partkey % 2 = 0 THEN 'A2C' END", "CASE WHEN p_partkey % 3 = 0 THEN 'F88L' END", "CASE WHEN p_partkey % 5 = 0 THEN 'T158A' END")
+
+
+def _variants(s, d):
+    name = _VARIANT.format(div="div", joined=f"concat_ws('+', {', '.join(_FACTORS)})")
+    return P.melt_metrics(view(s, d, f"SELECT {name} || '_x' AS struct_name, p_retailprice AS price, p_size AS size, p_partkey AS ord FROM part"), ["price", "size"])
+
+
+def _variant_deltas(s, d):
+    """Against the nearest ancestor, and for asked pairs: each variant against the last of its base by name."""
+    long = _variants(s, d)
+    labels = P.variant_labels(long)
+    last = labels.groupBy("base").agg(F.max("variant").alias("reference"))
+    asked = P.pair_deltas(long, labels.join(last, "base").filter("variant <> reference").select("variant", "reference"))
+    found = P.variant_deltas(long).withColumnRenamed("base", "reference")
+    rounded = lambda t, kind: t.select(F.lit(kind).alias("kind"), "variant", "reference", "metric", (F.round("delta", 6) + 0.0).alias("delta"))
+    return rounded(found, "ancestor").unionByName(rounded(asked, "asked"))
+
+
+_VARIANT_DELTAS = f"""WITH v AS (SELECT {_VARIANT.format(div="//", joined=f"concat_ws('+', {', '.join(_FACTORS)})")} AS variant, 'B' || (p_partkey // 60) AS base, list_filter([{', '.join(_FACTORS)}], lambda x: x IS NOT NULL) AS muts, p_retailprice, p_size FROM part),
+    means AS (SELECT variant, any_value(base) AS base, any_value(muts) AS muts, avg(p_retailprice) AS price, avg(p_size) AS size FROM v GROUP BY variant),
+    near AS (SELECT a.variant, first(b.variant ORDER BY len(b.muts) DESC, b.variant) AS reference FROM means a JOIN means b ON a.base = b.base AND len(b.muts) < len(a.muts) AND list_has_all(a.muts, b.muts) GROUP BY a.variant),
+    against AS (SELECT variant, max(variant) OVER (PARTITION BY base) AS reference FROM means),
+    pairs AS (SELECT 'ancestor' AS kind, * FROM near UNION ALL SELECT 'asked', * FROM against WHERE variant <> reference)
+    SELECT kind, p.variant, p.reference, metric, round(CASE metric WHEN 'price' THEN a.price - b.price ELSE a.size - b.size END, 6) + 0.0 AS delta
+    FROM pairs p JOIN means a ON a.variant = p.variant JOIN means b ON b.variant = p.reference CROSS JOIN (VALUES ('price'), ('size')) m(metric)"""
+
+
+def _digest(blocks):
+    """Of each block the number of its values and their sum weighted by place."""
+    weighted = F.aggregate(F.transform("values", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return blocks.withColumn("n", F.size("values")).withColumn("weighted", F.round(weighted, 3)).drop("values")
+
+
+def _blocks_sql(seq: str, columns: str) -> str:
+    """Blocks of 64 positions of the letters of seq in DuckDB."""
+    return f"SELECT {columns}, CAST((i - 1) // 64 AS INT) AS block, 320 AS n, round(coalesce(sum(list_sum(list_transform(v, lambda x, j: x::DOUBLE * ((i - 1) % 64 * 5 + j)))), 0), 3) AS weighted FROM (SELECT *, unnest(range(1, length({seq}) + 1)) AS i FROM seqs) LEFT JOIN scale ON aa = {seq}[i] GROUP BY ALL"
+
+
 _SCALE_SQL = "scale(aa, v) AS (VALUES " + ", ".join(f"('{a}', [{', '.join(f'{x}::FLOAT' for x in v)}])" for a, v in SCALES.items()) + ")"
 
 QUERIES = {
     "P1_require_columns": (lambda s, d: P.melt_metrics(P.row_order(view(s, d, "pocket"), "struct_name"), ["quantity"]).select("struct_name", F.round("value", 6).alias("value")), "SELECT struct_name, round(quantity, 6) AS value FROM pocket"),
-    "P2_detect_metrics": (_metric_names, "SELECT unnest(['quantity', 'price', 'discount', 'tax', 'size', 'mixed']) AS metric"),
+    "P2_detect_metrics": (_metric_names, _DETECTED),
     "P3_melt_metrics": (lambda s, d: _long(s, d).drop("ord"), "SELECT struct_name, metric, metric_ord, value FROM pocketlong"),
     "P4_metric_quantiles": (lambda s, d: P.metric_quantiles(_long(s, d)).select("metric", F.round("q33", 6).alias("q33"), F.round("q67", 6).alias("q67")), f"WITH {_Q} SELECT metric, round(q33, 6) AS q33, round(q67, 6) AS q67 FROM q"),
     "P5_quantile_tag": (lambda s, d: _tagged(s, d).select("struct_name", "metric", "tag"), f"{_TAG} SELECT struct_name, metric, tag FROM tagged"),
@@ -174,7 +235,7 @@ QUERIES = {
         _ipae,
         "SELECT vec_id, CASE WHEN l > 0 AND l < 6 THEN round((sum(v) FILTER (i < l AND j >= l) + sum(v) FILTER (i >= l AND j < l)) / (l * (6 - l)) / 2, 9) END AS ipae FROM (SELECT vec_id, vec_id % 8 AS l, k // 6 AS i, k % 6 AS j, abs(embedding[k + 1]::DOUBLE) AS v FROM (SELECT *, unnest(range(36)) AS k FROM embeddings)) GROUP BY vec_id, l",
     ),
-    "T9_assemble_metrics": (_assembled, "SELECT structure_idx, sequence_idx, partkey AS design_idx, score, CASE WHEN partkey % 3 <> 0 THEN rmsd END AS rmsd, CASE WHEN partkey % 3 <> 0 THEN binder_rmsd END AS binder_rmsd, CASE WHEN partkey % 4 <> 0 THEN ipae END AS ipae FROM designs"),
+    "T9_assemble_metrics": (_assembled, f"SELECT run_id, structure_idx, sequence_idx, partkey AS design_idx, score, CASE WHEN partkey % 3 <> 0 THEN rmsd END AS rmsd, CASE WHEN partkey % 3 <> 0 THEN binder_rmsd END AS binder_rmsd, CASE WHEN partkey % 4 <> 0 THEN ipae END AS ipae FROM {_RUNS}"),
     "T10_number_designs": (
         lambda s, d: T.number_designs(view(s, d, "SELECT partkey div 50 AS run, structure_idx, sequence_idx FROM designs"), ["run"]),
         "SELECT partkey // 50 AS run, structure_idx, sequence_idx, CAST(row_number() OVER (PARTITION BY partkey // 50 ORDER BY structure_idx, sequence_idx) - 1 AS INT) AS design_idx FROM designs",
@@ -187,22 +248,23 @@ QUERIES = {
     "T13_filter_designs": (lambda s, d: T.filter_designs(view(s, d, "designs")).select(*_COLS), f"SELECT {', '.join(_COLS)} FROM designs WHERE {_PASS}"),
     "T14_select_best_per_structure": (lambda s, d: T.select_best_per_structure(T.filter_designs(view(s, d, "designs").select(*_COLS), _LIM)), f"SELECT structure_idx, {_FIRST} FROM designs d WHERE {_PASS2} GROUP BY structure_idx"),
     "T15_rank_designs": (lambda s, d: T.rank_designs(view(s, d, "designs").select(*_COLS)), f"SELECT {', '.join(_COLS)} FROM designs"),
-    "T16_selection_counts": (lambda s, d: T.selection_counts(T.filter_designs(view(s, d, "designs"), _LIM)), f"SELECT count(*) AS designs, count(DISTINCT structure_idx) AS structures FROM designs WHERE {_PASS2}"),
+    "T16_selection_counts": (lambda s, d: T.selection_counts(T.filter_designs(view(s, d, f"SELECT * FROM {_RUNS}"), _LIM)), f"SELECT run_id, count(*) AS designs, count(DISTINCT structure_idx) AS structures FROM {_RUNS} WHERE {_PASS2} GROUP BY run_id"),
     "T17_lookup_refold": (
-        lambda s, d: T.lookup_refold(view(s, d, "designs"), view(s, d, _REFOLD), 50),
-        f"WITH top AS (SELECT structure_idx, sequence_idx FROM designs ORDER BY ipae NULLS LAST, structure_idx, sequence_idx LIMIT 50), ref AS ({_REFOLD}) SELECT structure_idx, sequence_idx, CASE WHEN out_pdb <> '' THEN out_pdb ELSE replace(out_cif, '.cif', '.pdb') END AS path FROM top JOIN ref USING (structure_idx, sequence_idx)",
+        lambda s, d: T.lookup_refold(view(s, d, f"SELECT * FROM {_RUNS}"), view(s, d, _RUN_REFOLD), 50),
+        f"WITH top AS (SELECT run_id, structure_idx, sequence_idx FROM {_RUNS} ORDER BY ipae NULLS LAST, run_id, structure_idx, sequence_idx LIMIT 50), ref AS ({_RUN_REFOLD}) SELECT run_id, structure_idx, sequence_idx, CASE WHEN out_pdb <> '' THEN out_pdb ELSE replace(out_cif, '.cif', '.pdb') END AS path FROM top JOIN ref USING (run_id, structure_idx, sequence_idx)",
     ),
     "T18_refold_inputs": (_refold_inputs, _INPUTS),
     "T19_refold_summary": (
         _refold_summary,
-        f"WITH inp AS ({_INPUTS}) SELECT i.structure_idx, i.sequence_idx, 'refold_' || stem || '.cif' AS out_cif, 'refold_' || stem || '.pdb' AS out_pdb, 'refold_' || stem || '.json' AS out_json, CASE WHEN partkey % 2 = 0 THEN 'done' ELSE '' END AS status, partkey % 2 = 0 AS aligned_to_generated, CAST(len(smiles) AS INT) AS ligand_smiles_count, CAST(len(ccds) AS INT) AS ligand_ccd_count FROM (SELECT *, printf('s%03d_q%03d', structure_idx, sequence_idx) AS stem FROM inp) i JOIN designs d ON d.structure_idx = i.structure_idx AND d.sequence_idx = i.sequence_idx",
+        f"WITH inp AS ({_INPUTS}) SELECT i.run_id, i.structure_idx, i.sequence_idx, 'refold_' || stem || '.cif' AS out_cif, 'refold_' || stem || '.pdb' AS out_pdb, 'refold_' || stem || '.json' AS out_json, CASE WHEN partkey % 2 = 0 THEN 'done' ELSE '' END AS status, partkey % 2 = 0 AS aligned_to_generated, CAST(len(smiles) AS INT) AS ligand_smiles_count, CAST(len(ccds) AS INT) AS ligand_ccd_count FROM (SELECT *, printf('s%03d_q%03d', structure_idx, sequence_idx) AS stem FROM inp) i JOIN designs d ON d.structure_idx = i.structure_idx AND d.sequence_idx = i.sequence_idx",
     ),
     "E1_max_length": (lambda s, d: _seqs(s, d).agg(F.max(F.length("seq")).alias("n")).select(F.lit(E.max_length(_seqs(s, d))).alias("n")), f"WITH {_SEQS} SELECT CAST(max(length(seq)) AS INT) AS n FROM seqs"),
     "E2_one_hot": (
         lambda s, d: E.encode(_seqs(s, d), "one_hot").select("doc_id", "encoding.size", "encoding.indices"),
         f"WITH {_SEQS} SELECT doc_id, CAST((SELECT max(length(seq)) FROM seqs) * 20 AS INT) AS size, {_places('seq')} AS indices FROM seqs",
     ),
-    "E3_georgiev": (
+    "E3_georgiev": (lambda s, d: _digest(E.scaled_blocks(_seqs(s, d), "doc_id", SCALES)), f"WITH {_SEQS}, {_SCALE_SQL} {_blocks_sql('seq', 'doc_id')}"),
+    "E3_georgiev_whole": (
         _georgiev_matrix,
         f"WITH {_NAMES}, {_SCALE_SQL}, m AS (SELECT max(length(seq)) AS n FROM seqs), cells AS (SELECT p_partkey, i, coalesce(v, [0::FLOAT, 0::FLOAT, 0::FLOAT, 0::FLOAT, 0::FLOAT]) AS v FROM (SELECT p_partkey, seq, unnest(range(1, n + 1)) AS i FROM seqs, m) LEFT JOIN scale ON aa = seq[i]) SELECT p_partkey, list_transform(flatten(list(v ORDER BY i)), lambda x: x::DOUBLE) AS encoding FROM cells GROUP BY p_partkey",
     ),
@@ -211,10 +273,20 @@ QUERIES = {
         lambda s, d: E.feature_matrix(_seqs(s, d), base="base").select("doc_id", "features.size", "features.indices"),
         f"WITH {_SEQS}, m AS (SELECT max(length(seq)) AS n, max(length(base)) AS b FROM seqs) SELECT doc_id, CAST((n + b) * 20 AS INT) AS size, list_concat({_places('base')}, {_places('seq', '20 * b')}) AS indices FROM seqs, m",
     ),
+    "E5_scaled_features": (
+        lambda s, d: _digest(E.block_matrix(_seqs(s, d), "doc_id", SCALES, base="base")),
+        f"WITH {_SEQS}, {_SCALE_SQL} SELECT 'mutant' AS side, * FROM ({_blocks_sql('seq', 'doc_id')}) UNION ALL SELECT 'base', * FROM ({_blocks_sql('base', 'doc_id')})",
+    ),
     "X1_conservation": (
         lambda s, d: S.conservation(view(s, d, "alignment")).select("index", F.round("entropy", 9).alias("entropy"), F.round("gap_fraction", 9).alias("gap_fraction")),
         "WITH c AS (SELECT index, res_aa AS aa, count(*) AS n FROM alignment GROUP BY ALL), t AS (SELECT index, sum(n) AS a, coalesce(sum(n) FILTER (aa <> '-'), 0) AS k FROM c GROUP BY index) SELECT index, round(abs(coalesce(sum(-(n / k) * log2(n / k)) FILTER (aa <> '-'), 0)), 9) AS entropy, round(max((a - k) / a), 9) AS gap_fraction FROM c JOIN t USING (index) GROUP BY index",
     ),
+    "X2_min_distances": (lambda s, d: _nearest(s, d).withColumn("min_dist", F.round("min_dist", 6)), f"{_NEAREST} SELECT structure_id, resi, resn, round(min_dist, 6) AS min_dist FROM nearest"),
+    "X2_pocket_descriptors": (
+        lambda s, d: S.pocket_descriptors(_nearest(s, d)).select("structure_id", "shell", "n", *(F.round(c, 6).alias(c) for c in _SHELLS)),
+        f"{_NEAREST}, {_DIM5} SELECT structure_id, CASE WHEN min_dist < 6 THEN 'proximal' ELSE 'distal' END AS shell, count(*) AS n, {', '.join(f'round({e}, 6) AS {n}' for n, e in _SHELLS.items())} FROM nearest JOIN dim USING (resn) GROUP BY ALL",
+    ),
+    "X4_variant_deltas": (_variant_deltas, _VARIANT_DELTAS),
     "X3_composition": (
         lambda s, d: E.composition(_seqs(s, d), "doc_id").select("doc_id", "residues", *(F.round(c, 9).alias(c) for c in ("kd_mean", "nonpolar", "neutral", "basic", "acidic"))),
         f"WITH {_SEQS}, {_DIM} SELECT doc_id, count(*) AS residues, round(avg(kd), 9) AS kd_mean, round(avg((polarity = 'np')::INT), 9) AS nonpolar, round(avg((polarity = 'p~')::INT), 9) AS neutral, round(avg((polarity = 'p+')::INT), 9) AS basic, round(avg((polarity = 'p-')::INT), 9) AS acidic FROM (SELECT doc_id, unnest(string_split(seq, '')) AS aa FROM seqs) JOIN dim USING (aa) GROUP BY doc_id",

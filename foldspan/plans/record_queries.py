@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foldspan.functions import text as X
@@ -19,6 +18,7 @@ from foldspan.plans.views import PROJECT, duck, view
 from foldspan.sources import files as S
 from foldspan.sources import responses as R
 from foldspan.sources import sinks as K
+from foldspan.sources.scratch import fresh, stored
 
 
 def _packed(df, shape, path="results"):
@@ -106,10 +106,13 @@ def _fulltext(s, d):
 
 
 def _fasta(s, d):
+    """FASTA files of 100 records each, written and read by record, whatever tasks their parts fall to."""
     rows = _seqs(s, d).select(F.expr("doc_id div 100").cast("string").alias("file"), "doc_id", "seq")
     record = F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" some text\n"), F.left("seq", F.lit(20)), F.lit("\n\n "), F.substr("seq", F.lit(21)), F.lit("\n>empty\n"))
     files = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("r")))), lambda x: x["r"]), "").alias("text"))
-    return S.parse_fasta(files).select("file", "seq_id", "sequence")
+    path = _folder(s)
+    files.repartition("file").write.partitionBy("file").text(path)
+    return S.read_fasta(s, path).select(F.regexp_extract("file", "file=([^/]*)/", 1).alias("file"), "seq_id", "sequence")
 
 
 def _tokens(s, d):
@@ -123,9 +126,17 @@ def _overrides(s, d):
 
 
 def _pdb_lines(s, d):
+    """Two models a structure, of which the first counts; a third of its atoms have a second location of less weight."""
     n = lambda c: F.format_string("%8.3f", c)
-    line = F.concat(F.lit("ATOM  "), F.lpad((F.col("resi").cast("int") % 99999).cast("string"), 5, " "), F.lit("  "), F.rpad("atom_name", 3, " "), F.lit(" "), "resn", F.lit(" "), "chain", F.lpad("resi", 4, " "), F.lit("    "), n("x"), n("y"), n("z"), F.lit("  1.00"), F.format_string("%6.2f", "b"), F.lit("           C"))
-    return S.parse_pdb(_atoms(s, d).select("structure_id", line.alias("value"))).select("structure_id", "chain", "resi", "resn", "atom_name", *(F.round(c, 3).alias(c) for c in "xyz"), "b")
+    line = lambda alt, x, weight: F.concat(F.lit("ATOM  "), F.lpad((F.col("resi").cast("int") % 99999).cast("string"), 5, " "), F.lit("  "), F.rpad("atom_name", 3, " "), F.lit(alt), "resn", F.lit(" "), "chain", F.lpad("resi", 4, " "), F.lit("    "), n(x), n("y"), n("z"), F.lit(weight), F.format_string("%6.2f", "b"), F.lit("           C"))
+    atoms, k = _atoms(s, d), F.col("resi").cast("long")
+    both = F.array_compact(F.array(F.when(k % 3 == 0, F.struct(F.lit(1).alias("o"), line("B", F.lit(-1.0), "  0.40").alias("t"))), F.struct(F.lit(2).alias("o"), F.when(k % 3 == 0, line("A", "x", "  0.60")).otherwise(line(" ", "x", "  1.00")).alias("t"))))
+    first = atoms.select("structure_id", k.alias("k"), F.inline(both))
+    second = atoms.select("structure_id", k.alias("k"), F.lit(1).alias("o"), line(" ", F.lit(-2.0), "  1.00").alias("t"))
+    marks = lambda text, o: atoms.select("structure_id").distinct().select("structure_id", F.lit(o).cast("long").alias("k"), F.lit(0).alias("o"), F.lit(text).alias("t"))
+    listed = lambda part, model: part.select("structure_id", F.struct(F.lit(model).alias("part"), "k", "o").alias("line"), F.col("t").alias("value"))
+    lines = listed(marks("MODEL        1", -1), 1).unionByName(listed(first, 1)).unionByName(listed(marks("ENDMDL", 1 << 60), 1)).unionByName(listed(marks("MODEL        2", -1), 2)).unionByName(listed(second, 2))
+    return S.first_models(S.parse_pdb(lines)).select("structure_id", "chain", "resi", "resn", "atom_name", *(F.round(c, 3).alias(c) for c in "xyz"), "b")
 
 
 def _cif(s, d):
@@ -159,6 +170,45 @@ _LIG = "coalesce(list('C' || k ORDER BY l_linenumber) FILTER (k % 3 = 2 AND k %
 _ONE = "max(CASE WHEN n = {n} AND k % 7 <> 0 THEN 'C' || k END) AS {s}_chain_id, max(CASE WHEN n = {n} AND k % 2 = 0 THEN 'ACDE' END) AS {s}_sequence, max(CASE WHEN n = {n} AND k % 5 = 0 THEN '/s/' || k END) AS {s}_structure_path"
 
 
+def _yaml(s, d):
+    """The same specs as YAML texts, of which every eleventh has a quote that is not closed."""
+    rows = view(s, d, "SELECT l_orderkey, l_linenumber, max(l_partkey) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber")
+    k, name = F.col("k"), F.col("k").cast("string")
+    field = lambda when, *parts: F.when(when, F.concat(F.lit("\n      "), *(x if isinstance(x, Column) else F.lit(x) for x in parts)))
+    block = F.concat_ws("", field(k % 7 != 0, 'id: " C', name, '"  # a name'), field(F.lit(True), "sequence: ", F.when(k % 2 == 0, "ACDE").otherwise("140..180")), field(k % 5 == 0, "pdb_path: /s/", name), field(F.lit(True), "group: ", (k % 10).cast("string")))
+    ligand = F.when(k % 2 == 0, F.concat(F.lit(" {smiles: C"), name, F.lit("}"))).otherwise(F.concat(F.lit("\n      ccd: 'L"), name, F.lit("'")))
+    entity = F.concat(F.lit("  - "), F.when(k % 3 == 0, "protein:").when(k % 3 == 1, "peptide:").otherwise("ligand:"), F.when(k % 3 == 2, ligand).otherwise(block))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", entity.alias("e")))), lambda x: x["e"]), "\n")
+    text = F.concat(F.lit("# spec\nentities:\n"), listed, F.when(F.col("l_orderkey") % 11 == 0, "\nnote: 'open").otherwise("\n"))
+    return rows.groupBy("l_orderkey").agg(text.alias("text")).select(F.col("l_orderkey").cast("string").alias("file"), "text")
+
+
+def _read_specs(s, d):
+    specs = S.checked_design_specs(_yaml(s, d))
+    fields = lambda kind: F.struct(F.lit(kind).alias("kind"), *(F.col(f"e.{kind}.{c}").alias(c) for c in ("id", "sequence", "pdb_path", "group", "smiles", "ccd")))
+    entity = F.coalesce(*(F.when(F.col(f"e.{kind}").isNotNull(), fields(kind)) for kind in ("protein", "peptide", "ligand")))
+    rows = specs.select("spec_id", F.col("problem").isNull().alias("readable"), F.posexplode_outer("entities").alias("place", "e"))
+    return rows.select("spec_id", "readable", "place", entity.alias("f")).select("spec_id", "readable", "place", "f.*").withColumnRenamed("group", "chain_group")
+
+
+_READ_SPECS = f"""WITH {_LINES} SELECT CAST(l_orderkey AS STRING) AS spec_id, TRUE AS readable, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS place, ['protein', 'peptide', 'ligand'][k % 3 + 1] AS kind, CASE WHEN k % 3 < 2 AND k % 7 <> 0 THEN ' C' || k END AS id,
+    CASE WHEN k % 3 < 2 THEN CASE WHEN k % 2 = 0 THEN 'ACDE' ELSE '140..180' END END AS sequence, CASE WHEN k % 3 < 2 AND k % 5 = 0 THEN '/s/' || k END AS pdb_path, CASE WHEN k % 3 < 2 THEN CAST(k % 10 AS INT) END AS chain_group, CASE WHEN k % 3 = 2 AND k % 2 = 0 THEN 'C' || k END AS smiles, CASE WHEN k % 3 = 2 AND k % 2 = 1 THEN 'L' || k END AS ccd
+    FROM lines WHERE l_orderkey % 11 <> 0 UNION ALL SELECT DISTINCT CAST(l_orderkey AS STRING), FALSE, CAST(NULL AS INT), NULL, NULL, NULL, NULL, CAST(NULL AS INT), NULL, NULL FROM lines WHERE l_orderkey % 11 = 0"""
+
+
+def _thread_files(s, d):
+    """One file a conversation, every seventh cut off; good threads and quarantined files from one scan."""
+    path = _folder(s)
+    text = F.to_json(F.struct("thread_id", "title", "updated_at", "messages"))
+    rows = _threads(s, d).select("conv_id", text.alias("t"))
+    rows = rows.select("conv_id", F.when(F.col("conv_id") % 7 == 3, F.expr("left(t, length(t) - 2)")).otherwise(F.col("t")).alias("value"))
+    rows.repartition("conv_id").write.partitionBy("conv_id").text(path)
+    checked = stored(S.checked_threads(s, path), "threads")
+    key = F.regexp_extract("file", "conv_id=([^/]*)/", 1).alias("conv")
+    good = S.good_threads(checked).select(key, "thread_id", F.size("messages").alias("n_messages"), F.lit("").alias("reason"))
+    return good.unionByName(S.quarantined(checked).select(key, F.lit("").alias("thread_id"), F.lit(0).alias("n_messages"), "reason"))
+
+
 def _flat(s, d):
     flat = D.flatten_spec(S.parse_design_specs(_specs(s, d)))
     return flat.select("spec_id", "target_chain_id", "target_sequence", "target_structure_path", "design_chain_id", "design_sequence", "design_structure_path", "design_group_id", "ligand_smiles", "ligand_ccds")
@@ -257,8 +307,7 @@ _STEPS = f"WITH {_LINES} SELECT l_orderkey AS plan_id, l_linenumber AS step_inde
 
 def _folder(s):
     """A new folder where the cluster shares files."""
-    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return fresh(s, "tables")
 
 
 def _reread(s, table, partition=None):
@@ -272,10 +321,44 @@ def _written(s, d):
     """Written and read back from the folder that the cluster shares."""
     path = _folder(s)
     K.write_tables({"hits": view(s, d, "SELECT project_id, source, id FROM hits"), "proteins": view(s, d, "SELECT project_id, source, id FROM proteins")}, path)
-    read = lambda name: K.reuse(s, f"{path}/{name}", "source string, id string, project_id long")
+    read = lambda name: K.reuse(s, f"{path}/{name}").drop("bucket")
     return read("hits").unionByName(read("proteins"))
 
 
+def _manifest(s, d):
+    """What write_tables says of two tables, from the writes themselves."""
+    tables = {"hits": view(s, d, "SELECT project_id, source, nullif(url, '') AS url FROM hits"), "proteins": view(s, d, "SELECT project_id, source, nullif(title, '') AS url FROM proteins")}
+    said = K.write_tables(tables, _folder(s), config={"max_results": 20, "sources": ["PubMed"]})
+    return said.select("table", "rows", F.col("nulls.url").alias("no_url"), F.col("nulls.source").alias("no_source"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), "config")
+
+
+_MANIFEST = "SELECT '{t}' AS \"table\", count(*) AS rows, count(*) FILTER (nullif({u}, '') IS NULL) AS no_url, 0 AS no_source, min(project_id) AS low, max(project_id) AS high, '{{\"max_results\": 20, \"sources\": [\"PubMed\"]}}' AS config FROM {t}"
+
+
+def _stages(s, d):
+    """A stage that is run, found again, and run anew as its configuration has changed."""
+    path, designs, out = _folder(s), view(s, d, "designs"), None
+    for step, most in ((1, 2.0), (2, 2.0), (3, 1.0)):
+        found, reused = K.stage(s, path, {"designs": designs}, {"rmsd": most}, lambda most=most: designs.filter(F.col("rmsd") < most).select("structure_idx", "sequence_idx"))
+        row = found.agg(F.count("*").alias("n"), F.sum("structure_idx").alias("structures")).select(F.lit(step).alias("step"), F.lit(reused).alias("reused"), "n", "structures")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_STAGE = "SELECT {k} AS step, {r} AS reused, count(*) AS n, CAST(sum(structure_idx) AS BIGINT) AS structures FROM designs WHERE rmsd < {m}"
+
+
+def _asserted(s, d):
+    """The requests that are right, and whether the table as a whole was refused."""
+    report = stored(_validated(s, d).select("request_id", "ok", "errors"), "report")
+    try:
+        D.assert_valid(report)
+        refused = False
+    except ValueError:
+        refused = True
+    return D.assert_valid(report.filter("ok")).select("request_id", F.lit(refused).alias("refused"))
+
+
 def _design_table(s, d):
     kept = T.filter_designs(view(s, d, "SELECT partkey div 50 AS run_id, structure_idx, sequence_idx, rmsd, ipae, binder_rmsd, binder_plddt, score FROM designs"), design_queries._LIM)
     return _reread(s, kept)
@@ -298,12 +381,12 @@ def _vectors(s, d):
 
 
 def _updates(s, d):
-    """Messages appended in two writes to one table, whose last times the threads take."""
+    """Messages appended in three writes to one table, one of which is tried twice; threads take their last times."""
     path = _folder(s)
     messages = view(s, d, "SELECT lower(md5(CAST(conv_id AS STRING))) AS thread_id, turn, '2024-01-' || lpad(CAST(turn + 10 AS STRING), 2, '0') AS ts FROM conversations")
-    for part in (messages.filter("turn % 2 = 0"), messages.filter("turn % 2 = 1")):
-        K.append_messages(part, path)
-    read = K.reuse(s, path)
+    for k in (0, 1, 2, 1):
+        K.append_messages(messages.filter(f"turn % 3 = {k}"), path, f"turns-{k}")
+    read = K.read_messages(s, path, "thread_id string, turn long, ts string")
     counts = read.groupBy("thread_id").agg(F.count("*").alias("n_messages"))
     return K.with_updates(_threads(s, d), read).join(counts, "thread_id").select("thread_id", "updated_at", "n_messages")
 
@@ -316,9 +399,10 @@ QUERIES = {
     "S2_read_tokens": (_tokens, "SELECT p_partkey, split_part(p_name, ' ', 1) AS token FROM part WHERE p_partkey % 4 > 1"),
     "S3_list_overrides": (_overrides, f"SELECT project_id, coalesce(xs, ['old']) AS seeds FROM projects LEFT JOIN (SELECT {PROJECT.format(k='p_partkey')} AS project_id, list(p_name ORDER BY p_partkey) AS xs FROM part WHERE p_partkey % 7 <> 4 GROUP BY 1) USING (project_id)"),
     "S4_read_table_csv": (_csv, "SELECT struct_name, round(size, 6) AS size FROM pocket"),
+    "S5_read_threads": (_thread_files, f"SELECT CAST(conv_id AS STRING) AS conv, CASE WHEN conv_id % 7 = 3 THEN '' ELSE thread_id END AS thread_id, CAST(CASE WHEN conv_id % 7 = 3 THEN 0 ELSE n END AS INT) AS n_messages, CASE WHEN conv_id % 7 = 3 THEN 'malformed JSON' ELSE '' END AS reason FROM ({_THREAD}) JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id)"),
     "S6_read_structures": (_pdb_lines, _ATOM_SQL),
     "S7_cif_to_atoms": (_cif, _ATOM_SQL),
-    "S8_read_design_specs": (lambda s, d: S.parse_design_specs(_specs(s, d)).select("spec_id", F.size("entities").alias("n")), f"WITH {_LINES} SELECT CAST(l_orderkey AS STRING) AS spec_id, CAST(count(*) AS INT) AS n FROM lines GROUP BY l_orderkey"),
+    "S8_read_design_specs": (_read_specs, _READ_SPECS),
     "S9_normalise_uniprot": (_uniprot, _P_SQL.format(s="UniProt", t="title", o="organism", m="summary", u="'https://www.uniprot.org/uniprotkb/' || id")),
     "S10_normalise_interpro": (_interpro, _P_SQL.format(s="InterPro", t="title", o="''", m="summary", u="'https://www.ebi.ac.uk/interpro/entry/interpro/' || id || '/'")),
     "S11_normalise_pdb": (_pdb, _P_SQL.format(s="PDB", t="id", o="''", m="'Protein structure entry'", u="'https://www.rcsb.org/structure/' || id")),
@@ -338,6 +422,8 @@ QUERIES = {
     ),
     "S17_xml_fulltext": (_fulltext, "SELECT 'PMC' || page_id AS pmcid, CASE WHEN page_id % 5 = 0 THEN '' ELSE url || ' tail' || page_id END AS excerpt FROM pages"),
     "K1_write_tables": (_written, "SELECT project_id, source, id FROM hits UNION ALL SELECT project_id, source, id FROM proteins"),
+    "X6_run_manifest": (_manifest, " UNION ALL ".join(_MANIFEST.format(t=t, u=u) for t, u in (("hits", "url"), ("proteins", "title")))),
+    "K8_reuse_artifact": (_stages, " UNION ALL ".join(_STAGE.format(k=k, r=r, m=m) for k, r, m in ((1, "FALSE", 2.0), (2, "TRUE", 2.0), (3, "FALSE", 1.0)))),
     "K3_pocket_outputs": (lambda s, d: _reread(s, _profile(s, d)), design_queries.QUERIES["P9_profile"][1]),
     "K4_design_tables": (_design_table, f"SELECT partkey // 50 AS run_id, structure_idx, sequence_idx, rmsd, ipae, binder_rmsd, binder_plddt, score FROM designs WHERE {design_queries._PASS2}"),
     "K5_feature_matrix_sink": (
@@ -356,7 +442,7 @@ QUERIES = {
         f"WITH {_LINES}, g AS (SELECT l_orderkey, {_LIG}, first('C' || k ORDER BY l_linenumber) FILTER (k % 3 < 2 AND k % 7 <> 0) AS target_chain_id, first('/s/' || k ORDER BY l_linenumber) FILTER (k % 3 < 2 AND k % 5 = 0) AS target_structure_path, first('ACDE' ORDER BY l_linenumber) FILTER (k % 3 < 2 AND k % 2 = 0) AS target_sequence FROM lines GROUP BY l_orderkey) SELECT CAST(l_orderkey AS STRING) AS spec_id, * EXCLUDE l_orderkey FROM g",
     ),
     "D4_validate_requests": (_validated, _VALID),
-    "D5_assert_valid": (lambda s, d: D.assert_valid(_validated(s, d).filter("ok")).select("request_id"), f"SELECT request_id FROM ({_VALID}) WHERE ok"),
+    "D5_assert_valid": (_asserted, f"WITH report AS ({_VALID}) SELECT request_id, (SELECT count(*) > 0 FROM report WHERE NOT ok) AS refused FROM report WHERE ok"),
     "D6_assign_chain_ids": (
         lambda s, d: view(s, d, "part").select("p_partkey", chain_ids((F.col("p_partkey") % 5).cast("int"), F.array(F.lit("A"), F.when(F.col("p_partkey") % 2 == 0, "Z").otherwise("C")), 0).alias("ids")),
         "SELECT p_partkey, (CASE WHEN p_partkey % 2 = 0 THEN ['B', 'C', 'D', 'E'] ELSE ['B', 'D', 'E', 'F'] END)[1:p_partkey % 5] AS ids FROM part",
@@ -386,7 +472,10 @@ QUERIES = {
         lambda s, d: C.create_threads(_threads(s, d).select("thread_id", "title"), view(s, d, "SELECT 'new' || CAST(conv_id AS STRING) AS thread_id, 'n' AS title FROM conversations WHERE turn = 0")),
         f"SELECT thread_id, 't' AS title FROM ({_THREAD}) UNION ALL SELECT 'new' || conv_id, 'n' FROM conversations WHERE turn = 0",
     ),
-    "W1_extract_json_array": (lambda s, d: _plans(s, d).select("plan_id", F.size(W.extract_json_array(F.col("text"))).alias("n")), f"WITH {_LINES} SELECT l_orderkey AS plan_id, CAST(CASE WHEN l_orderkey % 3 < 2 THEN count(*) ELSE 0 END AS INT) AS n FROM lines GROUP BY l_orderkey"),
+    "W1_extract_json_array": (
+        lambda s, d: _plans(s, d).select("plan_id", F.posexplode(W.extract_json_array(F.col("text"))).alias("place", "item")).select("plan_id", "place", *(F.get_json_object("item", f"$.{c}").alias(c) for c in ("step_index", "step_name", "rationale"))),
+        f"WITH {_LINES} SELECT l_orderkey AS plan_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) - 1 AS INT) AS place, CAST(l_linenumber AS STRING) AS step_index, ' step ' || k AS step_name, 'why' AS rationale FROM lines WHERE l_orderkey % 3 < 2",
+    ),
     "W2_plan_steps": (lambda s, d: W.plan_steps(_plans(s, d)), _STEPS),
 }
 

@@ -220,7 +220,7 @@ def test_invalid_requests_raise(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.fasta").write_text("ACD\n\n>x y\n AC \nDE\n>empty\n>z\nK\n")
-    got = files.read_fasta(spark, str(tmp_path / "a.fasta")).collect()
+    got = files.read_fasta(spark, str(tmp_path / "a.fasta")).orderBy("rec_no").collect()
     assert [(r["seq_id"], r["sequence"]) for r in got] == [("", "ACD"), ("x", "ACDE"), ("z", "K")]
     (tmp_path / "t.txt").write_text("# no\n\n CCO ethanol\nHEM\n")
     assert [r["token"] for r in files.read_tokens(spark, str(tmp_path / "t.txt")).collect()] == ["CCO", "HEM"]
@@ -240,16 +240,16 @@ def test_files(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "project_id int, x string")
-    manifest = sinks.write_tables({"t": df}, str(tmp_path / "out"), csv=True).collect()
-    assert [(r["table"], r["rows"]) for r in manifest] == [("t", 2)]
+    manifest = sinks.write_tables({"t": df}, str(tmp_path / "out"), csv=True, config={"a": 1}).collect()
+    assert [(r["table"], r["rows"], r["nulls"], r["low"], r["high"], r["config"]) for r in manifest] == [("t", 2, {"project_id": 0, "x": 0}, "1", "2", '{"a": 1}')]
     assert sinks.reuse(spark, str(tmp_path / "out/t")).count() == 2 and sinks.reuse(spark, str(tmp_path / "none")) is None
     vectors = encodings.feature_matrix(spark.createDataFrame([("AC",)], "seq string"))
     sinks.write_vectors(vectors, str(tmp_path / "v"), sparse=False)
     dense = spark.read.parquet(str(tmp_path / "v")).first()["features"]
     assert len(dense) == 40 and [k for k, x in enumerate(dense) if x] == [0, 21]
-    for k in range(2):
-        sinks.append_messages(spark.createDataFrame([(str(k), "t")], "message_id string, thread_id string"), str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    for k in (0, 1, 0):
+        sinks.append_messages(spark.createDataFrame([(str(k), "t")], "message_id string, thread_id string"), str(tmp_path / "m"), f"batch-{k}")
+    assert sorted(r["message_id"] for r in sinks.read_messages(spark, str(tmp_path / "m")).collect()) == ["0", "1"]
 
 
 def test_malformed_xml(spark):
