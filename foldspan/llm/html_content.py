@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every element and text of a page is a node that is content or not. A node's own potential is a logistic regression over
-its tag, words of the class, id and role of itself and of what it lies in, its share of linked text and its length; parent-child potentials are learnt
-joint frequencies by kind of child. Messages go from the leaves up and from the root down once each; texts whose marginal
+its tag, words of the class, id and role of itself and of what it lies in, its share of linked text and its length;
+parent-child potentials are learnt joint frequencies by kind of child. Names that say what an element has, and names of
+furniture on elements that hold most of a page and what it is about, do not count. Messages go from the leaves up and from the root down once each; texts whose marginal
 is at least one half make the main text.
 
 Potentials are fitted on labelled pages: the small ones that labelled() builds from pieces of every kind, and at most about
@@ -34,10 +35,10 @@ FAMILIES = {
     "menu": "nav navigation navbar menu menus breadcrumb breadcrumbs pagination pager toc tabs",
     "head": "header masthead topbar logo banner",
     "foot": "footer foot copyright colophon contentinfo imprint",
-    "side": "sidebar aside side rail widget widgets related recommended recommendations complementary",
-    "advert": "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promotion",
-    "notice": "cookie cookies consent notice alert popup modal newsletter subscribe subscription gdpr paywall",
-    "remark": "comment comments commentlist reply replies disqus discussion respond responses",
+    "side": "sidebar aside side rail widget widgets related recommended recommendations complementary trending",
+    "advert": "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promotion taboola outbrain adsbygoogle",
+    "notice": "cookie cookies consent cookieconsent notice alert popup modal newsletter subscribe subscription gdpr paywall",
+    "remark": "comment comments commentlist reply replies disqus discussion respond responses feedback opinions",
     "share": "share sharing social follow",
     "form": "form search login signup",
     "main": "article main content post entry story",
@@ -45,6 +46,12 @@ FAMILIES = {
 #: Families that tell of furniture.
 FURNITURE = frozenset(FAMILIES) - {"main", "head"}
 _FAMILY = {w: k for k, ws in FAMILIES.items() for w in ws.split()}
+#: These also tell as the beginning or end of a longer word, such as usercomments.
+STEMS = "comments comment sidebar cookies cookie consent gdpr newsletter advert sponsored breadcrumbs breadcrumb navbar footer paywall popup widget pagination taboola outbrain".split()
+#: With one of these a name says what its element has or allows, such as has-sidebar, and not what it is.
+_STATES = frozenset("has have with without no not is enable enabled disable disabled open opened closed allow allowed hide hidden show on off support supports".split())
+#: Tags that mark what a page is about.
+_CORE = frozenset(("article", "main", "h1"))
 #: Families of tags that say the same.
 _TAG_FAMILY = {"nav": ("menu",), "menu": ("menu",), "footer": ("foot",), "aside": ("side",), "form": ("form",)}
 TAGS = "#text a abbr article aside b blockquote body button code dd details div dl dt em fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html i iframe input label li main nav noscript ol option p pre q s section select small span strong sub summary sup table tbody td textarea tfoot th thead title tr u ul".split()
@@ -56,7 +63,7 @@ _PARAGRAPH_ENDS = frozenset("address article aside blockquote details div dl fie
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("article aside blockquote body button div fieldset figure footer form header html li main nav section td th table ul ol".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|[^<]++|<", re.S)
-_NAMED = re.compile(r"\b(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WHITE = re.compile(r"\s+")
 _ENDS = (".", "!", "?", "…", "\"", "”", "»")
@@ -116,6 +123,18 @@ class Node:
         self.tag, self.key, self.under, self.parent, self.text, self.length, self.linked, self.y = tag, key, under, parent, text, 0, 0, y
 
 
+@lru_cache(maxsize=1 << 14)
+def families(name: str) -> tuple:
+    """Families that the words of one name tell of. Where it says what its element has, furniture does not count."""
+    parts = [w.lower() for w in _PART.findall(name)]
+    found = {f for w in parts if (f := _FAMILY.get(w) or _stem(w))}
+    return tuple(sorted(found - FURNITURE if len(parts) > 1 and not _STATES.isdisjoint(parts) else found))
+
+
+def _stem(word: str) -> str | None:
+    return next((_FAMILY[w] for w in STEMS if word.startswith(w) or word.endswith(w)), None)
+
+
 @lru_cache(maxsize=4096)
 def _within(under: frozenset, key: tuple) -> frozenset:
     return under | frozenset(key)
@@ -162,7 +181,7 @@ def parse(page: str) -> list[Node]:
                 if last.tag == "#text" and last.parent == stack[-1]:
                     last.text += text
                 else:
-                    nodes.append(Node("#text", (), _within(up.under, up.key), stack[-1], text, up.y))
+                    nodes.append(Node("#text", (), frozenset(), stack[-1], text, up.y))
             continue
         name = name.lower()
         if m[1]:
@@ -186,8 +205,9 @@ def parse(page: str) -> list[Node]:
         if m[3] and not m[3].isspace():
             words = {a.lower(): b or c or d for a, b, c, d in _NAMED.findall(m[3])}
             y = int(words.pop("y")) if words.get("y", "").isdigit() else y
-            found = tuple(sorted({*found, *(_FAMILY[w] for v in words.values() for w in map(str.lower, _PART.findall(v)) if w in _FAMILY)}))
-        nodes.append(Node(name, found, _within(up.under, up.key), stack[-1], y=y))
+            if name != "body":
+                found = tuple(sorted({*found, *(f for v in words.values() for w in v.split() for f in families(w))}))
+        nodes.append(Node(name, found, frozenset(), stack[-1], y=y))
         if name not in VOID and not m[3].endswith("/"):
             opened.push(len(nodes) - 1)
     for i in range(len(nodes) - 1, 0, -1):
@@ -197,9 +217,26 @@ def parse(page: str) -> list[Node]:
         up = nodes[n.parent]
         up.length += n.length
         up.linked += n.length if n.tag == "a" else n.linked
+    _settle(nodes)
     return nodes
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Drops names of furniture from elements that hold most of the page's plain text and something that a page is about, not
+    inside other furniture: such names speak of a layout, and the form about a whole page is none. Then notes for each
+    node the families that it lies in."""
+    core, most = [False] * len(nodes), (nodes[0].length - nodes[0].linked) / 2
+    for i in range(len(nodes) - 1, 0, -1):
+        n = nodes[i]
+        if core[i] and n.length - n.linked >= most and not FURNITURE.isdisjoint(n.key):
+            n.key = tuple(f for f in n.key if f not in FURNITURE)
+        if (core[i] or n.tag in _CORE or "main" in n.key) and FURNITURE.isdisjoint(n.key):
+            core[n.parent] = True
+    for n in nodes[1:]:
+        up = nodes[n.parent]
+        n.under = _within(up.under, up.key)
+
+
 _COLUMN = {("tag", t): k for k, t in enumerate([*TAGS, "other"])}
 for _name in (*(("family", f) for f in FAMILIES), *(("under", f) for f in FAMILIES), ("length", 0), ("length", 1), ("length", 2), ("length", 3), "linked", "sentence", "bias"):
     _COLUMN[_name] = len(_COLUMN)
@@ -342,7 +379,7 @@ def trained(pages: DataFrame, html_col: str = "html") -> tuple:
             counts = tallied(p for p in found if p)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], ["what", "n"])
 
-    drawn = pages.select(F.col(html_col).cast("string").alias("html")).filter(F.rand(3) < TRAIN_PAGES / max(1, pages.count()))
+    drawn = pages.select(F.col(html_col).cast("string").alias("html")).filter(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < 1_000_000 * TRAIN_PAGES / max(1, pages.count()))
     counts = tallied(map(parse, labelled()), WEIGHT)
     for row in drawn.mapInArrow(run, "what string, n double").groupBy("what").agg(F.sum("n").alias("n")).collect():
         counts[row["what"]] += row["n"]
