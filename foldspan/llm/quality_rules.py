@@ -17,12 +17,15 @@ from foldspan.llm.common import written
 WHITE = "[\\x20\\x09-\\x0D]+"
 SOLID = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
-#: Fixed phrases of page furniture, matched in lower-cased lines.
+#: Fixed phrases of page furniture, matched between word bounds in lower-cased lines.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "accept cookies",
     "uses cookies", "enable javascript", "click here", "read more", "sign up", "log in", "subscribe to our",
     "share this", "back to top", "skip to content", "lorem ipsum",
 )
+#: A line is boilerplate if such phrases make up so many percent of its characters.
+PHRASE_PERCENT = 20
+PHRASES = "(^|[^a-z0-9])(" + "|".join(BOILERPLATE) + ")($|[^a-z0-9])"
 END_MARK = "[.!?…:;,\"'”’)][\\x20\\x09-\\x0D]*$"
 MIN_WORDS = 50
 #: A document is rejected if fewer than so many percent of its lines' characters are left.
@@ -58,7 +61,7 @@ def repeat_words(windows: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails a rule: navigation (separators between few words), punctuation (symbols, doubled
-    marks or capitals throughout, or a fragment without an end mark), boilerplate (a known phrase). Cheap conditions stand
+    marks or capitals throughout, or a fragment without an end mark), boilerplate (known phrases make up a good part). Cheap conditions stand
     before the counts that they must hold for: three capitals in a row among the letters before the share of capitals, a
     doubled mark before their number, white space twice before the number of words."""
     spaced = F.regexp_count(F.trim(line), F.lit(WHITE)) + 1
@@ -69,7 +72,8 @@ def line_fails(line: Column) -> Column:
     capitals = line.rlike("\\p{Lu}\\P{L}*\\p{Lu}\\P{L}*\\p{Lu}") & (letters >= 20) & (upper * 10 > letters * 7)
     fragment = ~F.trim(line).rlike(f"{WHITE}{SOLID}+{WHITE}") & ~line.rlike(END_MARK)
     punctuation = ((symbols >= 3) & (symbols * 4 > spaced)) | doubled | capitals | fragment
-    boilerplate = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in BOILERPLATE]))
+    phrased = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(PHRASES), F.lit(2)), F.lit(0), lambda a, p: a + F.length(p))
+    boilerplate = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in BOILERPLATE]) & (phrased(x) * 100 >= F.length(x) * PHRASE_PERCENT) & (phrased(x) > 0))
     return navigation | punctuation | boilerplate
 
 
@@ -78,7 +82,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Returns (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_failed_lines,
     line_chars, kept_chars, kept, cleaned). Null and empty texts count no words and fail the base rule. Blank lines stay
-    in the cleaned text and count nowhere. Each row is judged by itself, so ids may be null or repeat.
+    in the cleaned text and count nowhere. Each row is judged by itself, so ids may be null or repeat. Texts of any length
+    are judged whole. An empty table gives an empty one. Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words(text).alias("w"), F.split(text, "\n").alias("lines"))
@@ -128,7 +133,6 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return kept.select(*docs.columns)
 
 
-_PHRASES = "|".join(BOILERPLATE)
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
@@ -141,12 +145,13 @@ solid AS (SELECT doc_id, line, len(regexp_extract_all(trim(line), '[\\x20\\x09-\
     length(line) - length(regexp_replace(line, '[#*$%&|<>{{}}=~^@]', '', 'g')) AS symbols,
     length(line) - length(regexp_replace(line, '[|»•]', '', 'g')) AS bars,
     len(regexp_extract_all(line, '\\p{{Lu}}')) AS upper, len(regexp_extract_all(line, '\\p{{L}}')) AS letters,
-    len(regexp_extract_all(line, '[!?]{{2,}}')) AS bangs
+    len(regexp_extract_all(line, '[!?]{{2,}}')) AS bangs,
+    coalesce(list_sum(list_transform(regexp_extract_all(lower(line), '{PHRASES}', 2), lambda x: length(x))), 0) AS phrased
   FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 judged AS (SELECT doc_id, line, (bars >= 3 AND bars * 5 >= spaced) OR (symbols >= 3 AND symbols * 4 > spaced) OR bangs * 5 > spaced
     OR (letters >= 20 AND upper * 10 > letters * 7)
     OR (spaced < 3 AND NOT regexp_matches(line, '[.!?…:;,"''”’)][\\x20\\x09-\\x0D]*$'))
-    OR regexp_matches(lower(line), '{_PHRASES}') AS fails FROM solid),
+    OR (phrased > 0 AND phrased * 100 >= length(lower(line)) * {PHRASE_PERCENT}) AS fails FROM solid),
 per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (fails) AS n_failed_lines, sum(length(line)) AS line_chars,
     coalesce(sum(length(line)) FILTER (NOT fails), 0) AS kept_chars, count(*) - count(DISTINCT line) AS n_dup_lines FROM judged GROUP BY doc_id),
 base AS (SELECT w.doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,

@@ -293,6 +293,15 @@ def test_a_page_costs_in_proportion():
     assert html_content.main_text(long, model) == " ".join([SEA] * 3000)
 
 
+def test_phrases_between_word_bounds(spark):
+    prose = " ".join(["the river ran past old stone walls and small gardens"] * 6) + "."
+    lines = ["The old catalog in the hall was read more than once by those who came.", "Those who read more books than others in the long winter months knew it.", "Click here to read more about it.", "Read more.", "A blog in print, and a catalog in red ink."]
+    docs = spark.createDataFrame([(k, f"{prose}\n{x}", "w", 1) for k, x in enumerate(lines)], "doc_id long, text string, w string, lines int")
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    assert [got[k]["n_failed_lines"] for k in range(5)] == [0, 0, 1, 1, 0] and got[2]["cleaned"] == prose
+    assert quality_rules.judged(docs.limit(0)).count() == 0
+
+
 def test_licences(spark):
     texts = ["Some prose.\nReleased under the MIT License.\nMore.", "He lost his driving license in the snow of that winter.", "This work is licensed under the GNU General Public License, version 3.", "", None, "Licensed under CC BY-NC 4.0.", "x " * 5000 + "Licensed under the Apache License, Version 2.0."]
     got = {(r["doc_id"], r["line_no"]): r["family"] for r in licenses.scanned(frame(spark, texts)).collect()}
