@@ -182,9 +182,8 @@ def _found(index: _Index, hashes: np.ndarray) -> Iterator[tuple[int, float, int,
 _SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long, start long, end long"
 
 
-def _aligned_docs(docs: DataFrame, index: _Index) -> DataFrame:
-    """The best alignment of each item of index with each document (id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _aligned_docs(docs: DataFrame, shared) -> DataFrame:
+    """The best alignment of each item of a broadcast index with each document (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -223,18 +222,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     full; items without an id or words are left out. Texts of any length are searched whole. Without documents or items
     there are no rows. Other columns are ignored."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    out = docs.sparkSession.createDataFrame([], _SCHEMA)
+    out, last, context = docs.sparkSession.createDataFrame([], _SCHEMA), None, docs.sparkSession.sparkContext
     for index in _indexes(benchmark, item_col, item_text_col):
-        out = out.unionByName(_aligned_docs(slim, index).distinct())
-    return out
+        if last is not None:  # a block that is not the only one is searched and let go before the next is made
+            out = out.unionByName(written(_aligned_docs(slim, last).distinct(), "aligned"))
+            last.unpersist()
+        last = context.broadcast(index)
+    return out if last is None else out.unionByName(_aligned_docs(slim, last).distinct())
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs, with all their columns, but without rows that hold a passage of benchmark. Each row is judged by its own text,
     whether its id is null or repeated, in the pass that carries it through: nothing is joined back."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names, last = [F.col(f"`{c}`") for c in docs.columns], None
     for index in _indexes(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        if last is not None:
+            docs = written(docs, "clean")
+            last.unpersist()
+        last = shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspan.llm import bpe, conversations, decontamination, fingerprints, html_content, language_model, licenses, manifest, quality_classifier, quality_rules, sharding, toxicity
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(buckets: int, which: int) -> Column:
+    """Whether a row is kept from learning, by its id; a row without an id is not."""
+    return F.coalesce(crc_bucket("doc_id", buckets) == which, F.lit(False))
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -26,9 +31,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = crc_bucket("doc_id", 5) == 0
-    scores = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", ~held_out)
-    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    scores = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", ~held_out(5, 0))
+    return scores.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +53,8 @@ def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = language_model.scored(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) != 2)
-    return scores.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scores = language_model.scored(table(spark, sf_dir, "documents"), ~held_out(7, 2))
+    return scores.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +63,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = crc_bucket("doc_id", 3) == 1
-    scores = quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~held_out)
-    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    scores = quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~held_out(3, 1))
+    return scores.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
