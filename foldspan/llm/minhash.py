@@ -32,8 +32,9 @@ from foldspan.llm.components import connected_components
 UNIVERSE = 1 << 20
 #: With 40 bands of 6 rows, a pair of similarity 0.8 shares no band with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
-#: Sizes of the blocks of step 5: members outside the largest component, and members of the key.
-MINOR_BLOCK, MEMBER_BLOCK = 256, 1024
+#: Sizes of the blocks of step 5: members outside the largest component, and members of the key, and the shingles that a
+#: block of either holds about at most, so that very long texts make smaller blocks.
+MINOR_BLOCK, MEMBER_BLOCK, BLOCK_SHINGLES = 256, 1024, 4 << 20
 #: Pairs of one smallest member that are compared with one copy of its set.
 HEAD_ROWS = 4096
 
@@ -155,18 +156,22 @@ def block_links(minors: tuple, members: tuple, percent: int) -> list[tuple[int,
     return out
 
 
-def _finished(members: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links still open in keys that hold several components (step 5)."""
+def _finished(members: DataFrame, component: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links still open in keys that hold several components (step 5). sizes are the shingles (id, n_shingles) of each set."""
     labelled = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("total")).filter("parts > 1")
     mixed = written(mixed.select("key", F.col("top.component").alias("major"), "total", (F.col("total") - F.col("top.n")).alias("minor")), "mixed-keys")
-    rows = written(joined_hot(labelled, mixed, "key", members.count(), "total"), "mixed")
-    spread = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-    block = lambda n, size: F.pmod(F.xxhash64("id", F.lit(n)), spread(n, size)).cast("int")
-    every = lambda n, size: F.explode(F.sequence(F.lit(0), spread(n, size) - 1))
-    outer = rows.select("key", block("total", MEMBER_BLOCK).alias("p"), every("minor", MINOR_BLOCK).alias("q"), "id", "component")
-    inner = rows.filter("component <> major").select("key", every("total", MEMBER_BLOCK).alias("p"), block("minor", MINOR_BLOCK).alias("q"), "id", "component")
+    count = members.count()
+    sized = joined_hot(labelled, mixed, "key", count, "total").join(sizes, "id")
+    weights = sized.groupBy("key").agg(*(F.first(c).alias(c) for c in ("major", "total", "minor")), F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("component") != F.col("major"), F.col("n_shingles"))).alias("few"))
+    spread = lambda n, size, weight: F.ceil(F.greatest(F.col(n) / size, F.col(weight) / BLOCK_SHINGLES)).cast("int")
+    weights = written(weights.select("key", "major", "total", spread("total", MEMBER_BLOCK, "all").alias("ps"), spread("minor", MINOR_BLOCK, "few").alias("qs")), "weights")
+    rows = written(joined_hot(labelled, weights, "key", count, "total"), "mixed")
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = rows.select("key", block("ps").alias("p"), every("qs").alias("q"), "id", "component")
+    inner = rows.filter("component <> major").select("key", every("ps").alias("p"), block("qs").alias("q"), "id", "component")
 
     def parsed(table: pa.Table) -> tuple:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
@@ -195,8 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = written(_signed(slim, width, bands, rows), "signed")
     linkable = signed.filter("id is not null and n_shingles > 0")
-    classes = linkable.groupBy("set_id").agg(F.min(F.struct("id", "keys")).alias("s"), F.count("*").alias("n"))
-    classes = written(classes.select("set_id", "s.id", "s.keys", "n"), "classes")
+    classes = linkable.groupBy("set_id").agg(F.min(F.struct("id", "keys")).alias("s"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(classes.select("set_id", "s.id", "s.keys", "n", "n_shingles"), "classes")
     spread = classes.select("id", F.explode("keys").alias("key"))
     shared = written(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1"), "shared")
     members = written(joined_hot(spread, shared, "key", bands * classes.count()).select("key", "id", "head"), "members")
@@ -205,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = written(members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "star")
     links = written(_verified(star, sets, percent).distinct(), "links")
     component = connected_components(links)
-    more = written(_finished(members.select("key", "id"), component, sets, percent).distinct(), "more")
+    more = written(_finished(members.select("key", "id"), component, classes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), sets, percent).distinct(), "more")
     if not more.isEmpty():
         component = connected_components(links.unionByName(more))
     labelled = written(classes.join(component, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"), "n"), "labelled")

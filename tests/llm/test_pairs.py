@@ -61,7 +61,7 @@ def test_components_equal_brute_force(spark, width):
 
 def test_hot_keys_heads_and_blocks_change_nothing(spark, monkeypatch):
     """One class of near copies holds most rows, with bounds so small that every key is hot and every block is cut."""
-    for module, name, value in ((common, "HOT_ROWS", 2), (minhash, "HEAD_ROWS", 3), (minhash, "MINOR_BLOCK", 2), (minhash, "MEMBER_BLOCK", 3)):
+    for module, name, value in ((common, "HOT_ROWS", 2), (minhash, "HEAD_ROWS", 3), (minhash, "MINOR_BLOCK", 2), (minhash, "MEMBER_BLOCK", 3), (minhash, "BLOCK_SHINGLES", 40)):
         monkeypatch.setattr(module, name, value)
     rng = random.Random(12)
     base = prose(rng, 60)

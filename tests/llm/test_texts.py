@@ -293,6 +293,28 @@ def test_a_page_costs_in_proportion():
     assert html_content.main_text(long, model) == " ".join([SEA] * 3000)
 
 
+def test_very_long_words_stay_in_bounded_memory():
+    """Unbroken words of up to a million characters: equal to the library where it is quick enough, else made of tokens of
+    which each two neighbours are the library's, which is the same; each within two minutes and the database's 128 MB."""
+    import time
+
+    ranks = bpe.read_ranks(RANKS)
+    core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(ranks), special_tokens={})._core_bpe
+    token = {r: t for t, r in ranks}
+    codec, rng = bpe.Codec(*bpe.tables(ranks), public_tokenizers.PATTERN), random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [" " * 1_000_000, "a" * 1_000_000, "=" * 600_000, letters(100_000), "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(100_000)), "aab" * 100_000, letters(3000) * 20, "x " + "\n" * 70_000 + "y"]
+    for text in texts:
+        began = time.monotonic()
+        ids = np.frombuffer(codec.encode([text])[0], "<u4").tolist()
+        assert time.monotonic() - began < 120 and codec.decode([np.array(ids, "<u4").tobytes()]) == [text.encode()]
+        if len(text) < 100_000 or text[:3] == "x \n":
+            assert ids == [i for piece in codec.pattern.findall(text) for i in core.encode_single_piece(piece.encode())]
+        else:
+            assert all(core.encode_single_piece(token[a] + token[b]) == [a, b] for a, b in set(zip(ids, ids[1:])))
+    assert not any(len(x) > bpe.REMEMBERED_CHARS for held in (codec.chunks, codec.pieces) for x in (*held.new, *held.old))
+
+
 def test_phrases_between_word_bounds(spark):
     prose = " ".join(["the river ran past old stone walls and small gardens"] * 6) + "."
     lines = ["The old catalog in the hall was read more than once by those who came.", "Those who read more books than others in the long winter months knew it.", "Click here to read more about it.", "Read more.", "A blog in print, and a catalog in red ink."]
