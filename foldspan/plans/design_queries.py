@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import permutations
 
 from pyspark.sql import functions as F
 
@@ -58,9 +59,43 @@ def _pairs(s, d):
     return atoms.unionByName(copy), pairs
 
 
+def _fit_sql() -> str:
+    """CTEs that fit every set of matched points (pair_id, part, t*, r*) by quaternions: the greatest root of the
+    characteristic polynomial of the 4 x 4 matrix of their covariance, by Newton steps from above, and its vector from
+    cofactors. Another way than the operators' singular values."""
+    grid = [
+        ["sxx + syy + szz", "syz - szy", "szx - sxz", "sxy - syx"], ["syz - szy", "sxx - syy - szz", "sxy + syx", "szx + sxz"],
+        ["szx - sxz", "sxy + syx", "syy - sxx - szz", "syz + szy"], ["sxy - syx", "szx + sxz", "syz + szy", "szz - sxx - syy"],
+    ]
+    sign = lambda p: (-1) ** sum(p[i] > p[j] for i in range(len(p)) for j in range(i + 1, len(p)))
+    product = lambda rows, columns, at: " + ".join(f"({sign(p)}) * " + " * ".join(at(r, columns[k]) for r, k in zip(rows, p, strict=True)) for p in permutations(range(len(columns))))
+    own = lambda r, c: f"n{r}{c}"
+    less = lambda r, c: f"(n{r}{c} - lam)" if r == c else f"n{r}{c}"
+    cofactors = [f"({(-1) ** c}) * ({product((1, 2, 3), [k for k in range(4) if k != c], less)})" for c in range(4)]
+    return f"""sums AS (SELECT pair_id, part, count(*) AS n, {", ".join(f"avg({s}{c}) AS m{s}{c}" for s in "tr" for c in "xyz")}, {", ".join(f"sum(t{a} * r{b}) - count(*) * avg(t{a}) * avg(r{b}) AS s{a}{b}" for a in "xyz" for b in "xyz")},
+        {" + ".join(f"sum({s}{c} * {s}{c}) - count(*) * avg({s}{c}) * avg({s}{c})" for s in "tr" for c in "xyz")} AS spread FROM points GROUP BY pair_id, part HAVING count(*) >= 3),
+    mat AS (SELECT *, {", ".join(f"{grid[r][c]} AS n{r}{c}" for r in range(4) for c in range(4))}, -2 * ({" + ".join(f"s{a}{b} * s{a}{b}" for a in "xyz" for b in "xyz")}) AS c2,
+        -8 * (sxx * (syy * szz - syz * szy) - sxy * (syx * szz - syz * szx) + sxz * (syx * szy - syy * szx)) AS c1 FROM sums),
+    poly AS (SELECT *, {product(range(4), list(range(4)), own)} AS c0 FROM mat),
+    newton AS (SELECT pair_id, part, 0 AS k, spread / 2 AS lam, c2, c1, c0 FROM poly
+        UNION ALL SELECT pair_id, part, k + 1, lam - coalesce((((lam * lam + c2) * lam + c1) * lam + c0) / nullif((4 * lam * lam + 2 * c2) * lam + c1, 0), 0), c2, c1, c0 FROM newton WHERE k < 80),
+    root AS (SELECT poly.*, newton.lam FROM poly JOIN newton ON newton.pair_id = poly.pair_id AND newton.part = poly.part AND newton.k = 80),
+    quat AS (SELECT *, {", ".join(f"{e} AS q{k}" for k, e in enumerate(cofactors))} FROM root),
+    fit AS (SELECT pair_id, part, n, sqrt(greatest(0, spread - 2 * lam) / n) AS rmsd, {", ".join(f"m{s}{c}" for s in "tr" for c in "xyz")}, {", ".join(f"q{k} / sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3) AS q{k}" for k in range(4))} FROM quat)"""
+
+
+_TURNED = f"""WITH RECURSIVE {_ATOMS_DUCK}, ca AS (SELECT * FROM atoms WHERE atom_name = 'CA'), every AS (SELECT structure_id AS pair_id, chain, resi, x AS tx, y AS ty, z AS tz, 3 - y AS rx, x - 1 AS ry, z + b % 3 AS rz FROM ca),
+    points AS (SELECT *, 'whole' AS part FROM every UNION ALL SELECT *, 'binder' FROM every WHERE chain = 'A'), {{fit}}"""
+_TURN = (
+    ("q0 * q0 + q1 * q1 - q2 * q2 - q3 * q3", "2 * (q1 * q2 - q0 * q3)", "2 * (q1 * q3 + q0 * q2)"),
+    ("2 * (q1 * q2 + q0 * q3)", "q0 * q0 - q1 * q1 + q2 * q2 - q3 * q3", "2 * (q2 * q3 - q0 * q1)"),
+    ("2 * (q1 * q3 - q0 * q2)", "2 * (q2 * q3 + q0 * q1)", "q0 * q0 - q1 * q1 - q2 * q2 + q3 * q3"),
+)
+
+
 def _superposed(s, d):
     atoms, pairs = _pairs(s, d)
-    return S.superpose(atoms, pairs).select("pair_id", "chain", "resi", *(F.round(c, 4).alias(c) for c in "xyz"))
+    return S.superpose(atoms, pairs).select("pair_id", "chain", "resi", *((F.round(c, 3) + 0.0).alias(c) for c in "xyz"))
 
 
 def _rmsd(s, d):
@@ -228,8 +263,16 @@ QUERIES = {
     ),
     "T3_residues_within": (_near, f"{_NEAR} SELECT * FROM res"),
     "T4_classify_residues": (lambda s, d: S.classify_residues(_near(s, d)), f"{_NEAR}, {_DIM} SELECT structure_id, res.resn, resi, aa, polarity FROM res JOIN dim ON dim.resn = res.resn"),
-    "T5_superpose": (_superposed, None),
-    "T6_rmsd": (_rmsd, None),
+    "T5_superpose": (
+        _superposed,
+        f"{_TURNED.format(fit=_fit_sql())} SELECT pair_id, chain, resi, "
+        + ", ".join(f"round(CASE WHEN n IS NULL THEN t{c} ELSE mr{c} + " + " + ".join(f"({e}) * (t{d} - mt{d})" for e, d in zip(row, "xyz", strict=True)) + f" END, 3) + 0.0 AS {c}" for c, row in zip("xyz", _TURN, strict=True))
+        + " FROM every LEFT JOIN (SELECT * FROM fit WHERE part = 'whole') USING (pair_id)",
+    ),
+    "T6_rmsd": (
+        _rmsd,
+        f"{_TURNED.format(fit=_fit_sql())} SELECT pair_id, round(coalesce(w.rmsd, b.rmsd), 6) AS rmsd, round(b.rmsd, 6) AS binder_rmsd FROM (SELECT DISTINCT structure_id AS pair_id FROM ca) LEFT JOIN (SELECT * FROM fit WHERE part = 'whole') w USING (pair_id) LEFT JOIN (SELECT * FROM fit WHERE part = 'binder') b USING (pair_id)",
+    ),
     "T7_mean_plddt": (lambda s, d: S.mean_plddt(_atoms(s, d), "A").select("structure_id", F.round("plddt", 9).alias("plddt")), f"WITH {_ATOMS_DUCK} SELECT structure_id, round(avg(b), 9) AS plddt FROM atoms WHERE chain = 'A' AND atom_name = 'CA' GROUP BY structure_id"),
     "T8_ipae": (
         _ipae,
