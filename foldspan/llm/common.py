@@ -73,9 +73,10 @@ def joined_hot(rows: DataFrame, table: DataFrame, key: str, total: int, n: str =
 
 
 def sample(rows: DataFrame, most: int) -> DataFrame:
-    """rows, a written table, if there are at most `most`; else about so many, each taken by chance on its own."""
+    """rows, a written table, if there are at most `most`; else about so many, each drawn by its own hash, so that the same
+    rows are drawn however the table is cut into files."""
     count = rows.count()
-    return rows if count <= most else rows.filter(F.rand(7) < most / count)
+    return rows if count <= most else rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int(most / count * (1 << 30)))
 
 
 def agreed_labels(labels: DataFrame, label: str, learns: Column | None = None, id_col: str = "doc_id") -> DataFrame:

@@ -228,3 +228,28 @@ def deduplicated(docs: DataFrame, text_col: str = "text", **options) -> DataFram
     verdict = near_duplicates(keyed, "__row", text_col, **options)
     gone = written(verdict.filter("not kept").select(F.col("doc_id").alias("__row")), "gone")
     return keyed.join(broadcast_if_small(gone), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The same for two-word shingles by counting common shingles, which MinHash is spared.
+ORACLE = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words
+), classes AS (
+    SELECT s, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS (
+    SELECT id, n, unnest(s) AS shingle FROM classes
+), pairs AS (
+    SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.shingle = b.shingle AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS (
+    SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+    SELECT id, id AS other FROM classes UNION SELECT reached.id, links.b FROM reached JOIN links ON links.a = reached.other
+), least AS (
+    SELECT id, min(other) AS component_id FROM reached GROUP BY id
+)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id, coalesce(component_id, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN least USING (id)
+"""

@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspan.llm import bpe, conversations, decontamination, fingerprints, html_content, language_model, licenses, manifest, quality_classifier, quality_rules, sharding, toxicity
+from foldspan.llm import bpe, conversations, decontamination, fingerprints, html_content, language_model, licenses, manifest, minhash, quality_classifier, quality_rules, sharding, toxicity
 from foldspan.llm.common import crc_bucket
-from foldspan.llm.minhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +22,7 @@ def held_out(buckets: int, which: int) -> Column:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op11_manifest": manifest.ORACLE, "op12_conversations": conversations.ORACLE}
+    return {"op1_minhash": minhash.ORACLE, "op2_quality_rules": quality_rules.ORACLE, "op11_manifest": manifest.ORACLE, "op12_conversations": conversations.ORACLE}
