@@ -355,6 +355,9 @@ def test_gate_lets_notices_pass():
         Dieses Werk steht unter der GPL.|Lizenz: MIT|Veröffentlicht unter einer freien Lizenz.|Alle Rechte vorbehalten, 2018.|Gemeinfrei, keine Rechte vorbehalten.|Diffusé sous licence libre.|Licence publique générale GNU.|Tous droits réservés 2015|Oeuvre sous licence Creative Commons.
         Con licencia MIT.|Obra bajo licencia pública general.|Todos los derechos reservados (2012).|Licencia Apache 2.0|AGPL v3|Domaine public""".replace("\n", "|").split("|")
     found = [bool(re.search(licenses.ANCHORS, x.strip())) for x in notices]
+    hinted = [any(h in x.lower() for h in licenses._HINTS) for x in notices]
+    assert all(h or not f for h, f in zip(hinted, found, strict=True))
+    assert all(any(h in t.lower() for h in licenses._HINTS) for ts in licenses.TEMPLATES.values() for t in ts if re.search(licenses.ANCHORS, t))
     assert len(found) == 30 and sum(found) >= 27, [x for x, f in zip(notices, found, strict=True) if not f]
 
 
