@@ -195,14 +195,46 @@ def conservation(alignment: DataFrame) -> DataFrame:
     return counts.join(total, "index").groupBy("index").agg(F.sum(part).alias("entropy"), F.max((F.col("all") - F.col("known")) / F.col("all")).alias("gap_fraction"))
 
 
-def pocket_descriptors(residues: DataFrame) -> DataFrame:
-    """Descriptors of pocket residues (structure_id, resn, min_dist) by shell: volumes, hydropathy and class shares."""
+#: Atoms of a residue's backbone.
+BACKBONE = ("N", "CA", "C", "O")
+
+
+def residue_distances(atoms: DataFrame, chain_a: str, chain_b: str, width: float = 4.0) -> DataFrame:
+    """min_distances() with three more columns: the least and the mean distance of a residue's atoms to the centroid of
+    chain_b, and the mean of its backbone atoms. The centroid is one row a structure."""
+    known = atoms.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz"))
+    center = known.filter(F.col("chain") == chain_b).groupBy("structure_id").agg(*(F.avg(c).alias(n) for c, n in zip("xyz", "uvw", strict=True)))
+    far = F.sqrt(_square())
+    spread = known.filter(F.col("chain") == chain_a).join(center, "structure_id").groupBy("structure_id", "resi", "resn").agg(
+        F.min(far).alias("min_dist_to_centroid"), F.avg(far).alias("dist_to_centroid"), F.avg(F.when(F.col("atom_name").isin(*BACKBONE), far)).alias("dist_backbone_to_centroid"),
+    )
+    return min_distances(atoms, chain_a, chain_b, width).join(spread, ["structure_id", "resi", "resn"])
+
+
+def pocket_descriptors(residues: DataFrame, near: float = 6.0) -> DataFrame:
+    """Descriptors of pocket residues (structure_id, resn, min_dist) by shell, nearer than near or not: volumes, hydropathy,
+    polarity and class shares, each plain and weighted by nearness; where residues have distances to the centroid, their
+    means too. Unknown residues do not count."""
     dim = F.broadcast(aa_dim(residues.sparkSession))
-    shell = F.when(F.col("min_dist") < 6, "proximal").otherwise("distal")
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    shell = F.when(F.col("min_dist") < near, "proximal").otherwise("distal")
     weight = 1 / F.greatest(F.col("min_dist"), F.lit(1e-6))
+    weighted = lambda c: F.sum(c * weight) / F.sum(weight)
+    part = lambda c: F.when(c, 1.0).otherwise(0.0)
+    small, bulky = part(F.col("volume") < 90), part(F.col("volume") >= 124)
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("min_dist_to_centroid", "dist_to_centroid", "dist_backbone_to_centroid") if c in residues.columns]
     return residues.join(dim, "resn").groupBy("structure_id", shell.alias("shell")).agg(
-        F.count("*").alias("n"), F.avg("volume").alias("mean_volume"), (F.sum(F.col("volume") * weight) / F.sum(weight)).alias("weighted_mean_volume"), F.var_samp("volume").alias("volume_variance"),
-        F.avg("kd").alias("kd_mean"), F.avg("hw").alias("hw_mean"), share(F.col("polarity").isin("p+", "p-")).alias("charged_fraction"), share(F.col("polarity") != "np").alias("polar_fraction"),
-        share(F.col("volume") < 90).alias("small_residue_frac"), share(F.col("volume") >= 124).alias("bulky_residue_frac"),
+        F.count("*").alias("n"), *means, F.avg("volume").alias("mean_volume"), weighted(F.col("volume")).alias("weighted_mean_volume"), F.var_samp("volume").alias("volume_variance"),
+        F.avg(small).alias("small_residue_frac"), weighted(small).alias("small_residue_frac_weighted"), F.avg(bulky).alias("bulky_residue_frac"), weighted(bulky).alias("bulky_residue_frac_weighted"),
+        F.avg("kd").alias("kd_mean"), weighted(F.col("kd")).alias("kd_weighted"), F.avg("hw").alias("hw_mean"), weighted(F.col("hw")).alias("hw_weighted"),
+        F.avg(part(F.col("polarity").isin("p+", "p-"))).alias("charged_fraction"), F.avg(part(F.col("polarity") != "np")).alias("polar_fraction"),
     )
+
+
+def pocket_table(descriptors: DataFrame) -> DataFrame:
+    """The wide table that pocket profiles take: one row a structure, each descriptor once for each shell as 'name (shell)',
+    and the residues of the pocket and of its near shell."""
+    names = [c for c in descriptors.columns if c not in ("structure_id", "shell", "n")]
+    at = lambda c, s: F.max(F.when(F.col("shell") == s, F.col(c)))
+    wide = [at(c, s).alias(f"{c} ({s})") for c in names for s in ("distal", "proximal")]
+    counts = (F.sum("n").alias("num_pocket_res_ali"), F.coalesce(F.sum(F.when(F.col("shell") == "proximal", F.col("n"))), F.lit(0)).alias("num_pocket_res<6"))
+    return descriptors.groupBy(F.col("structure_id").alias("struct_name")).agg(*counts, *wide)

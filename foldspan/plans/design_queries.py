@@ -192,10 +192,21 @@ def _nearest(s, d):
 
 _NEAREST = f"WITH {_ATOMS_DUCK}, nearest AS (SELECT a.structure_id, a.resi, a.resn, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS min_dist FROM atoms a JOIN atoms b ON a.structure_id = b.structure_id AND a.chain = 'A' AND b.chain = 'B' GROUP BY a.structure_id, a.resi, a.resn)"
 _DIM5 = "dim(resn, polarity, kd, hw, volume) AS (VALUES " + ", ".join(f"('{v[0]}', '{v[1]}', {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[4]}::DOUBLE)" for v in AMINO_ACIDS.values()) + ")"
+_CENTERED = f"""{_NEAREST}, center AS (SELECT structure_id, avg(x) AS u, avg(y) AS v, avg(z) AS w FROM atoms WHERE chain = 'B' GROUP BY structure_id),
+    far AS (SELECT a.structure_id, a.resi, a.resn, a.atom_name, sqrt((x - u) * (x - u) + (y - v) * (y - v) + (z - w) * (z - w)) AS d FROM atoms a JOIN center USING (structure_id) WHERE chain = 'A'),
+    spread AS (SELECT structure_id, resi, resn, min(d) AS near_c, avg(d) AS mean_c, avg(d) FILTER (atom_name IN ('N', 'CA', 'C', 'O')) AS back_c FROM far GROUP BY ALL), residues AS (SELECT *, 1 / greatest(min_dist, 1e-6) AS wt FROM nearest JOIN spread USING (structure_id, resi, resn))"""
+_WEIGHTED = "sum({e} * wt) / sum(wt)"
 _SHELLS = {
-    "mean_volume": "avg(volume)", "weighted_mean_volume": "sum(volume / greatest(min_dist, 1e-6)) / sum(1 / greatest(min_dist, 1e-6))", "volume_variance": "var_samp(volume)", "kd_mean": "avg(kd)", "hw_mean": "avg(hw)",
-    "charged_fraction": "avg((polarity IN ('p+', 'p-'))::INT)", "polar_fraction": "avg((polarity <> 'np')::INT)", "small_residue_frac": "avg((volume < 90)::INT)", "bulky_residue_frac": "avg((volume >= 124)::INT)",
+    "mean_min_dist_to_centroid": "avg(near_c)", "mean_dist_to_centroid": "avg(mean_c)", "mean_dist_backbone_to_centroid": "avg(back_c)", "mean_volume": "avg(volume)", "weighted_mean_volume": _WEIGHTED.format(e="volume"), "volume_variance": "var_samp(volume)",
+    "small_residue_frac": "avg((volume < 90)::INT)", "small_residue_frac_weighted": _WEIGHTED.format(e="(volume < 90)::INT"), "bulky_residue_frac": "avg((volume >= 124)::INT)", "bulky_residue_frac_weighted": _WEIGHTED.format(e="(volume >= 124)::INT"),
+    "kd_mean": "avg(kd)", "kd_weighted": _WEIGHTED.format(e="kd"), "hw_mean": "avg(hw)", "hw_weighted": _WEIGHTED.format(e="hw"), "charged_fraction": "avg((polarity IN ('p+', 'p-'))::INT)", "polar_fraction": "avg((polarity <> 'np')::INT)",
 }
+
+
+def _descriptors(s, d):
+    return S.pocket_descriptors(S.residue_distances(_atoms(s, d), "A", "B", 2.0))
+
+
 #: Variants of a base by the factors of a part's key; some sets of mutations have no rows, so that ancestors differ.
 _VARIANT = "'B' || CAST(p_partkey {div} 60 AS STRING) || CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN '-' ELSE '' END || {joined}"
 _FACTORS = ("CASE WHEN p_partkey % 2 = 0 THEN 'A2C' END", "CASE WHEN p_partkey % 3 = 0 THEN 'F88L' END", "CASE WHEN p_partkey % 5 = 0 THEN 'T158A' END")
@@ -326,8 +337,15 @@ QUERIES = {
     ),
     "X2_min_distances": (lambda s, d: _nearest(s, d).withColumn("min_dist", F.round("min_dist", 6)), f"{_NEAREST} SELECT structure_id, resi, resn, round(min_dist, 6) AS min_dist FROM nearest"),
     "X2_pocket_descriptors": (
-        lambda s, d: S.pocket_descriptors(_nearest(s, d)).select("structure_id", "shell", "n", *(F.round(c, 6).alias(c) for c in _SHELLS)),
-        f"{_NEAREST}, {_DIM5} SELECT structure_id, CASE WHEN min_dist < 6 THEN 'proximal' ELSE 'distal' END AS shell, count(*) AS n, {', '.join(f'round({e}, 6) AS {n}' for n, e in _SHELLS.items())} FROM nearest JOIN dim USING (resn) GROUP BY ALL",
+        lambda s, d: _descriptors(s, d).select("structure_id", "shell", "n", *((F.round(c, 6) + 0.0).alias(c) for c in _SHELLS)),
+        f"{_CENTERED}, {_DIM5} SELECT structure_id, CASE WHEN min_dist < 6 THEN 'proximal' ELSE 'distal' END AS shell, count(*) AS n, {', '.join(f'round({e}, 6) + 0.0 AS {n}' for n, e in _SHELLS.items())} FROM residues JOIN dim USING (resn) GROUP BY structure_id, shell",
+    ),
+    "X2_pocket_extremes": (
+        lambda s, d: P.metric_extremes(P.melt_metrics(P.row_order(S.pocket_table(_descriptors(s, d)), "struct_name"), ["num_pocket_res<6", "kd_weighted (distal)", "mean_dist_to_centroid (distal)"]).withColumn("value", F.round("value", 6) + 0.0)),
+        f"""{_CENTERED}, {_DIM5}, shells AS (SELECT *, CASE WHEN min_dist < 6 THEN 'proximal' ELSE 'distal' END AS shell FROM residues JOIN dim USING (resn)),
+            wide AS (SELECT structure_id, count(*) FILTER (shell = 'proximal')::DOUBLE AS a, round(sum(kd * wt) FILTER (shell = 'distal') / sum(wt) FILTER (shell = 'distal'), 6) + 0.0 AS b, round(avg(mean_c) FILTER (shell = 'distal'), 6) + 0.0 AS c FROM shells GROUP BY structure_id),
+            long AS (SELECT structure_id, 'num_pocket_res<6' AS metric, a AS value FROM wide UNION ALL SELECT structure_id, 'kd_weighted (distal)', b FROM wide UNION ALL SELECT structure_id, 'mean_dist_to_centroid (distal)', c FROM wide)
+            SELECT 'min::' || metric AS pattern, first(structure_id ORDER BY value, structure_id) AS struct_name, min(value) AS value FROM long WHERE value IS NOT NULL GROUP BY metric UNION ALL SELECT 'max::' || metric, first(structure_id ORDER BY value DESC, structure_id), max(value) FROM long WHERE value IS NOT NULL GROUP BY metric""",
     ),
     "X4_variant_deltas": (_variant_deltas, _VARIANT_DELTAS),
     "X3_composition": (
