@@ -145,8 +145,11 @@ def _cif(s, d):
     row = F.concat_ws(" ", F.lit("ATOM"), "resi", F.lit("C"), F.concat(F.lit("'"), "atom_name", F.lit("'")), "resn", "chain", "resi", F.lit("?"), n("x"), n("y"), n("z"), F.format_string("%.2f", "b"), F.lit("1"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("resi").cast("int").alias("k"), row.alias("r")))), lambda x: x["r"]), "\n")
     head = "data_x\n#\nloop_\n" + "".join(f"_atom_site.{c}\n" for c in names)
-    files = _atoms(s, d).groupBy(F.col("structure_id").alias("file")).agg(F.concat(F.lit(head), rows, F.lit("\n#\n")).alias("text"))
-    return S.cif_to_atoms(files).select("structure_id", "chain", "resi", "resn", "atom_name", *(F.round(c, 3).alias(c) for c in "xyz"), "b")
+    tail = "\n#\nloop_\n_other.id\n_other.name\n1 ATOM\n#"
+    files = _atoms(s, d).groupBy(F.col("structure_id").alias("name")).agg(F.concat(F.lit(head), rows, F.lit(tail)).alias("text"))
+    path = _folder(s)
+    files.repartition("name").write.partitionBy("name").text(path)
+    return S.read_cif(s, path).withColumn("structure_id", F.regexp_extract("structure_id", "name=([^/]*)/", 1)).select("structure_id", "chain", "resi", "resn", "atom_name", *(F.round(c, 3).alias(c) for c in "xyz"), "b")
 
 
 _ATOM_SQL = """SELECT label || '_' || (vec_id // 1000) AS structure_id, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain, CAST(vec_id AS STRING) AS resi, CASE vec_id % 4 WHEN 0 THEN 'SER' WHEN 1 THEN 'LYS' WHEN 2 THEN 'LEU' ELSE 'UNK' END AS resn,

@@ -142,21 +142,24 @@ def first_models(atoms: DataFrame) -> DataFrame:
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of the first model of each PDB file, one location each. Lines keep their place in the file, so files may be
     split over tasks."""
-    lines = in_files(spark, path, "\n").select(F.col("file").alias("structure_id"), F.struct("block", "row").alias("line"), F.rtrim("value", F.lit("\r")).alias("value"))
+    lines = structure_lines(spark, path)
     return first_models(parse_pdb(lines.filter(F.col("value").rlike("^(ATOM  |HETATM|MODEL )"))))
 
 
-def cif_to_atoms(files: DataFrame) -> DataFrame:
-    """Atom rows of the _atom_site loop of mmCIF texts (file, text); column names are matched by position. Values may be
-    quoted; '.' and '?' are missing."""
-    # the loop's text is found by plain searches; expressions look at lines only
-    begin = F.instr("text", "_atom_site.")
-    loop = F.substr("text", F.greatest(begin, F.lit(1)))
-    loop = F.substring_index(F.substring_index(loop, "\n#", 1), "\nloop_", 1)
-    lines = files.filter(begin > 0).select(F.col("file").alias("structure_id"), F.filter(F.transform(F.split(loop, "\n"), lambda x: F.trim(F.rtrim(x, F.lit("\r")))), lambda x: x != "").alias("lines"))
-    named = F.filter("lines", lambda x: x.startswith("_atom_site."))
-    names = F.transform(named, lambda x: F.substr(F.split(x, "\\s+")[0], F.lit(len("_atom_site.") + 1)))
-    rows = lines.select("structure_id", names.alias("names"), F.explode(F.filter("lines", lambda x: ~x.startswith("_atom_site."))).alias("row"))
+def cif_to_atoms(lines: DataFrame) -> DataFrame:
+    """Atom rows of the _atom_site loop of mmCIF lines (structure_id, line, value), where line orders a structure's lines.
+    Column names are matched by position; values may be quoted; '.' and '?' are missing.
+
+    Where the loop's names stand and where it ends is found from the few lines that begin with a name, a sign or a new loop;
+    atoms are read line by line, so that a file may be split over tasks and is never one row."""
+    text = F.trim(F.rtrim("value", F.lit("\r")))
+    trimmed = lines.select("structure_id", "line", text.alias("row")).filter("row <> ''")
+    named, ended = F.col("row").startswith("_atom_site."), F.col("row").startswith("#") | F.col("row").startswith("loop_") | F.col("row").startswith("data_")
+    name = F.substr(F.split("row", "\\s+")[0], F.lit(len("_atom_site.") + 1))
+    marks = trimmed.filter(named | ended).groupBy("structure_id").agg(F.array_sort(F.collect_list(F.when(named, F.struct("line", name.alias("name"))))).alias("named"), F.array_sort(F.collect_list(F.when(ended, F.col("line")))).alias("ends"))
+    marks = marks.filter(F.size("named") > 0).select("structure_id", F.transform("named", lambda x: x["name"]).alias("names"), F.element_at("named", -1)["line"].alias("last"), "ends")
+    marks = marks.select("structure_id", "names", "last", F.get(F.filter("ends", lambda e: e > F.col("last")), 0).alias("end"))
+    rows = trimmed.join(marks, "structure_id").filter((F.col("line") > F.col("last")) & (F.col("end").isNull() | (F.col("line") < F.col("end"))))
     cells = rows.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit("('(?:[^']|'(?=\\S))*'|\"[^\"]*\"|\\S+)"), F.lit(1)), lambda v: F.regexp_replace(v, "^(['\"])(.*)\\1$", "$2")))
 
     def cell(*options: str) -> Column:
@@ -170,6 +173,16 @@ def cif_to_atoms(files: DataFrame) -> DataFrame:
     )
 
 
+def structure_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(structure_id, line, value): the lines of structure files, with their place in the file."""
+    return in_files(spark, path, "\n").select(F.col("file").alias("structure_id"), F.struct("block", "row").alias("line"), F.rtrim("value", F.lit("\r")).alias("value"))
+
+
+def read_cif(spark: SparkSession, path: str) -> DataFrame:
+    """Atoms of the first model of each mmCIF file, one location each."""
+    return first_models(cif_to_atoms(structure_lines(spark, path)))
+
+
 def yaml_to_json(files: DataFrame) -> DataFrame:
     """(file, text, problem) of spec texts (file, text), YAML as JSON; JSON texts stay. A text that cannot be read has no text
     and says why in problem; the job goes on. A text of another kind than a mapping raises, as it is no spec at all."""

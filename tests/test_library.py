@@ -188,3 +188,53 @@ def test_one_matching_join_for_both_errors(spark):
     plan = structures.rmsd(atoms, pairs, "A")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Join") == 3 and plan.first()["rmsd"] is None
+
+
+def test_cif_by_lines(spark, tmp_path):
+    text = """data_x
+#
+loop_
+_entity.id
+_entity.name
+1 'ATOM of a kind'
+#
+loop_
+_atom_site.group_PDB
+_atom_site.label_atom_id
+_atom_site.label_alt_id
+_atom_site.label_comp_id
+_atom_site.label_asym_id
+_atom_site.label_seq_id
+_atom_site.Cartn_x
+_atom_site.Cartn_y
+_atom_site.Cartn_z
+_atom_site.occupancy
+_atom_site.pdbx_PDB_model_num
+ATOM CA . SER A 10 1.0 2.0 3.0 1.00 1
+ATOM "O5'" A LIG B 1 4.0 5.0 ? 0.30 1
+ATOM "O5'" B LIG B 1 5.0 5.0 6.0 0.70 1
+ATOM CA . SER A 10 9.0 9.0 9.0 1.00 2
+loop_
+_other.id
+ATOM
+"""
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/a.cif").write_text(text)
+    (tmp_path / "c/b.cif").write_text(text.replace("\n", "\r\n"))
+    (tmp_path / "c/none.cif").write_text("data_y\n#\n")
+    rows = files.read_cif(spark, str(tmp_path / "c")).collect()
+    want = [(1, "A", "10", "SER", "CA", 1.0, 3.0), (1, "B", "1", "LIG", "O5'", 5.0, 6.0)]
+    for name in ("a.cif", "b.cif"):
+        assert sorted((r["model"], r["chain"], r["resi"], r["resn"], r["atom_name"], r["x"], r["z"]) for r in rows if r["structure_id"].endswith(name)) == want
+    assert len(rows) == 4
+
+
+def test_wide_pocket_table(spark):
+    atoms = [("s", "A", "1", "GLY", "CA", 0.0, 0.0, 0.0), ("s", "A", "1", "GLY", "CB", 0.0, 2.0, 0.0), ("s", "A", "2", "TRP", "CA", 20.0, 0.0, 0.0), ("s", "B", "1", "LIG", "C", 4.0, 0.0, 0.0), ("s", "B", "1", "LIG", "N", 6.0, 0.0, 0.0)]
+    df = spark.createDataFrame(atoms, "structure_id string, chain string, resi string, resn string, atom_name string, x double, y double, z double")
+    got = {r["resi"]: r for r in structures.residue_distances(df, "A", "B").collect()}
+    assert math.isclose(got["1"]["min_dist"], 4) and math.isclose(got["1"]["min_dist_to_centroid"], 5) and math.isclose(got["1"]["dist_to_centroid"], (5 + math.sqrt(29)) / 2) and math.isclose(got["1"]["dist_backbone_to_centroid"], 5)
+    wide = structures.pocket_table(structures.pocket_descriptors(structures.residue_distances(df, "A", "B"))).first()
+    assert (wide["struct_name"], wide["num_pocket_res_ali"], wide["num_pocket_res<6"]) == ("s", 2, 1)
+    assert wide["mean_volume (proximal)"] == 48.0 and wide["mean_volume (distal)"] == 163.0 and math.isclose(wide["mean_dist_to_centroid (distal)"], 15)
+    assert pocket.detect_metrics(structures.pocket_table(structures.pocket_descriptors(structures.residue_distances(df, "A", "B"))))[:2] == ["num_pocket_res_ali", "num_pocket_res<6"]
