@@ -23,8 +23,8 @@ from foldspan.llm.ordering import numbered
 RARE, COMMON = 0.002, 0.2
 #: (classes, used): the lexicon falls into so many random classes, of which the first are subsets; each subset is dealt
 #: likewise into those of the next family. So many hashes has a fingerprint: the whole lexicon's and the subsets'.
-FAMILIES = ((8, 4), (8, 3), (4, 2))
-HASHES = 1 + 4 + 4 * 3 + 4 * 3 * 2
+FAMILIES = ((8, 8), (8, 2), (4, 2))
+HASHES = 1 + 8 + 8 * 2 + 8 * 2 * 2
 #: Bytes of the lexicon beyond which the band is refused as too wide.
 LEXICON_BYTES = 64 << 20
 _BLANK = "[\\x20\\x09-\\x0D]+"
