@@ -337,10 +337,12 @@ WITH RECURSIVE ruled AS (
         unnest(range(CASE rule WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
     FROM ruled
 ), placed AS (
-    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY grp, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), seen AS (
+    SELECT *, row_number() OVER (PARTITION BY grp, role, text ORDER BY i) AS nth FROM placed
 ), faults AS (
     SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
-        WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial FROM placed
+        WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial FROM seen
 ), convs AS (
     SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS grp FROM conversations
 ), moves AS (
