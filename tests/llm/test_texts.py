@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -361,6 +362,35 @@ def test_gate_lets_notices_pass():
     assert len(found) == 30 and sum(found) >= 27, [x for x, f in zip(notices, found, strict=True) if not f]
 
 
+def test_windows_and_overlap_equal_brute_force(spark):
+    import re as plain
+
+    rng = random.Random(12)
+    pool = ["license", "the", "public", "domain", "mill", "rights", "reserved", "GPL", "été", "x", "copyright,", "Creative", "commons"]
+    texts = ["\n".join(" ".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 7))) for _ in range(25)] + ["license", " ".join(["mill"] * 60 + ["license"] + ["mill"] * 60)]
+    got = Counter((r["row"], r["k"], tuple(r["words"])) for r in licenses.windows(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect())
+    want = Counter()
+    one, two = (plain.compile(x) for x in (licenses._ONE, licenses._TWO))
+    words = lambda line: [w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w]
+    for row, text in enumerate(texts):
+        lines = text.split("\n")
+        every = [x for k, line in enumerate(lines) for x in ([(w, k) for w in words(line)] or [(None, -1)])]
+        own = set()
+        for i, (w, k) in enumerate(every):
+            after = every[i + 1][0] if i + 1 < len(every) else None
+            if w is None or not (one.search(w) or after is not None and two.search(f"{w} {after}")):
+                continue
+            own.add(k)
+            for n in licenses.WINDOW:
+                for a in range(max(0, i - n + 1), min(i, len(every) - n) + 1):
+                    part = [x for x, _ in every[a : a + n]]
+                    if None not in part:
+                        want[row, k, tuple(part)] += 1
+        for k in own:
+            want[row, k, tuple(words(lines[k]))] += 1
+    assert got == want
+
+
 def test_licences_inside_paragraphs(spark):
     prose = " ".join(["the river ran past old stone walls and small gardens"] * 3)
     texts = [
