@@ -49,9 +49,12 @@ def metric_quantiles(long: DataFrame, low: float = 0.33, high: float = 0.67) ->
     ranked = placed(known, ["metric"], ["value"])
 
     def picked(name: str, q: float) -> Column:
+        """From the lower value a share of the way to the upper one: between equal values that is the value itself, which a sum
+        of weighted values may miss by a digit, so that all rows at the bound would lose their tag."""
         at = (F.col("total") - 1) * F.lit(q)
-        weight = F.when(F.col("pos") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("pos") == F.floor(at) + 1, at - F.floor(at))
-        return F.sum(F.when(weight > 0, F.col("value") * weight)).alias(name)
+        lower, upper = (F.max(F.when(F.col("pos") == k, F.col("value"))) for k in (F.floor(at), F.ceil(at)))
+        share = F.max(at - F.floor(at))
+        return (lower + (upper - lower) * share).alias(name)
 
     near = lambda q: (F.col("pos") - F.floor((F.col("total") - 1) * F.lit(q))).isin(0, 1)
     found = ranked.filter(near(low) | near(high)).groupBy("metric").agg(picked("q33", low), picked("q67", high))

@@ -6,8 +6,10 @@ import random
 
 import pytest
 
+from foldspan import plans
 from foldspan.operators import designs, encodings, pocket, ranks, specs, structures
 from foldspan.sources import files, sinks, spec_yaml
+from oracle import connect, same
 
 SPEC = """# a design
 entities:
@@ -135,6 +137,14 @@ def test_quantiles(spark, values):
     assert "percentile" not in plan
 
 
+def test_equal_values_at_the_bounds_keep_their_tags(spark):
+    rows = [(f"s{k}", k, f"m{n}", n, v) for n, v in enumerate([25.344331, 26.290119, 25.343757, 58.925136, 51.664701, 15.339984]) for k in range(9)]
+    long = spark.createDataFrame(rows, "struct_name string, ord int, metric string, metric_ord int, value double")
+    quantiles = pocket.metric_quantiles(long)
+    assert all(r["q33"] == r["q67"] == rows[9 * int(r["metric"][1:])][4] for r in quantiles.collect())
+    assert {r["tag"] for r in pocket.quantile_tag(long, quantiles).collect()} == {"low"}
+
+
 def test_nearest_atoms_without_a_radius(spark):
     rng = random.Random(2)
     atoms = [(s, c, str(k // 3), "SER", "CA", *(rng.gauss(0, w) for _ in range(3))) for s, w in (("near", 3.0), ("wide", 400.0)) for c in "AB" for k in range(60 if c == "A" else 5)]
