@@ -33,25 +33,27 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.llm.common import KEPT, small_batches
+from foldspan.llm.common import KEPT, forget, returned, small_batches
 
 #: Unicode white space, as the splitting pattern's \s has it.
 _WS = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Chunks at whose ends every match of the splitting pattern also ends.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: Patterns that begin so have letters with a space before them, if any, as one match.
+_LETTERS = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+|"
 #: Entries of one generation of a task's dictionaries.
-CHUNKS, PIECES = 100_000, 300_000
+CHUNKS, PIECES = 100_000, 200_000
 #: DuckDB's memory in a task; it never writes to a local disk.
 DUCKDB_MEMORY = "128MB"
 #: Bytes of words handed to one recursive query, and ids to one decoding query; a word alone may have more bytes.
-BYTES_A_QUERY, IDS_A_QUERY = 1 << 18, 1 << 19
+BYTES_A_QUERY, IDS_A_QUERY = 1 << 17, 1 << 18
 #: Words of more bytes are encoded by LONG, of which so many bytes go to a query; words of more bytes than STRETCH a stretch
 #: at a time, each of which begins OVERLAP bytes before the end of the one before.
-LONG_WORD, LONG_A_QUERY, STRETCH, OVERLAP = 64, 1 << 17, 1 << 15, 1 << 11
+LONG_WORD, LONG_A_QUERY, STRETCH, OVERLAP = 64, 1 << 16, 1 << 15, 1 << 11
 #: Chunks and pieces of more characters are not remembered.
 REMEMBERED_CHARS = 256
 #: Rows that the rounds of one query of long words may pile up.
-ROWS_A_QUERY = 2_000_000
+ROWS_A_QUERY = 500_000
 #: Chunks of a text that are looked up at a time.
 CHUNKS_AT_A_TIME = 1 << 16
 
@@ -105,7 +107,7 @@ WITH RECURSIVE step(k, id, round) AS (
 SELECT (k >> 32)::INTEGER AS w, (k & 4294967295)::INTEGER AS p, id, round < 0 AS done FROM step WHERE round < 0 OR round = {rounds} ORDER BY k
 """
 DECODE = """
-SELECT w, from_hex(string_agg(hex(token), '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w
+SELECT token FROM tokens JOIN vocabulary USING (id) ORDER BY (w::BIGINT << 32) | p
 """
 
 
@@ -151,7 +153,7 @@ class Codec:
     def __init__(self, merges: pa.Table, vocabulary: pa.Table, pattern: str):
         import duckdb
 
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.letters = regex.compile(pattern), pattern.startswith(_LETTERS)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         self._table("merges", merges)
         self.db.execute("CREATE TABLE inverted AS SELECT * FROM merges WHERE merged < greatest(l, r)")
@@ -229,15 +231,20 @@ class Codec:
                 found.update(zip((words[k] for k in some[part]), contract([raw[k] for k in some[part]]), strict=True))
         return found | {words[k]: self._stretched(x) for k, x in enumerate(raw) if len(x) > STRETCH}
 
+    def _split(self, chunk: str) -> list[str]:
+        """The pattern's matches in a chunk; a chunk of letters alone is one, which is quick to see."""
+        return [chunk] if self.letters and (chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha()) else self.pattern.findall(chunk)
+
     def _encoded(self, split: list[list[str]]) -> list[bytes]:
-        new = {c: self.pattern.findall(c) for c in self.chunks.missing(set().union(*split))}
+        split_up = self._split
+        new = {c: split_up(c) for c in self.chunks.missing(set().union(*split))}
         pieces = self.pieces.missing(set().union(*new.values()))
         known = self.pieces.new
         known.update(self._merged(pieces))
         found = self.chunks.new
         for c, x in new.items():
-            found[c] = b"".join([known[p] for p in x])
-        out = [b"".join([found[c] for c in x]) for x in split]
+            found[c] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
+        out = [b"".join(map(found.__getitem__, x)) for x in split]
         for held, keys in ((found, new), (known, pieces)):
             for key in keys:
                 if len(key) > REMEMBERED_CHARS:
@@ -260,14 +267,18 @@ class Codec:
 
     def decode(self, encoded: Iterable[bytes]) -> list[bytes]:
         """Bytes of each row of ids. Rows of many ids are decoded a part at a time."""
-        encoded, out = list(encoded), []
+        encoded = list(encoded)
         parts = [(k, x[a : a + 4 * IDS_A_QUERY]) for k, x in enumerate(encoded) for a in range(0, max(1, len(x)), 4 * IDS_A_QUERY)]
         decoded: list[list[bytes]] = [[] for _ in encoded]
         for run in _runs([len(x) // 4 for _, x in parts], IDS_A_QUERY):
-            some = parts[run]
-            out = self._query(*_places(np.array([len(x) // 4 for _, x in some])), np.frombuffer(b"".join(x for _, x in some), "<u4"), DECODE)
-            for w, x in zip(out.column("w").to_pylist(), out.column("bytes").to_pylist(), strict=True):
-                decoded[some[w][0]].append(x)
+            some, sizes = parts[run], np.array([len(x) // 4 for _, x in parts[run]])
+            found = self._query(*_places(sizes), np.frombuffer(b"".join(x for _, x in some), "<u4"), DECODE).column("token").cast(pa.large_binary()).combine_chunks()
+            # the tokens lie one after the other, so a row's bytes are a stretch of the column's
+            _, offsets, data = found.buffers() if len(found) else (None, None, None)
+            at = np.frombuffer(offsets, np.int64, len(found) + 1, 8 * found.offset)[np.append(0, np.cumsum(sizes))].tolist() if len(found) else [0] * (len(some) + 1)
+            raw = memoryview(data) if data is not None else b""
+            for (k, _), i, j in zip(some, at[:-1], at[1:], strict=True):
+                decoded[k].append(bytes(raw[i:j]))
         return [b"".join(x) for x in decoded]
 
 
@@ -292,7 +303,7 @@ def _runs(sizes: list[int], most: int) -> Iterator[slice]:
 def _codec(shared, *key: str) -> Codec:
     """One codec for a vocabulary path and pattern in a Python worker, which serves many tasks."""
     if key not in KEPT:
-        KEPT.clear()
+        forget()
         KEPT[key] = Codec(*shared.value, key[-1])
     return KEPT[key]
 
@@ -323,7 +334,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, ranks_path, pattern)
         for batch in batches:
-            for part in _parts(batch):
+            for part in returned(_parts(batch)):
                 ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -338,7 +349,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, ranks_path, pattern)
         for batch in batches:
-            for part in _parts(batch):
+            for part in returned(_parts(batch)):
                 decoded = codec.decode([x or b"" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(decoded, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
 
@@ -353,7 +364,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, ranks_path, pattern)
         for batch in batches:
-            for part in _parts(batch):
+            for part in returned(_parts(batch)):
                 ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
 

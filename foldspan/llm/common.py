@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -97,6 +99,30 @@ def crc_bucket(column: str, buckets: int) -> Column:
 KEPT: dict = {}
 
 
+def trim() -> None:
+    """Gives memory that nothing uses back to the system; otherwise a worker stays as large as it ever was, also where other
+    tasks' workers need the room."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """Drops what tasks of another kind have kept."""
+    if KEPT:
+        KEPT.clear()
+        trim()
+
+
+def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches; what handling them has left unused is given back after every eighth, and at the end."""
+    for k, batch in enumerate(batches):
+        yield batch
+        if k % 8 == 7:
+            trim()
+    trim()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches in slices of so many rows, so that what is made of them stays small."""
     for batch in batches:
@@ -106,7 +132,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings of an Arrow column, and the offsets where each begins. Nulls count as empty."""
-    KEPT.clear()
+    forget()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
