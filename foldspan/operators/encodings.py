@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspan.schemas import ALPHABET, AMINO_ACIDS
 
+#: Blocks of positions that are made at a time.
+BLOCKS_A_BATCH = 1024
 SPARSE = "struct<size: int, indices: array<int>, values: array<float>>"
 
 
@@ -48,11 +54,45 @@ def read_scales(spark: SparkSession, path: str) -> dict[str, list[float]]:
 def scaled_blocks(df: DataFrame, key: str, scales: dict[str, list[float]], seq: str = "seq", n: int | None = None, width: int = 64) -> DataFrame:
     """(key, block, values): a sequence's property scales, width positions to a row, zeros for unknown letters. Together the
     blocks are scaled()'s vector without the padding of whole blocks: a row has at most width x scales values however long
-    the longest sequence is, and short sequences have few rows. n cuts sequences; an empty one has no rows."""
+    the longest sequence is, and short sequences have few rows. n cuts sequences; an empty one has no rows. Letters are looked
+    up in arrays, a batch of blocks at a time, and each sequence is gone through once."""
     text = F.upper(F.col(seq)) if n is None else F.left(F.upper(F.col(seq)), F.lit(n))
+    size = len(next(iter(scales.values())))
+    table = np.zeros((129, size), np.float32)
+    for letter, values in scales.items():
+        table[ord(letter)] = values
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                letters = np.frombuffer(batch.column(1)[row].as_py().encode("utf-32-le"), "<u4")
+                for at in range(0, len(letters), width * BLOCKS_A_BATCH):  # a sequence of any length in parts
+                    part = letters[at : at + width * BLOCKS_A_BATCH]
+                    blocks = -(-len(part) // width)
+                    values = np.zeros((blocks * width, size), np.float32)
+                    values[: len(part)] = table[np.minimum(part, 128)]
+                    yield batch.slice(row, 1).column(0).take(pa.array(np.zeros(blocks, np.int64))), at // width, values
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, numbers, rows, held = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            flat = np.concatenate(rows).ravel()
+            offsets = np.arange(0, len(flat) + 1, width * size, dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(np.concatenate(numbers)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "block", "values"])
+
+        for k, first, values in run(batches):
+            keys.append(k), numbers.append(np.arange(first, first + len(k), dtype=np.int32)), rows.append(values)
+            held += len(k)
+            if held >= BLOCKS_A_BATCH:
+                yield out()
+                keys, numbers, rows, held = [], [], [], 0
+        if held:
+            yield out()
+
     parts = df.select(key, text.alias("_s")).filter(F.length("_s") > 0)
-    cut = parts.select(key, "_s", F.explode(F.sequence(F.lit(0), ((F.length("_s") - 1) / width).cast("int"))).alias("block"))
-    return cut.select(key, "block", scaled(F.substring("_s", F.col("block") * width + 1, F.lit(width)), width, scales).alias("values"))
+    kind = parts.schema[key].dataType.simpleString()
+    return parts.mapInArrow(packed, f"`{key}` {kind}, block int, values array<float>")
 
 
 def block_matrix(df: DataFrame, key: str, scales: dict[str, list[float]], base: str | None = None, seq: str = "seq", width: int = 64) -> DataFrame:

@@ -256,3 +256,24 @@ def test_vectors_beyond_four_digits_in_structure_files(spark, tmp_path):
     db = connect(str(tmp_path))
     for name in ("S6_read_structures", "S7_cif_to_atoms"):
         same(db, plans.queries()[name](spark, str(tmp_path)), plans.oracle_sql()[name])
+
+
+def test_records_are_picked_before_they_are_ordered(spark):
+    ranked = spark.createDataFrame([(k, 0, float(k)) for k in range(9)], "structure_idx int, sequence_idx int, ipae double")
+    records = spark.createDataFrame([(k, 0, f"{c}.pdb", "x.cif") for k in range(9) for c in "ba"], "structure_idx int, sequence_idx int, out_pdb string, out_cif string")
+    found = designs.lookup_refold(ranked, records, 2)
+    assert {(r["structure_idx"], r["path"]) for r in found.collect()} == {(0, "a.pdb"), (1, "a.pdb")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("BroadcastHashJoin")
+
+
+def test_blocks_are_read_once_from_a_long_sequence(spark):
+    seq = "".join(random.Random(3).choices("ACDEXyé", k=64 * 1024 + 70))
+    scales = {"A": [0.5, 1.0], "C": [2.0, -1.0], "Y": [3.0, 0.25]}
+    df = spark.createDataFrame([("k", seq), ("short", "ac"), ("none", "")], "id string, seq string")
+    blocks = encodings.scaled_blocks(df, "id", scales)
+    got = {(r["id"], r["block"]): r["values"] for r in blocks.collect()}
+    assert len(got) == 1024 + 2 + 1 and all(len(v) == 128 for v in got.values())
+    assert [v for k in range(1026) for v in got["k", k]][: 2 * len(seq)] == [v for c in seq.upper() for v in scales.get(c, [0.0, 0.0])]
+    assert got["short", 0][:6] == [0.5, 1.0, 2.0, -1.0, 0.0, 0.0]
+    assert "Generate" not in blocks._jdf.queryExecution().executedPlan().toString()
