@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from foldspan.functions.text import blank, filled
 
 KEY = ["structure_idx", "sequence_idx"]
+#: Keys of the best designs that are broadcast at most.
+BROADCAST_KEYS = 10_000
 LIMITS = {"rmsd": 2.5, "ipae": 10.0, "binder_rmsd": 1.0, "binder_plddt": 80.0}
 
 
@@ -80,13 +82,14 @@ def selection_counts(df: DataFrame) -> DataFrame:
 
 def lookup_refold(ranked: DataFrame, summaries: DataFrame, n: int, by: str = "ipae") -> DataFrame:
     """Structure files of the n best designs: the first refold record of each, rows without one dropped. Where the tables have
-    a run_id, records are those of the design's run."""
+    a run_id, records are those of the design's run. The n keys go to the records, so that only those of the best designs are
+    shuffled and ordered; n is a parameter."""
     key = keyed(ranked, summaries)
     top = ranked.orderBy(F.asc_nulls_last(by), *key).limit(max(1, n)).select(*key)
     first = Window.partitionBy(*key).orderBy(F.asc_nulls_last("out_pdb"), "out_cif")
-    one = summaries.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    kept = summaries.join(F.broadcast(top) if n <= BROADCAST_KEYS else top, key)
     path = F.coalesce(filled("out_pdb"), F.regexp_replace(F.col("out_cif"), "\\.[^./]*$", ".pdb"))
-    return one.join(top, key).select(*key, path.alias("path"))
+    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*key, path.alias("path"))
 
 
 def refold_inputs(designs: DataFrame, specs: DataFrame, mode: str = "auto") -> DataFrame:
