@@ -4,20 +4,22 @@ template comparison that confirms its predictions. DataFrame functions and Spark
 Lines with a word that notices have at least one of are the candidates; tests hold how many notices of four languages the
 gate lets pass. A candidate is classified as a whole and by all word windows of its paragraph around such a word, so a
 notice inside a longer line or over several lines is seen; the best window stands for the line. A paragraph is a run of
-lines that have words. The classifier is trained on word windows of the templates, on sentences that use the same words
-otherwise, and on a bounded sample of lines of the input. Its threshold is set on texts without a licence that it was not
-fitted on: the lowest probability that at most one in a hundred windows of held-out lines passes, and one in ten of
-held-out sentences that use a notice's words otherwise. A prediction is confirmed if half of the window's word triples
-stand in a template of the family, or half of such a template's in the window.
+lines that have words. The classifier's features are the word n-grams of the fixed texts, and one for all other words. It is
+trained on word windows of the templates, on sentences that use the same words otherwise, and on the counts of its features
+in all plain lines of the input, which have no such word; a fifth of these lines, by their words, is held out. Its threshold
+is set on all lines held out, each as a whole: the lowest probability that at most one in a hundred of them passes, and one
+in ten of held-out sentences that use a notice's words otherwise. A prediction is confirmed if half of the window's word
+triples stand in a template of the family, or half of such a template's in the window.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,11 +71,15 @@ OTHERWISE = (
 )
 #: A candidate line has one of these; every template has one too.
 ANCHORS = "(?i)licen[sc]|lizen[zs]|copyright|public domain|permission|redistribut|free software|warrant|rights reserved|rechte vorbehalten|droits réservés|derechos reservados|creative commons|software foundation|spdx|\\b[al]?gplv?[0-9]?\\b|\\bcc0\\b|creativecommons"
-FEATURES, WINDOW, CONFIRMS = 1 << 14, (5, 8, 12, 20), 0.5
-#: Shares of windows of held-out lines, and of held-out sentences with a notice's words, that may pass the threshold.
+WINDOW, CONFIRMS = (5, 8, 12, 20), 0.5
+#: Shares of held-out lines, and of held-out sentences with a notice's words, that may pass the threshold.
 FALSE_SHARE, FALSE_HARD = 0.01, 0.1
-#: Bounds of what is learnt from the input as unknown: about so many lines, and of each so many characters.
-SAMPLE_LINES, SAMPLE_CHARS = 3000, 400
+#: Weight of all counts of plain lines in the fit; a window of the fixed texts has weight 1.
+PLAIN_WEIGHT = 3000.0
+#: The feature of words that no fixed text has; no token is like it.
+OTHER = "\\0"
+#: Bins of probabilities from 1/2 to 1 that held-out lines are counted in.
+BINS = 1 << 14
 
 
 _ALTERNATIVES = ANCHORS.removeprefix("(?i)").split("|")
@@ -107,8 +113,31 @@ def _table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(b).alias("line")) for a, b in rows])))
 
 
-def _features(df: DataFrame) -> DataFrame:
-    return df.withColumn("grams", F.concat("words", grams(F.col("words"), 2), grams(F.col("words"), 3)))
+def _fixed(spark: SparkSession) -> DataFrame:
+    return _table(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [("unknown", t) for t in OTHERWISE])
+
+
+def _known_grams(spark: SparkSession) -> list[str]:
+    """All n-grams of the fixed texts, then OTHER."""
+    all_ = _fixed(spark).select(tokens(F.col("line")).alias("words"))
+    found = all_.select(F.explode(F.concat("words", grams(F.col("words"), 2), grams(F.col("words"), 3))).alias("gram")).distinct()
+    return [*sorted(r["gram"] for r in found.collect()), OTHER]
+
+
+def known_grams(words: Column, known: list[str]) -> Column:
+    """The known n-grams among words, however often each, and OTHER for each word that is not known."""
+    of = lambda n: [g for g in known if g != OTHER and g.count(" ") == n - 1]
+
+    def joined(n: int) -> Column:
+        begin = [*{g.split(" ")[0] for g in of(n)}]
+        built = F.transform(words, lambda w, i: F.when(w.isin(begin), F.concat_ws(" ", F.slice(words, i + 1, n))))
+        return F.filter(built, lambda g: g.isin(of(n)))
+
+    return F.concat(F.transform(words, lambda w: F.when(w.isin(of(1)), w).otherwise(OTHER)), joined(2), joined(3))
+
+
+def _features(df: DataFrame, known: list[str]) -> DataFrame:
+    return df.withColumn("grams", let(F.col("words"), lambda words: known_grams(words, known)))
 
 
 def _cut(words: str, starts: Column, n: int) -> Column:
@@ -116,16 +145,11 @@ def _cut(words: str, starts: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.slice(words, i, n))
 
 
-def training(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """(family, words, held, hard): whole texts and word windows of templates, other uses (hard) and sampled lines of the
-    input. All windows of a text are held out or none is: a third of the other uses and a fifth of the lines by their hash;
-    templates are not."""
-    texts = _table(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts]).withColumn("hard", F.lit(False)).unionByName(_table(spark, [("unknown", t) for t in OTHERWISE]).withColumn("hard", F.lit(True)))
-    count = max(1, lines.count())
-    drawn = lines.filter(F.pmod(F.xxhash64("line"), F.lit(1_000_000_000)) < int(1_000_000_000 * min(1, SAMPLE_LINES / count))).filter(~F.col("line").rlike(ANCHORS)).limit(2 * SAMPLE_LINES)
-    texts = texts.unionByName(drawn.select(F.lit("unknown").alias("family"), F.substring("line", 1, SAMPLE_CHARS).alias("line"), F.lit(False).alias("hard")))
-    held = (F.col("family") == "unknown") & (F.pmod(F.xxhash64("line"), F.when(F.col("hard"), 3).otherwise(5)) == 0)
-    words = texts.select("family", "hard", tokens(F.col("line")).alias("all"), held.alias("held"))
+def training(spark: SparkSession) -> DataFrame:
+    """(family, words, held, hard): whole texts and word windows of templates and of other uses (hard). All windows of a text
+    are held out or none is: a third of the other uses by their hash; templates are not."""
+    held = (F.col("family") == "unknown") & (F.pmod(F.xxhash64("line"), F.lit(3)) == 0)
+    words = _fixed(spark).select("family", (F.col("family") == "unknown").alias("hard"), tokens(F.col("line")).alias("all"), held.alias("held"))
     starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - n + 1), F.lit(2))
     cut = [words.select("family", "hard", "held", F.explode(_cut("all", starts(n), n)).alias("words")) for n in WINDOW]
     rows = words.select("family", "hard", "held", F.col("all").alias("words"))
@@ -134,6 +158,30 @@ def training(spark: SparkSession, lines: DataFrame) -> DataFrame:
     return rows.filter(F.size("words") > 2).groupBy("family", "words").agg(F.min("held").alias("held"), F.max("hard").alias("hard"))
 
 
+def plain_lines(text: DataFrame) -> DataFrame:
+    """(line, held): all lines of text that have no anchor; a fifth of them, by their hash, is held out."""
+    lines = F.split("text", "\n")
+    plain = F.when(hinted(F.col("text")), F.filter(lines, lambda x: ~x.rlike(ANCHORS))).otherwise(lines)
+    return text.select(F.explode(plain).alias("line")).select("line", (F.pmod(F.xxhash64("line"), F.lit(5)) == 0).alias("held"))
+
+
+def plain_counts(lines: DataFrame, known: list[str]) -> dict[str, int]:
+    """How often each known n-gram, or OTHER, stands in the plain lines that are not held out."""
+    found = lines.filter("not held").select(F.explode(let(tokens(F.col("line")), lambda words: known_grams(words, known))).alias("gram"))
+    return {r["gram"]: r["count"] for r in found.groupBy("gram").count().collect()}
+
+
+def plain_cut(scored: DataFrame) -> float:
+    """The lowest edge of a bin, 1/2 at least, that at most FALSE_SHARE of the rows of scored (top) pass."""
+    place = F.when(F.col("top") >= 0.5, F.least(F.floor((2 * F.col("top") - 1) * BINS), F.lit(BINS - 1)))
+    found = {r["bin"]: r["count"] for r in scored.groupBy(place.cast("int").alias("bin")).count().collect()}
+    room, cut = FALSE_SHARE * sum(found.values()), BINS
+    while cut and found.get(cut - 1, 0) <= room:
+        cut -= 1
+        room -= found.get(cut, 0)
+    return 0.5 + cut / BINS / 2
+
+
 def split_lines(texts: DataFrame) -> DataFrame:
     """Each line of text, numbered by k from 0, beside the other columns."""
     return texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("k", "line"))
@@ -180,21 +228,27 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = text.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    plain = plain_lines(text)
     marked = written(text.filter(hinted(F.col("text")) & F.col("text").rlike(_ANYWHERE)).withColumn("row", F.monotonically_increasing_id()), "marked")
-    rows = written(_features(training(spark, lines.filter(F.length("line") > 20))), "training")
-    families = [*TEMPLATES, "unknown"]
+    known, families = _known_grams(spark), [*TEMPLATES, "unknown"]
+    counts = plain_counts(plain, known)
+    every = float(sum(counts.values()))
+    rows = _features(training(spark), known).select("family", "grams", "held", "hard", F.lit(1.0).alias("weight"))
+    if counts:
+        one = spark.createDataFrame(pa.table({"gram": [*counts], "weight": [PLAIN_WEIGHT * n / every for n in counts.values()]}))
+        rows = rows.unionByName(one.select(F.lit("unknown").alias("family"), F.array("gram").alias("grams"), F.lit(False).alias("held"), F.lit(False).alias("hard"), "weight"))
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    rows = rows.withColumn("y", number.cast("double"))
-    model = Pipeline(stages=[HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES), LogisticRegression(labelCol="y", family="multinomial", regParam=2e-4, maxIter=40)]).fit(rows.filter("not held").coalesce(4))
+    rows = written(rows.withColumn("y", number.cast("double")), "training")
+    model = Pipeline(stages=[CountVectorizerModel.from_vocabulary(known, "grams", "features"), LogisticRegression(labelCol="y", weightCol="weight", family="multinomial", regParam=2e-4, maxIter=40)]).fit(rows.filter("not held").coalesce(4))
     scored = lambda df: model.transform(df).withColumn("p", vector_to_array("probability"))
     top = F.array_max(F.slice("p", 1, len(families) - 1))
-    cut = scored(rows.filter("held")).agg(F.percentile(F.when(~F.col("hard"), top), 1 - FALSE_SHARE).alias("plain"), F.percentile(F.when(F.col("hard"), top), 1 - FALSE_HARD).alias("hard")).first()
-    threshold = max(0.5, cut["plain"] or 0.0, cut["hard"] or 0.0)
+    cut = scored(rows.filter("held")).agg(F.percentile(top, 1 - FALSE_HARD).alias("hard")).first()
+    held = scored(plain.filter("held").select(let(tokens(F.col("line")), lambda words: F.when(F.size(words) > 2, known_grams(words, known))).alias("grams")).filter("grams is not null"))
+    threshold = max(plain_cut(held.select(top.alias("top"))), cut["hard"] or 0.0)
     shapes = _table(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts]).groupBy("family").agg(F.collect_list(F.array_distinct(grams(tokens(F.col("line")), 3))).alias("shapes"))
     shapes = shapes.select("family", F.filter("shapes", lambda x: F.size(x) > 0).alias("shapes"))
     names = F.array(*map(F.lit, families))
-    best = scored(_features(windows(marked))).withColumn("probability", top).withColumn("family", F.element_at(names, F.array_position("p", top).cast("int")))
+    best = scored(_features(windows(marked), known)).withColumn("probability", top).withColumn("family", F.element_at(names, F.array_position("p", top).cast("int")))
     best = best.join(F.broadcast(shapes), "family", "left").withColumn("own", F.array_distinct(grams(F.col("words"), 3)))
     met = F.transform("shapes", lambda x: F.struct(F.size(F.array_intersect("own", x)).alias("n"), F.size(x).alias("of")))
     best = best.withColumn("met", F.when(F.col("probability") >= threshold, met))

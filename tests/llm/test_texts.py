@@ -405,3 +405,32 @@ def test_licences_inside_paragraphs(spark):
     assert got[1, 1]["family"] == got[6, 1]["family"] == "Apache-2.0" and got[1, 1]["line"] == texts[0]
     assert {got[2, k]["family"] for k in (2, 3)} == {"GPL"} and got[3, 2]["family"] == "Public-Domain"
     assert got[4, 1]["family"] == got[5, 1]["family"] == "unknown" and len(got) == len(rows)
+
+
+def test_licence_counts_and_threshold_come_from_all_lines(spark):
+    """Counts of n-grams, against brute force over every plain line: more lines than the 3,000 and longer ones than the 400
+    characters that were once drawn, over several tasks; and the share that passes the threshold."""
+    import re as plain
+
+    rng = random.Random(5)
+    known = licenses._known_grams(spark)
+    pool = [*{w for g in known[:-1] for w in g.split(" ") if not plain.search(licenses.ANCHORS, w)}, "Mühle", "tide's", "x1", "—"]
+    line = lambda n: " ".join([*rng.choices(pool, k=n), *rng.choice(known[:-1]).split(" ")])
+    texts = ["\n".join(line(rng.randint(0, 14)) for _ in range(30)) for _ in range(150)] + [line(300), "the software\nis provided\n\nhere", "", None, "A License, the old one.\nThe version of the old map was slow."]
+    lines = licenses.plain_lines(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    every = Counter(x for t in texts if t is not None for x in t.split("\n") if not plain.search(licenses.ANCHORS, x))
+    rows = lines.collect()
+    held = {r["line"] for r in rows if r["held"]}
+    assert Counter(r["line"] for r in rows) == every and sum(every.values()) > 3000 and 0.15 < len(held) / len(every) < 0.25
+    assert not any(r["held"] != (r["line"] in held) for r in rows)
+    want, grams = Counter(), {*known}
+    for x, n in every.items():
+        words = [w for w in regex.split(r"[^\p{L}\p{N}]+", x.lower()) if w] if x not in held else []
+        for i, w in enumerate(words):
+            found = [" ".join(words[i : i + k]) for k in (2, 3) if i + k <= len(words)]
+            want.update(dict.fromkeys([w if w in grams else licenses.OTHER, *(g for g in found if g in grams)], n))
+    assert licenses.plain_counts(lines, known) == want
+    p = [rng.random() ** 0.2 for _ in range(5000)]
+    cut, room, step = licenses.plain_cut(spark.createDataFrame([(x,) for x in p], "top double")), licenses.FALSE_SHARE * len(p), 0.5 / licenses.BINS
+    assert sum(x >= cut for x in p) <= room < sum(x >= cut - step for x in p)
+    assert licenses.plain_cut(spark.createDataFrame([(0.1,), (0.7,)], "top double").limit(1)) == 0.5
