@@ -88,12 +88,37 @@ def read_table_csv(spark: SparkSession, path: str, schema: str | None = None) ->
     return df.select(*names)
 
 
+_CHECKED = THREAD + ", _corrupt_record string"
+
+
 def checked_threads(spark: SparkSession, path: str) -> DataFrame:
     """All thread files, one row each, in one scan: reason is null for a good one, else says what is wrong with it. Metadata
     stays JSON text."""
-    rows = spark.read.schema(THREAD + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.schema(_CHECKED).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return _with_reason(rows.withColumn("file", F.input_file_name()))
+
+
+def _with_reason(rows: DataFrame) -> DataFrame:
     reason = F.when(F.col("_corrupt_record").isNotNull(), "malformed JSON").when(F.coalesce(F.trim("thread_id"), F.lit("")) == "", "no thread_id").when(F.col("messages").isNull(), "no messages")
-    return rows.select("*", F.input_file_name().alias("file"), reason.alias("reason"))
+    return rows.select("*", reason.alias("reason"))
+
+
+def parse_threads(files: DataFrame) -> DataFrame:
+    """The rows of checked_threads out of (file, text): one for each text that is not blank. Metadata loses white
+    space between its parts."""
+    read = F.from_json("text", _CHECKED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return _with_reason(files.filter(F.trim(F.translate("text", "\t\r\n", "   ")) != "").select(read.alias("t"), "file").select("t.*", "file"))
+
+
+def write_packed(files: DataFrame, path: str) -> None:
+    """Files (file, text) as JSON lines of name and text, many in one part: parts grow with the bytes, not with the number of
+    files, and a part can be split over tasks."""
+    files.select(F.to_json(F.struct("file", "text")).alias("value")).write.text(path)
+
+
+def packed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the files that write_packed has packed. A line that is no such pair raises."""
+    return spark.read.schema("file string, text string").option("mode", "FAILFAST").json(path)
 
 
 def good_threads(checked: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import json
 import math
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldspan import plans
 from foldspan.operators import designs, encodings, pocket, ranks, specs, structures
@@ -277,3 +279,28 @@ def test_blocks_are_read_once_from_a_long_sequence(spark):
     assert [v for k in range(1026) for v in got["k", k]][: 2 * len(seq)] == [v for c in seq.upper() for v in scales.get(c, [0.0, 0.0])]
     assert got["short", 0][:6] == [0.5, 1.0, 2.0, -1.0, 0.0, 0.0]
     assert "Generate" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_threads_equal_single_files(spark, tmp_path):
+    texts = {
+        "a.json": json.dumps({"thread_id": "1", "updated_at": "2024", "messages": [{"role": "user", "content": "h\ni", "metadata": {"f": ["/x.md"]}}]}, separators=(",", ":")).replace(',"messages', ',\n "messages'), "b.json": "{ not json", "c.json": '{"thread_id": " ", "messages": []}',
+        "d.json": '{"thread_id": "4"}', "e.json": '{"thread_id": "5", "messages": [{"role": "user", "content": "cut', "f.json": '{"thread_id": 6, "messages": [{"role": "é\u2028", "ts": 3}]}', "h.json": "\n ", "i.json": "",
+    }
+    (tmp_path / "one").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "one" / name).write_text(text)
+    single = files.checked_threads(spark, str(tmp_path / "one")).withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
+    files.write_packed(spark.createDataFrame([*texts.items()], "file string, text string").repartition(2), str(tmp_path / "packed"))
+    packed = files.parse_threads(files.packed_files(spark, str(tmp_path / "packed")))
+    assert packed.columns == single.columns
+    assert sorted(map(str, packed.collect())) == sorted(map(str, single.collect())) and packed.filter("reason is null").count() == 2
+
+
+def test_thread_query_writes_few_files(spark, tmp_path):
+    from foldspan import plans
+
+    spark.range(200).selectExpr("id AS conv_id", "CAST(0 AS INT) AS turn", "'user' AS role", "'hello' AS text").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    begun = {x for x in Path(spark.conf.get("spark.checkpoint.dir")).rglob("part-*")}
+    got = plans.queries()["S5_read_threads"](spark, str(tmp_path)).collect()
+    made = [x for x in Path(spark.conf.get("spark.checkpoint.dir")).rglob("part-*") if x not in begun]
+    assert len(got) == 200 and len(made) <= 20 and sum(r["reason"] == "malformed JSON" for r in got) == 29
