@@ -304,3 +304,16 @@ def test_thread_query_writes_few_files(spark, tmp_path):
     got = plans.queries()["S5_read_threads"](spark, str(tmp_path)).collect()
     made = [x for x in Path(spark.conf.get("spark.checkpoint.dir")).rglob("part-*") if x not in begun]
     assert len(got) == 200 and len(made) <= 20 and sum(r["reason"] == "malformed JSON" for r in got) == 29
+
+
+def test_yaml_lines_are_read_once():
+    """What is kept of a line, and the quick way to a key, equal the rules; lines that specs share are not read again."""
+    rng = random.Random(3)
+    for _ in range(3000):
+        line = "".join(rng.choice(["a", "B_1", ":", " ", "  ", "#", '"', "'", "-", "1", "x: y", "\t", "{"]) for _ in range(rng.randint(1, 7)))
+        found = spec_yaml._KEY.match(line)
+        assert spec_yaml._key(line) == (found and (found[1], line[found.end() :])), line
+    spec_yaml._line.cache_clear()
+    for k in range(50):
+        assert spec_yaml.load(f"# s\nentities:\n  - protein:\n      id: A{k} # n\n      group: 0x1") == {"entities": [{"protein": {"id": f"A{k}", "group": "0x1"}}]}
+    assert spec_yaml._line.cache_info().misses == 54
