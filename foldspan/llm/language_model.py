@@ -33,8 +33,9 @@ FREQUENT = 200_000
 #: Noise outputs of a step on the first level and noise words of each target on the second, targets of a step, rounds, and
 #: AdaGrad's rate and first squares.
 NOISE, INNER, BATCH, ROUNDS, RATE, START = 48, 3, 4096, 2, 0.15, 1e-7
-#: Tokens scored at a time, and tokens of the documents that are laid out at a time.
-SCORED, LAID_OUT = 16384, 1 << 16
+#: Tokens scored at a time, of these the ones whose first level stays in a core's cache, and tokens of the documents that are
+#: laid out at a time.
+SCORED, CACHED, LAID_OUT = 1 << 16, 2048, 1 << 16
 
 
 def _classes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -306,11 +307,16 @@ def trained(rows: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def _log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log of the softmax of each row at its own column; overwrites z."""
-    value, top = z[np.arange(len(z)), own], z.max(1)
-    z -= top[:, None]
+    """log of the softmax of each row at its own column; overwrites z. Rows are shifted by their greatest value only where
+    exp could leave the range of floats otherwise."""
+    value = z[np.arange(len(z)), own]
+    if len(z) and (z.max() > 60 or z[:, 0].min() < -60):
+        top = z.max(1)
+        z -= top[:, None]
+    else:
+        top = np.float32(0)
     np.exp(z, out=z)
-    return value - top - np.log(z.sum(1))
+    return value - top - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def log_probabilities(p: dict, v: Vocabulary, line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -321,7 +327,7 @@ def log_probabilities(p: dict, v: Vocabulary, line: np.ndarray, at: np.ndarray)
         part = line[lo : lo + places[-1] + 1]
         h, code = _rows(predicted(p, part)[1], places), part[places]
         cluster = v.outer[code]
-        logs = _log_softmax(h @ outer, cluster).astype(np.float64)
+        logs = np.concatenate([_log_softmax(h[i : i + CACHED] @ outer, cluster[i : i + CACHED]) for i in range(0, len(h), CACHED)]).astype(np.float64)
         order = np.argsort(cluster, kind="stable")
         edges = np.searchsorted(cluster[order], np.arange(1, v.clusters + 2))
         for c in range(v.clusters):
